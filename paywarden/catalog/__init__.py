@@ -1,0 +1,15 @@
+"""All registered queries."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("features",)
+
+
+def load():
+    for name in MODULES:
+        importlib.import_module(f"paywarden.catalog.{name}")
+    from paywarden.catalog.registry import QUERIES
+
+    return QUERIES

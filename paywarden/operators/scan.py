@@ -318,4 +318,6 @@ def sliding(
         {n: Metric("sum", F.col(f"_d_{n}"), inclusive=include_current) for n in names},
         hot=hot,
     )
-    return scanned.filter(F.col("_k") == 0).select("_row.*", *names)
+    # Key columns stay as they are, so their partitioning is still known afterwards.
+    own = [F.col(c) if c in keys else F.col(f"_row.{c}") for c in columns]
+    return scanned.filter(F.col("_k") == 0).select(*own, *names)
