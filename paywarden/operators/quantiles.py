@@ -13,12 +13,12 @@ from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, p
 def value_counts(
     df: DataFrame, keys: Sequence[str], value: str, max_rows: int = MAX_ROWS_PER_TASK
 ) -> DataFrame:
-    """Distinct values per key with ``n`` and ``below``, the rows strictly under them."""
+    """Distinct values per key with ``_n`` and ``_below``, the rows strictly under them."""
     counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     )
     hot = find_hot_keys(counts, keys, value, max_rows)
-    return prefix_scan(counts, keys, [value], {"below": Metric("sum", F.col("n"))}, hot=hot)
+    return prefix_scan(counts, keys, [value], {"_below": Metric("sum", F.col("_n"))}, hot=hot)
 
 
 def exact_quantiles(
@@ -40,7 +40,7 @@ def exact_quantiles(
     joined = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
 
     def at(position):
-        inside = (F.col("below") <= position) & (position < F.col("below") + F.col("n"))
+        inside = (F.col("_below") <= position) & (position < F.col("_below") + F.col("_n"))
         return F.max(F.when(inside, F.col(value)))
 
     out = []
@@ -64,6 +64,6 @@ def percent_rank_average(
     totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_total"))
     ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
     ranked = ranked.select(
-        *keys, value, ((F.col("below") + (F.col("n") + 1) / 2) / F.col("_total")).alias(out)
+        *keys, value, ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(out)
     )
     return df.join(ranked, [*keys, value], "left")

@@ -169,7 +169,7 @@ SIDE = {
 }
 
 LABEL = {
-    "txn_id": "CASE WHEN event_id % 701 = 3 THEN 'TX' ELSE 'T' END || lpad(cast(event_id as string), 12, '0')",
+    "txn_id": "CASE WHEN event_id % 211 = 3 THEN 'TX' ELSE 'T' END || lpad(cast(event_id as string), 12, '0')",
     "is_fraud": "fraud",
     "attack_id": "CASE WHEN fraud THEN family END",
     "campaign_id": (
