@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "checks")
+MODULES = ("features", "checks", "scoring")
 
 
 def load():

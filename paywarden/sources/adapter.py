@@ -188,6 +188,29 @@ LABEL = {
     ),
 }
 
+# One scoring request per payment: model outputs and the features the rules read.
+REQUEST = {
+    "probability": "score",
+    "family_1": _pick("m1 % 16", ATTACK_FAMILIES),
+    "family_2": _pick("(m1 + 5) % 16", ATTACK_FAMILIES),
+    "p_1": "0.5e0 + (m1 % 40) / 100e0",
+    "p_2": "(0.5e0 - (m1 % 40) / 100e0) * 0.7e0",
+    "p_3": "(0.5e0 - (m1 % 40) / 100e0) * 0.3e0",
+    "edge_count": "cast(m2 % 45 as double)",
+    "historical_average_amount": "CASE WHEN m1 % 19 = 0 THEN 0e0 ELSE 1 + m3 / 100e0 END",
+    "amount_deviation": "abs(cast(cast(amount_raw as decimal(12,2)) as double) - (1 + m3 / 100e0))",
+    "new_device_indicator": "m1 % 6 = 0",
+    "new_ip_indicator": "m2 % 9 = 0",
+    "contribution_1": "(m1 % 40 - 10) / 100e0",
+    "contribution_2": "(m2 % 30 - 20) / 100e0",
+    "contribution_3": "CASE WHEN m3 % 3 = 0 THEN 0e0 ELSE (m3 % 50 - 25) / 300e0 END",
+    "body": (
+        "'{\"transaction\": {\"amount\": ' || cast(cast(amount_raw as decimal(12,2)) as string) || "
+        "', \"channel\": \"' || event_type || '\", \"pin_attempts\": ' || cast(m3 % 6 as string) || '}' || "
+        "CASE WHEN m1 % 2 = 0 THEN ', \"baseline_amount\": ' || cast(m2 as string) ELSE '' END || '}'"
+    ),
+}
+
 _S = "floor((CASE WHEN fraud THEN 0.25e0 + 0.75e0 * (m3 % 1000) / 1000e0 ELSE (m3 % 1000) / 1000e0 * (m3 % 1000) / 1250e0 END) * 1000) / 1000e0"
 SCORED = {
     "txn_id": "'T' || lpad(cast(event_id as string), 12, '0')",
@@ -334,6 +357,21 @@ class DriverTables:
     def scored(self) -> DataFrame:
         return self.shaped.selectExpr(*_items(SCORED))
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        """Payments with their model outputs, as the risk fusion receives them."""
+        return (
+            self.shaped.selectExpr("*", f"{_S} AS score")
+            .selectExpr(*_items({**TRANSACTION, **REQUEST}))
+            .selectExpr(
+                "*",
+                "map(family_1, p_1, family_2, p_2, 'novel_family', p_3) AS attack_probabilities",
+                "array(named_struct('name', 'edge_count', 'contribution', contribution_1),"
+                " named_struct('name', 'pin_attempts', 'contribution', contribution_2),"
+                " named_struct('name', 'amount_deviation', 'contribution', contribution_3)) AS contributions",
+            )
+        )
+
     @cached_property
     def verdicts(self) -> DataFrame:
         return (
@@ -386,6 +424,8 @@ _ORACLE_TABLES = {
     "payments": "SELECT *, cast(amount * 100 as bigint) AS cents FROM payments0",
     "labelrows": f"SELECT {_select(LABEL)} FROM shaped WHERE event_id % 503 <> 5",
     "scored": f"SELECT {_select(SCORED)} FROM shaped",
+    "requests0": f"SELECT *, {_S} AS score FROM shaped",
+    "requests": f"SELECT {_select({**TRANSACTION, **REQUEST})} FROM requests0",
     "verdicts0": f"SELECT *, unnest([0, 1]) AS rep FROM shaped",
     "verdicts1": f"SELECT {_select(VERDICT)} FROM verdicts0 WHERE {VERDICT_FILTER}",
     "verdicts": (
