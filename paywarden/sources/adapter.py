@@ -219,7 +219,7 @@ SCORED = {
     "family": "CASE WHEN fraud THEN family ELSE '__legit__' END",
     "intensity": _pick("m1 % 3", ["LOW", "MEDIUM", "HIGH"]),
     "generation": _pick("m2 % 4", ["gen2", "gen3", "gen4", "gen5"]),
-    "checkpoint": _pick("m4 % 3", ["ckpt_a", "ckpt_b", "ckpt_c"]),
+    "checkpoint": _pick("m2 % 3", ["ckpt_a", "ckpt_b", "ckpt_c"]),
     "pred_family": f"CASE WHEN m3 % 4 = 0 THEN {_pick('m3 % 16', ATTACK_FAMILIES)} ELSE family END",
     "score": _S,
 }
