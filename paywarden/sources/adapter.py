@@ -281,7 +281,7 @@ MERCHANT = {
     ),
     "onboarded_us": f"{START_US} - (s_suppkey * 13 % 90 - 8) * {DAY_US}",
     "kyb_docs_verified_against_registry": "s_suppkey % 4 <> 0",
-    "volume_growth_curve": _pick("s_suppkey % 3 + s_suppkey % 2", ["organic", "step", "spike", "step"]),
+    "volume_growth_curve": _pick("cast(floor(s_suppkey / 12e0) as bigint) % 3", ["organic", "step", "spike"]),
 }
 
 MANDATE = {
