@@ -195,7 +195,7 @@ def train_attack_classifier(
     candidates = {
         "random_forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, labelCol="class_ix", weightCol="weight"),
         "boosted_trees": OneVsRest(
-            classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42), labelCol="class_ix", weightCol="weight"
+            classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42), labelCol="class_ix", weightCol="weight", parallelism=4
         ),
     }
     predictions, rows = {}, []

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRANSACTION_BODY = T.StructType.fromDDL(
-    "amount DECIMAL(12,2), channel STRING, pin_attempts INT,"
-    " historical_average_amount DOUBLE, amount_deviation DOUBLE"
+TRANSACTION_BODY = (
+    T.StructType()
+    .add("amount", T.DecimalType(12, 2))
+    .add("channel", T.StringType())
+    .add("pin_attempts", T.IntegerType())
+    .add("historical_average_amount", T.DoubleType())
+    .add("amount_deviation", T.DoubleType())
 )
 
 

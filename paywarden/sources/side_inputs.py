@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paywarden.operators.feedback import parse_usage
 
@@ -27,7 +26,7 @@ EXTERNAL_COLUMNS = {
 }
 TEXT_FEATURES = ("channel", "auth_method", "rail", "direction")
 
-VERDICT_SCHEMA = T.StructType.fromDDL(
+VERDICT_SCHEMA = (
     "transaction_id STRING, ts_us BIGINT, analyst_verdict STRING, analyst_confidence DOUBLE,"
     " analyst_reasoning STRING, key_signals ARRAY<STRING>, patterns ARRAY<STRING>, verdict_date DATE"
 )

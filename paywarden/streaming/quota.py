@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan
@@ -19,7 +18,8 @@ from paywarden.streaming.velocity import STATE_STORE
 WINDOW_US = 60_000_000
 MAX_REQUESTS = 30
 
-OUTPUT = T.StructType.fromDDL("client STRING, request_id STRING, ts_us BIGINT, accepted BOOLEAN, retry_after_s INT")
+COLUMNS = ["client", "request_id", "ts_us", "accepted", "retry_after_s"]
+OUTPUT = "client STRING, request_id STRING, ts_us BIGINT, accepted BOOLEAN, retry_after_s INT"
 
 
 def decide(accepted: deque, now: int, window_us: int, limit: int) -> tuple[bool, int | None]:
@@ -45,11 +45,11 @@ def batch_quota(
     order = ["ts_us", "request_id"]
     rows = prefix_scan(requests, ["client"], order, {"_prev": Metric("lag", F.col("ts_us"))}, hot)
     fresh = F.when(F.col("_prev").isNull() | (F.col("ts_us") - F.col("_prev") >= window_us), 1).otherwise(0).cast("long")
-    rows = prefix_scan(rows.withColumn("_fresh", fresh), ["client"], order, {"_stretch": Metric("sum", F.col("_fresh"), True)}, hot)
+    rows = prefix_scan(rows.withColumn("_fresh", fresh), ["client"], order, {"stretch": Metric("sum", F.col("_fresh"), True)}, hot)
     laid_out = (
-        rows.select("client", "request_id", "ts_us", "_stretch")
-        .repartition("client", "_stretch")
-        .sortWithinPartitions("client", "_stretch", *order)
+        rows.select("client", "request_id", "ts_us", "stretch")
+        .repartition("client", "stretch")
+        .sortWithinPartitions("client", "stretch", *order)
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,11 +57,11 @@ def batch_quota(
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                if (row.client, row._3) != current:
-                    current, accepted = (row.client, row._3), deque()
+                if (row.client, row.stretch) != current:
+                    current, accepted = (row.client, row.stretch), deque()
                 ok, wait = decide(accepted, int(row.ts_us), window_us, limit)
                 out.append((row.client, row.request_id, int(row.ts_us), ok, wait))
-            frame = pd.DataFrame(out, columns=OUTPUT.names)
+            frame = pd.DataFrame(out, columns=COLUMNS)
             frame["retry_after_s"] = frame["retry_after_s"].astype("Int32")
             yield frame
 
@@ -86,7 +86,7 @@ class ClientQuota(StatefulProcessor):
             out.append((key[0], row.request_id, int(row.ts_us), ok, wait))
         if accepted:
             self._accepted.put([(a,) for a in accepted])
-        frame = pd.DataFrame(out, columns=OUTPUT.names)
+        frame = pd.DataFrame(out, columns=COLUMNS)
         frame["retry_after_s"] = frame["retry_after_s"].astype("Int32")
         yield frame
 

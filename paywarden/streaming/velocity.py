@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 HOUR_US = 3_600_000_000
@@ -16,12 +15,12 @@ NEVER_S = 999_999.0
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-OUTPUT = T.StructType.fromDDL(
-    "payer_id STRING, txn_id STRING, ts_us BIGINT, txn_count_last_1h DOUBLE, txn_count_last_24h DOUBLE,"
-    " amount_spent_last_1h DOUBLE, amount_spent_last_24h DOUBLE, historical_average_amount DOUBLE,"
-    " amount_deviation DOUBLE, time_since_prev_txn DOUBLE, new_merchant_indicator DOUBLE,"
-    " new_device_indicator DOUBLE, new_ip_indicator DOUBLE"
+FEATURES = (
+    "txn_count_last_1h", "txn_count_last_24h", "amount_spent_last_1h", "amount_spent_last_24h",
+    "historical_average_amount", "amount_deviation", "time_since_prev_txn", "new_merchant_indicator",
+    "new_device_indicator", "new_ip_indicator",
 )
+OUTPUT = "payer_id STRING, txn_id STRING, ts_us BIGINT, " + ", ".join(f"{c} DOUBLE" for c in FEATURES)
 
 
 class PayerVelocity(StatefulProcessor):
@@ -64,7 +63,7 @@ class PayerVelocity(StatefulProcessor):
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
         self._handle.registerTimer((last + DAY_US) // 1000 + 1)
-        yield pd.DataFrame(out, columns=OUTPUT.names)
+        yield pd.DataFrame(out, columns=["payer_id", "txn_id", "ts_us", *FEATURES])
 
     def _first(self, kind: str, value, ts: int) -> float:
         if value is None or value == "" or value != value:
