@@ -40,7 +40,8 @@ _SHIFT = {3: 3e-7, 4: 3e-8, 6: 3e-10}
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
+    if isinstance(c, str):
+        return F.expr(f"round(cast({c} as double) + {_SHIFT[digits]!r}D, {digits})")
     return F.round(c.cast("double") + F.lit(_SHIFT[digits]), digits)
 
 

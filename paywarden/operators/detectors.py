@@ -35,8 +35,11 @@ def _hits(df: DataFrame, name: str, entity: str, start: Column, peak: Column) ->
     )
 
 
-def _trailing(df: DataFrame, keys: Sequence[str], width: int, max_rows: int, **kw) -> DataFrame:
-    hot = find_hot_keys(df, keys, "ts_us", max_rows)
+def _trailing(
+    df: DataFrame, keys: Sequence[str], width: int, max_rows: int, counted: DataFrame | None = None, **kw
+) -> DataFrame:
+    """Trailing window including the row. ``counted`` is a cheap superset to look for hot keys in."""
+    hot = find_hot_keys(df if counted is None else counted, keys, "ts_us", max_rows)
     return sliding(df, keys, "ts_us", "txn_id", {"w": width}, include_current=True, hot=hot, **kw)
 
 
@@ -139,7 +142,9 @@ def adversarial_evasion(
     rows = prefix_scan(rows, ["payer_id"], ORDER, {"_prev": Metric("lag", F.col("ts_us"))}, hot)
     since = F.col("ts_us") - F.col("_prev")
     slow = rows.filter((F.col("_known") > 0) & (F.col("amount") < below) & since.between(*gap)).drop("_known", "_prev")
-    out = _trailing(slow, ["payer_id"], width, max_rows, sums={"cents": "cents"})
+    out = sliding(
+        slow, ["payer_id"], "ts_us", "txn_id", {"w": width}, sums={"cents": "cents"}, include_current=True, hot=hot
+    )
     found = out.filter((F.col("count_w") >= n) & (F.col("cents_w") > total * 100))
     return _hits(found, "adversarial_evasion", "payer_id", F.col("ts_us") - width, F.col("count_w"))
 
@@ -149,8 +154,8 @@ def first_party_dispute(
 ) -> DataFrame:
     """Disputed card payments of repeat customers who have disputed before."""
     rows = payments.filter(F.col("rail") == "card_cnp").select("txn_id", "payer_id", "merchant_id", "ts_us", "amount")
-    rows = rows.join(disputes.select("txn_id", "dispute_id"), "txn_id", "left")
     hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
+    rows = rows.join(disputes.select("txn_id", "dispute_id"), "txn_id", "left")
     rows = prefix_scan(rows, ["payer_id"], ORDER, {"_repeat": Metric("sum", F.lit(1).cast("long"))}, hot, ["merchant_id"])
     disputed = F.col("dispute_id").isNotNull()
     rows = prefix_scan(
@@ -209,7 +214,7 @@ def synthetic_merchant(
     ).select("merchant_id", "onboarded_us")
     rows = payments.select("txn_id", "merchant_id", "payer_id", "ts_us", "amount").join(shady, "merchant_id")
     rows = rows.filter((F.col("ts_us") >= F.col("onboarded_us")) & (F.col("ts_us") <= F.col("onboarded_us") + age))
-    hot = find_hot_keys(rows, ["merchant_id"], "ts_us", max_rows)
+    hot = find_hot_keys(payments.filter(F.col("merchant_id").isNotNull()), ["merchant_id"], "ts_us", max_rows)
     rows = prefix_scan(rows, ["merchant_id"], ORDER, {"_n": Metric("sum", F.lit(1).cast("long"))}, hot, ["payer_id"])
     rows = rows.withColumn("fresh", _flag(F.col("_n") == 0)).drop("_n")
     out = sliding(rows, ["merchant_id"], "ts_us", "txn_id", {"w": width}, sums={"fresh": "fresh"}, count=None, include_current=True, hot=hot)
@@ -275,7 +280,7 @@ def agentic_injection(payments: DataFrame, width: int = HOUR_US, n: int = 2, max
     rows = payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "is_agent_initiated")
     rows = _scan(rows, ["payer_id"], {"_met": Metric("min", F.col("ts_us"), True)}, max_rows, ["payee_id"])
     agent = rows.filter(F.col("is_agent_initiated") & (F.col("ts_us") <= F.col("_met") + width))
-    out = _trailing(agent, ["payer_id", "payee_id"], width, max_rows)
+    out = _trailing(agent, ["payer_id", "payee_id"], width, max_rows, payments.filter("is_agent_initiated"))
     return _hits(out.filter(F.col("count_w") >= n), "agentic_injection", "payer_id", F.col("_met"), F.col("count_w"))
 
 
@@ -311,7 +316,8 @@ def balance_drain_exit(
     timeline = rows.filter(c("payer_id") != c("payee_id")).select(
         "txn_id", "ts_us", "amount", "cents", F.explode(sides).alias("_s")
     ).select("txn_id", "ts_us", "amount", "cents", "_s.*")
-    hot = find_hot_keys(timeline, ["party"], "ts_us", max_rows)
+    parties = payments.select("ts_us", F.explode(F.array("payer_id", "payee_id")).alias("party"))
+    hot = find_hot_keys(parties, ["party"], "ts_us", max_rows)
     received = F.when(c("k") == 0, F.struct("ts_us", "cents", "other"))
     out = prefix_scan(timeline, ["party"], ["ts_us", "k", "txn_id"], {"_in": Metric("last", received)}, hot)
     share = c("cents") / c("_in.cents")
@@ -395,7 +401,7 @@ def matched_controls(
         labels.select("txn_id", "is_fraud", "campaign_id"), "txn_id"
     )
     keys = ["rail", "channel", "mcc"]
-    hot = find_hot_keys(rows, keys, "cents", max_rows)
+    hot = find_hot_keys(payments.withColumn("mcc", F.coalesce("mcc", F.lit(-1))), keys, "cents", max_rows)
     order = ["cents", "txn_id"]
     legit = ~c("is_fraud")
     me = F.struct("cents", "txn_id", "payee_id")

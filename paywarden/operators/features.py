@@ -36,9 +36,15 @@ def calendar_features(df: DataFrame, tz: str = "UTC") -> DataFrame:
     return df.withColumns({"tx_hour": F.hour(local), "tx_dayofweek": F.weekday(local)})
 
 
-def payer_velocity(df: DataFrame, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
-    """Counts, spend and distinct apps / accounts of the payer in the last 1 h and 24 h."""
-    hot = find_hot_keys(df, ["payer_id"], "ts_us", max_rows)
+def payer_velocity(
+    df: DataFrame, max_rows: int = MAX_ROWS_PER_TASK, counted: DataFrame | None = None
+) -> DataFrame:
+    """Counts, spend and distinct apps / accounts of the payer in the last 1 h and 24 h.
+
+    ``counted`` is where hot keys are looked for; give the source rows when ``df``
+    is costly to derive.
+    """
+    hot = find_hot_keys(df if counted is None else counted, ["payer_id"], "ts_us", max_rows)
     out = sliding(
         _spread(df, "payer_id", hot),
         ["payer_id"],
@@ -79,15 +85,12 @@ def payee_velocity(df: DataFrame, max_rows: int = MAX_ROWS_PER_TASK) -> DataFram
     return out.withColumns({n: F.col(n).cast("double") for n in names}).drop("_payee")
 
 
-def _ratio(num: Column, den: Column) -> Column:
-    return num.cast("double") / den
-
-
 def payer_history(
     df: DataFrame,
     tz: str = "UTC",
     merchant_column: str = "payee_id",
     max_rows: int = MAX_ROWS_PER_TASK,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Lifetime features of the payer, up to and where stated including the row.
 
@@ -96,7 +99,7 @@ def payer_history(
     set; ``merchant_id`` gives the share of merchant payments.
     """
     keys, order = ["payer_id"], ["ts_us", "txn_id"]
-    hot = find_hot_keys(df, keys, "ts_us", max_rows)
+    hot = find_hot_keys(df if counted is None else counted, keys, "ts_us", max_rows)
     out = _spread(df, "payer_id", hot).withColumn(
         "_payee_name", F.when(_filled("payee_id"), F.col("payee_id")).otherwise("unknown")
     )
@@ -104,12 +107,11 @@ def payer_history(
     for column, seen in (("_payee_name", "_seen_payee"), ("device_id", "_seen_device"), ("ip_asn", "_seen_ip")):
         out = prefix_scan(out, keys, order, {seen: Metric("sum", one)}, hot, within=[column])
 
-    amount = F.col("amount").cast("double")
-    local = F.from_utc_timestamp(F.timestamp_micros("ts_us"), tz)
-    added = F.col("beneficiary_added_ago_s")
+    def total(sql: str) -> Metric:
+        return Metric("sum", F.expr(sql), True)
 
-    def flag(c: Column) -> Column:
-        return F.when(c, 1).otherwise(0).cast("long")
+    def flag(condition: str) -> Metric:
+        return total(f"CASE WHEN {condition} THEN 1L ELSE 0L END")
 
     out = prefix_scan(
         out,
@@ -119,88 +121,93 @@ def payer_history(
             "_prior_n": Metric("sum", one),
             "_prior_cents": Metric("sum", F.col("cents")),
             "_prev_us": Metric("lag", F.col("ts_us")),
-            "_prev_agent_us": Metric("max", F.when(F.col("is_agent_initiated"), F.col("ts_us"))),
+            "_prev_agent_us": Metric("max", F.expr("CASE WHEN is_agent_initiated THEN ts_us END")),
             "_hours": Metric("bit_or", F.expr(f"shiftleft(1, hour(from_utc_timestamp(timestamp_micros(ts_us), '{tz}')))"), True),
-            "_amount": Metric("moments", amount, True),
-            "_sum": Metric("sum", F.col("cents"), True),
-            "_squares": Metric("sum", amount * amount, True),
-            "_small": Metric("sum", flag(amount < SUBTHRESHOLD), True),
-            "_payees": Metric("sum", flag(F.col("_seen_payee") == 0), True),
-            "_top_payee": Metric("max", F.col("_seen_payee") + 1, True),
-            "_merchant": Metric("sum", flag(_filled(merchant_column)), True),
-            "_reuse": Metric("sum", flag(~F.col("beneficiary_first_time")), True),
-            "_mandate": Metric("sum", flag(F.col("rail") == "upi_mandate"), True),
-            "_added": Metric("sum", added, True),
-            "_added_max": Metric("max", added, True),
-            "_agent": Metric("sum", flag(F.col("is_agent_initiated")), True),
+            "_amount": Metric("moments", F.expr("cast(amount as double)"), True),
+            "_sum": total("cents"),
+            "_squares": total("cast(amount as double) * cast(amount as double)"),
+            "_small": flag(f"cast(amount as double) < {SUBTHRESHOLD}D"),
+            "_payees": flag("_seen_payee = 0"),
+            "_top_payee": Metric("max", F.expr("_seen_payee + 1"), True),
+            "_merchant": flag(f"{merchant_column} IS NOT NULL AND cast({merchant_column} as string) <> ''"),
+            "_reuse": flag("NOT beneficiary_first_time"),
+            "_mandate": flag("rail = 'upi_mandate'"),
+            "_added": total("beneficiary_added_ago_s"),
+            "_added_max": Metric("max", F.col("beneficiary_added_ago_s"), True),
+            "_agent": flag("is_agent_initiated"),
         },
         hot,
     )
-    gap = (F.col("ts_us") - F.col("_prev_us")) / 1e6
-    agent_gap = F.when(F.col("is_agent_initiated"), (F.col("ts_us") - F.col("_prev_agent_us")) / 1e6)
-    prev_local = F.from_utc_timestamp(F.timestamp_micros("_prev_us"), tz)
-    new_day = F.col("_prev_us").isNull() | (F.to_date(prev_local) != F.to_date(local))
+
+    def wall(us: str) -> str:
+        return f"from_utc_timestamp(timestamp_micros({us}), '{tz}')"
+
+    new_day = f"_prev_us IS NULL OR to_date({wall('_prev_us')}) <> to_date({wall('ts_us')})"
+    gap = "(ts_us - _prev_us) / 1e6D"
     out = prefix_scan(
         out,
         keys,
         order,
         {
-            "_gap": Metric("moments", gap, True),
-            "_gap_min": Metric("min", gap, True),
-            "_gap_max": Metric("max", gap, True),
-            "_days": Metric("sum", flag(new_day), True),
-            "_agap": Metric("moments", agent_gap, True),
+            "_gap": Metric("moments", F.expr(gap), True),
+            "_gap_min": Metric("min", F.expr(gap), True),
+            "_gap_max": Metric("max", F.expr(gap), True),
+            "_days": Metric("sum", F.expr(f"CASE WHEN {new_day} THEN 1L ELSE 0L END"), True),
+            "_agap": Metric("moments", F.expr("CASE WHEN is_agent_initiated THEN (ts_us - _prev_agent_us) / 1e6D END"), True),
         },
         hot,
     )
-    n = (F.col("_prior_n") + 1).cast("double")
-    first = F.col("_prior_n") == 0
-    total = F.col("_sum") / 100.0
-    mean_gap = F.when(F.col("_gap_n") > 0, F.col("_gap_mean")).otherwise(NEVER_S)
-    std_gap = F.when(F.col("_gap_n") > 0, F.sqrt("_gap_var")).otherwise(0.0)
-    average = F.when(first, 0.0).otherwise(F.col("_prior_cents") / 100.0 / F.col("_prior_n"))
-    std = F.sqrt("_amount_var")
-    a_mean, a_std = F.col("_agap_mean"), F.sqrt("_agap_var")
-
-    def burst(s: Column, m: Column) -> Column:
-        return F.when(s + m > 0, (s - m) / (s + m)).otherwise(0.0)
+    never = f"{NEVER_S}D"
+    gap_mean = f"CASE WHEN _gap_n > 0 THEN _gap_mean ELSE {never} END"
+    gap_std = "CASE WHEN _gap_n > 0 THEN sqrt(_gap_var) ELSE 0D END"
+    average = "CASE WHEN _prior_n = 0 THEN 0D ELSE _prior_cents / 100D / _prior_n END"
+
+    def filled(c: str) -> str:
+        return f"{c} IS NOT NULL AND cast({c} as string) <> ''"
+
+    def burst(std: str, mean: str) -> str:
+        return f"CASE WHEN ({std}) + ({mean}) > 0 THEN (({std}) - ({mean})) / (({std}) + ({mean})) ELSE 0D END"
+
+    def share(count: str) -> str:
+        return f"cast({count} as double) / (_prior_n + 1)"
+
+    def first_seen(column: str, seen: str) -> str:
+        return f"CASE WHEN {filled(column)} AND {seen} = 0 THEN 1D ELSE 0D END"
 
     features = {
         "historical_average_amount": average,
-        "amount_deviation": F.when(first, 0.0).otherwise(F.abs(amount - average)),
-        "time_since_prev_txn": F.coalesce(gap, F.lit(NEVER_S)),
-        "new_merchant_indicator": flag(_filled("payee_id") & (F.col("_seen_payee") == 0)).cast("double"),
-        "new_device_indicator": flag(_filled("device_id") & (F.col("_seen_device") == 0)).cast("double"),
-        "new_ip_indicator": flag(_filled("ip_asn") & (F.col("_seen_ip") == 0)).cast("double"),
-        "inter_txn_time_mean": mean_gap,
-        "inter_txn_time_std": std_gap,
-        "inter_txn_time_min": F.coalesce("_gap_min", F.lit(NEVER_S)),
-        "inter_txn_time_max": F.coalesce("_gap_max", F.lit(NEVER_S)),
-        "txn_burstiness": burst(std_gap, mean_gap),
-        "active_days_count": F.col("_days").cast("double"),
-        "active_hours_count": F.bit_count("_hours").cast("double"),
-        "txns_per_active_day": n / F.col("_days"),
-        "amount_std": std,
-        "amount_cv": F.when(F.col("_amount_mean") > 0, std / F.col("_amount_mean")).otherwise(0.0),
-        "subthreshold_txn_ratio": _ratio(F.col("_small"), n),
-        "aggregate_to_threshold_ratio": total / AGGREGATE_THRESHOLD,
-        "amount_concentration": F.when(total > 0, F.col("_squares") / (total * total)).otherwise(1.0),
-        "unique_payee_count": F.col("_payees").cast("double"),
-        "merchant_diversity": _ratio(F.col("_payees"), n),
-        "same_payee_ratio": _ratio(F.col("_top_payee"), n),
-        "merchant_txn_ratio": _ratio(F.col("_merchant"), n),
-        "beneficiary_reuse_ratio": _ratio(F.col("_reuse"), n),
-        "txn_regularity": F.when(mean_gap > 0, std_gap / mean_gap).otherwise(0.0),
-        "mandate_txn_ratio": _ratio(F.col("_mandate"), n),
-        "mean_beneficiary_added_ago": _ratio(F.col("_added"), n),
-        "max_beneficiary_added_ago": F.col("_added_max").cast("double"),
-        "agent_txn_ratio": _ratio(F.col("_agent"), n),
-        "agent_txn_burstiness": F.when(F.col("_agap_n") > 0, burst(a_std, a_mean)).otherwise(0.0),
-        "time_since_prev_agent_txn": F.coalesce(
-            (F.col("ts_us") - F.col("_prev_agent_us")) / 1e6, F.lit(NEVER_S)
-        ),
+        "amount_deviation": f"CASE WHEN _prior_n = 0 THEN 0D ELSE abs(cast(amount as double) - ({average})) END",
+        "time_since_prev_txn": f"coalesce({gap}, {never})",
+        "new_merchant_indicator": first_seen("payee_id", "_seen_payee"),
+        "new_device_indicator": first_seen("device_id", "_seen_device"),
+        "new_ip_indicator": first_seen("ip_asn", "_seen_ip"),
+        "inter_txn_time_mean": gap_mean,
+        "inter_txn_time_std": gap_std,
+        "inter_txn_time_min": f"coalesce(_gap_min, {never})",
+        "inter_txn_time_max": f"coalesce(_gap_max, {never})",
+        "txn_burstiness": burst(gap_std, gap_mean),
+        "active_days_count": "cast(_days as double)",
+        "active_hours_count": "cast(bit_count(_hours) as double)",
+        "txns_per_active_day": "cast(_prior_n + 1 as double) / _days",
+        "amount_std": "sqrt(_amount_var)",
+        "amount_cv": "CASE WHEN _amount_mean > 0 THEN sqrt(_amount_var) / _amount_mean ELSE 0D END",
+        "subthreshold_txn_ratio": share("_small"),
+        "aggregate_to_threshold_ratio": f"_sum / 100D / {AGGREGATE_THRESHOLD}D",
+        "amount_concentration": "CASE WHEN _sum > 0 THEN _squares / ((_sum / 100D) * (_sum / 100D)) ELSE 1D END",
+        "unique_payee_count": "cast(_payees as double)",
+        "merchant_diversity": share("_payees"),
+        "same_payee_ratio": share("_top_payee"),
+        "merchant_txn_ratio": share("_merchant"),
+        "beneficiary_reuse_ratio": share("_reuse"),
+        "txn_regularity": f"CASE WHEN ({gap_mean}) > 0 THEN ({gap_std}) / ({gap_mean}) ELSE 0D END",
+        "mandate_txn_ratio": share("_mandate"),
+        "mean_beneficiary_added_ago": share("_added"),
+        "max_beneficiary_added_ago": "cast(_added_max as double)",
+        "agent_txn_ratio": share("_agent"),
+        "agent_txn_burstiness": f"CASE WHEN _agap_n > 0 THEN {burst('sqrt(_agap_var)', '_agap_mean')} ELSE 0D END",
+        "time_since_prev_agent_txn": f"coalesce((ts_us - _prev_agent_us) / 1e6D, {never})",
     }
-    return out.select(*df.columns, *[c.alias(name) for name, c in features.items()])
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], *[f"{sql} AS {name}" for name, sql in features.items()])
 
 
 HISTORY_INPUT = (
@@ -221,8 +228,8 @@ def behavioural_features(
     Two exchanges of the rows, one on the payee and one on the payer.
     """
     out = payee_velocity(payments, max_rows)
-    out = payer_velocity(out, max_rows)
-    return payer_history(out, tz, merchant_column, max_rows)
+    out = payer_velocity(out, max_rows, counted=payments)
+    return payer_history(out, tz, merchant_column, max_rows, counted=payments)
 
 
 def with_account_age(df: DataFrame, parties: DataFrame) -> DataFrame:
@@ -308,9 +315,12 @@ def feature_frame(
 
     Graph features come from history unless whole-window ``edges`` are given.
     """
-    base = asof_graph_features(payments, max_rows=max_rows) if edges is None else payments
-    out = behavioural_features(base, tz, max_rows=max_rows)
-    if edges is not None:
+    # Behaviour first: hot keys are then looked for in the source rows.
+    out = behavioural_features(payments, tz, max_rows=max_rows)
+    if edges is None:
+        graph = asof_graph_features(payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "cents"), max_rows=max_rows)
+        out = out.join(graph.drop("payer_id", "payee_id", "ts_us", "amount", "cents"), "txn_id")
+    else:
         out = with_graph_features(out, edges)
     return with_labels(with_account_age(calendar_features(out, tz), parties), labels)
 

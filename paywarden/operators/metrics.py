@@ -101,7 +101,7 @@ def curve(
         F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) != 1, w).otherwise(0)).alias("neg"),
     )
-    hot = find_hot_keys(points, by, "score", max_rows)
+    hot = find_hot_keys(scored.select(*by, F.col(score).alias("score")), by, "score", max_rows)
     scanned = prefix_scan(
         points, by, ["score"], {"tp": Metric("sum", F.col("pos"), True), "fp": Metric("sum", F.col("neg"), True)},
         hot, reverse=True,

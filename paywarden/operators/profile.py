@@ -196,7 +196,7 @@ def claimant_history(disputes: DataFrame, payments: DataFrame, max_rows: int = M
     rows = payments.select("txn_id", "payer_id", "ts_us").join(
         disputes.select("txn_id", "dispute_id"), "txn_id", "left"
     )
-    hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
+    hot = find_hot_keys(payments, ["payer_id"], "ts_us", max_rows)
     out = prefix_scan(
         rows,
         ["payer_id"],

@@ -14,10 +14,10 @@ def value_counts(
     df: DataFrame, keys: Sequence[str], value: str, max_rows: int = MAX_ROWS_PER_TASK
 ) -> DataFrame:
     """Distinct values per key with ``_n`` and ``_below``, the rows strictly under them."""
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    )
-    hot = find_hot_keys(counts, keys, value, max_rows)
+    rows = df.filter(F.col(value).isNotNull())
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    # A key has no more distinct values than rows, and rows are cheaper to count.
+    hot = find_hot_keys(rows, keys, value, max_rows)
     return prefix_scan(counts, keys, [value], {"_below": Metric("sum", F.col("_n"))}, hot=hot)
 
 

@@ -270,47 +270,38 @@ def sliding(
             within=[value],
         )
 
+    # Per event: its time, whether it is a row (0) or an exit (1), and what it changes.
     names: list[str] = []
-    row_delta: dict[str, Column] = {}
-    exit_delta: dict[str, dict[str, Column]] = {}
-    zero = F.lit(0).cast("long")
+    enter: dict[str, str] = {}
+    leave: dict[str, dict[str, str]] = {suffix: {} for suffix in windows}
     for suffix, width in windows.items():
-        leave: dict[str, Column] = {}
         if count:
             names.append(f"{count}_{suffix}")
-            row_delta[names[-1]] = F.lit(1).cast("long")
-            leave[names[-1]] = F.lit(-1).cast("long")
+            enter[names[-1]], leave[suffix][names[-1]] = "1L", "-1L"
         for name, value in sums.items():
             names.append(f"{name}_{suffix}")
-            v = F.coalesce(F.col(value).cast("long"), zero)
-            row_delta[names[-1]] = v
-            leave[names[-1]] = -v
+            enter[names[-1]] = f"coalesce(cast(`{value}` as bigint), 0L)"
+            leave[suffix][names[-1]] = f"-coalesce(cast(`{value}` as bigint), 0L)"
         for name, value in distincts.items():
+            # Equal values closer than the width form one stretch: it counts from its
+            # first row until the width after its last one.
             names.append(f"{name}_{suffix}")
-            filled = F.col(value).isNotNull() & (F.col(value).cast("string") != "")
-            prev, nxt = F.col(f"_prev_{name}"), F.col(f"_next_{name}")
-            starts = filled & (prev.isNull() | (F.col(ts) - prev > width))
-            ends = filled & (nxt.isNull() | (nxt - F.col(ts) > width))
-            row_delta[names[-1]] = F.when(starts, 1).otherwise(0).cast("long")
-            leave[names[-1]] = F.when(ends, -1).otherwise(0).cast("long")
-        exit_delta[suffix] = leave
-
-    def event(time: Column, kind: int, deltas: Mapping[str, Column], row: Column) -> Column:
-        return F.struct(
-            time.cast("long").alias("_t"),
-            F.lit(kind).alias("_k"),
-            *[deltas.get(n, zero).alias(f"_d_{n}") for n in names],
-            row.alias("_row"),
-        )
-
-    row = F.struct(*columns)
-    events = [event(F.col(ts), 0, row_delta, row)]
-    for suffix, width in windows.items():
-        empty = F.when(F.lit(False), row)
-        events.append(event(F.col(ts) + F.lit(width), 1, exit_delta[suffix], empty))
-    timeline = df.select(*keys, F.col(tie).alias("_tie"), F.explode(F.array(*events)).alias("_e")).select(
-        *keys, "_tie", "_e.*"
-    )
+            filled = f"`{value}` IS NOT NULL AND cast(`{value}` as string) <> ''"
+            prev, nxt = f"`_prev_{name}`", f"`_next_{name}`"
+            enter[names[-1]] = f"CASE WHEN {filled} AND ({prev} IS NULL OR `{ts}` - {prev} > {width}L) THEN 1L ELSE 0L END"
+            leave[suffix][names[-1]] = f"CASE WHEN {filled} AND ({nxt} IS NULL OR {nxt} - `{ts}` > {width}L) THEN -1L ELSE 0L END"
+
+    def event(time: str, kind: int, deltas: Mapping[str, str], row: str) -> str:
+        changes = ", ".join(f"'_d_{n}', {deltas.get(n, '0L')}" for n in names)
+        return f"named_struct('_t', cast({time} as bigint), '_k', {kind}, {changes}, '_row', {row})"
+
+    row = "struct(" + ", ".join(f"`{c}`" for c in columns) + ")"
+    events = [event(f"`{ts}`", 0, enter, row)] + [
+        event(f"`{ts}` + {width}L", 1, leave[suffix], f"if(false, {row}, null)") for suffix, width in windows.items()
+    ]
+    timeline = df.selectExpr(
+        *[f"`{k}`" for k in keys], f"`{tie}` AS _tie", f"explode(array({', '.join(events)})) AS _e"
+    ).selectExpr(*[f"`{k}`" for k in keys], "_tie", "_e.*")
     scanned = prefix_scan(
         timeline,
         keys,
@@ -319,5 +310,5 @@ def sliding(
         hot=hot,
     )
     # Key columns stay as they are, so their partitioning is still known afterwards.
-    own = [F.col(c) if c in keys else F.col(f"_row.{c}") for c in columns]
-    return scanned.filter(F.col("_k") == 0).select(*own, *names)
+    own = [f"`{c}`" if c in keys else f"_row.`{c}`" for c in columns]
+    return scanned.filter("_k = 0").selectExpr(*own, *[f"`{n}`" for n in names])
