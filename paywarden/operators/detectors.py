@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan, sliding
+from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan, prefix_scans, sliding
 
 MIN_US = 60_000_000
 HOUR_US = 60 * MIN_US
@@ -138,8 +138,11 @@ def adversarial_evasion(
     """Low and slow: spaced payments to known payees, each small, together large."""
     rows = payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "cents")
     hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
-    rows = prefix_scan(rows, ["payer_id"], ORDER, {"_known": Metric("sum", F.lit(1).cast("long"))}, hot, ["payee_id"])
-    rows = prefix_scan(rows, ["payer_id"], ORDER, {"_prev": Metric("lag", F.col("ts_us"))}, hot)
+    rows = prefix_scans(
+        rows, ["payer_id"], ORDER,
+        [(("payee_id",), {"_known": Metric("sum", F.lit(1).cast("long"))}), ((), {"_prev": Metric("lag", F.col("ts_us"))})],
+        hot,
+    )
     since = F.col("ts_us") - F.col("_prev")
     slow = rows.filter((F.col("_known") > 0) & (F.col("amount") < below) & since.between(*gap)).drop("_known", "_prev")
     out = sliding(
@@ -236,8 +239,11 @@ def credential_takeover(payments: DataFrame, width: int = 6 * HOUR_US, repeats:
     """A changed device far from home pays a new payee, then again."""
     rows = payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "device_id", "geo_matches_payer_home")
     hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
-    rows = prefix_scan(rows, ["payer_id"], ORDER, {"_device": Metric("last", F.col("device_id"))}, hot)
-    rows = prefix_scan(rows, ["payer_id"], ORDER, {"_n": Metric("sum", F.lit(1).cast("long"))}, hot, ["payee_id"])
+    rows = prefix_scans(
+        rows, ["payer_id"], ORDER,
+        [((), {"_device": Metric("last", F.col("device_id"))}), (("payee_id",), {"_n": Metric("sum", F.lit(1).cast("long"))})],
+        hot,
+    )
     start = (F.col("_device") != F.col("device_id")) & ~F.col("geo_matches_payer_home") & (F.col("_n") == 0)
     rows = prefix_scan(rows, ["payer_id"], ORDER, {"_start": Metric("min", F.when(start, F.col("ts_us")), True)}, hot, ["payee_id"])
     inside = rows.filter(F.col("ts_us") <= F.col("_start") + width)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.operators.graph import forwarding_times, graph_edges
-from paywarden.operators.scan import MAX_ROWS_PER_TASK, HotKeys, Metric, find_hot_keys, prefix_scan, sliding
+from paywarden.operators.scan import MAX_ROWS_PER_TASK, HotKeys, Metric, find_hot_keys, prefix_scan, prefix_scans, sliding
 
 HOUR_US = 3_600_000_000
 WINDOWS = {"last_1h": HOUR_US, "last_24h": 24 * HOUR_US}
@@ -104,8 +104,8 @@ def payer_history(
         "_payee_name", F.when(_filled("payee_id"), F.col("payee_id")).otherwise("unknown")
     )
     one = F.lit(1).cast("long")
-    for column, seen in (("_payee_name", "_seen_payee"), ("device_id", "_seen_device"), ("ip_asn", "_seen_ip")):
-        out = prefix_scan(out, keys, order, {seen: Metric("sum", one)}, hot, within=[column])
+    seen = (("_payee_name", "_seen_payee"), ("device_id", "_seen_device"), ("ip_asn", "_seen_ip"))
+    out = prefix_scans(out, keys, order, [((column,), {name: Metric("sum", one)}) for column, name in seen], hot)
 
     def total(sql: str) -> Metric:
         return Metric("sum", F.expr(sql), True)

@@ -13,11 +13,15 @@ DAY_US = 86_400_000_000
 
 
 def in_window(payments: DataFrame, start_us: int | None, end_us: int | None) -> DataFrame:
-    """Half-open time filter; pushes down to the scan of ``ts_us``."""
+    """Half-open time filter, on the stored ``timestamp`` where there is one so that Parquet can skip row groups."""
+    if "timestamp" in payments.columns:
+        ts, bound = F.col("timestamp"), lambda us: F.timestamp_micros(F.lit(us))
+    else:
+        ts, bound = F.col("ts_us"), F.lit
     if start_us is not None:
-        payments = payments.filter(F.col("ts_us") >= start_us)
+        payments = payments.filter(ts >= bound(start_us))
     if end_us is not None:
-        payments = payments.filter(F.col("ts_us") < end_us)
+        payments = payments.filter(ts < bound(end_us))
     return payments
 
 

@@ -213,12 +213,15 @@ def held_out_recall(
 ) -> DataFrame:
     """Recall of one attack family at each operating point."""
     rows = scored.filter((F.col("family") == family) & (F.col(label) == 1)).select(score)
-    hits = points.select("target_fpr", "threshold").join(rows, how="left")
-    return hits.groupBy("target_fpr", "threshold").agg(
-        F.count(score).alias("held_out_fraud_total"),
-        F.count_if(F.col(score) >= F.col("threshold")).alias("held_out_fraud_caught"),
-        F.avg((F.col(score) >= F.col("threshold")).cast("int")).alias("held_out_recall"),
-    )
+    # One row per target, so the points are what is broadcast.
+    points = points.select("target_fpr", "threshold")
+    caught = F.col(score) >= F.col("threshold")
+    hits = rows.crossJoin(F.broadcast(points)).groupBy("target_fpr").agg(
+        F.count("*").alias("held_out_fraud_total"),
+        F.count_if(caught).alias("held_out_fraud_caught"),
+        F.avg(caught.cast("int")).alias("held_out_recall"),
+    )
+    return points.join(hits, "target_fpr", "left").fillna(0, ["held_out_fraud_total", "held_out_fraud_caught"])
 
 
 def evasion(scored: DataFrame, threshold: float = EVASION_THRESHOLD, score: str = "score", by: str = "generation") -> DataFrame:

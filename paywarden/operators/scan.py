@@ -179,60 +179,78 @@ def _merge(name: str, m: Metric) -> dict[str, Column]:
     return {name: F.coalesce(here, c)}
 
 
-def prefix_scan(
+def prefix_scans(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    metrics: Mapping[str, Metric],
+    scans: Sequence[tuple[Sequence[str], Mapping[str, Metric]]],
     hot: HotKeys | None = None,
-    within: Sequence[str] = (),
     reverse: bool = False,
 ) -> DataFrame:
-    """Add running values of ``metrics`` over each key in ``order``.
+    """Add running values over each key in ``order``; ``reverse`` scans from the end.
 
-    ``within`` names columns that cut a key further (the payees of a payer);
-    hot chunks are still those of ``keys``. ``reverse`` scans from the end.
+    Each scan is ``(within, metrics)``: ``within`` names columns that cut a key
+    further (the payees of a payer), while hot chunks are still those of ``keys``.
+    The scans must not depend on each other. With hot keys the rows are written
+    once, and the chunk totals of all scans come from that copy.
     """
-    groups = [*keys, *within]
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
     def spec_for(cols):
         return (Window.partitionBy(*cols) if cols else Window.partitionBy()).orderBy(*ordering)
 
     if hot is None:
-        spec = spec_for(groups)
-        exprs: dict[str, Column] = {}
+        for within, metrics in scans:
+            spec = spec_for([*keys, *within])
+            exprs: dict[str, Column] = {}
+            for name, m in metrics.items():
+                exprs.update(_local(name, m, spec))
+            df = df.select("*", *[e.alias(n) for n, e in exprs.items()])
+        return df
+
+    base = cut_lineage(hot.assign(df, order[0]))
+    hot_rows = base.filter(F.col(CHUNK).isNotNull())
+    at = F.struct(*order)
+    out = base
+    for within, metrics in scans:
+        groups = [*keys, *within]
+        spec = spec_for([*groups, CHUNK])
+        chunk_spec = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(
+            F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
+        )
+        local, totals, carry, merged = {}, {}, {}, {}
         for name, m in metrics.items():
-            exprs.update(_local(name, m, spec))
-        return df.select("*", *[e.alias(n) for n, e in exprs.items()])
+            local.update(_local(name, m, spec))
+            totals.update(_totals(name, m, at, reverse))
+            carry.update(_carry(name, m, chunk_spec, reverse))
+            merged.update(_merge(name, m))
+        chunk_totals = (
+            hot_rows.groupBy(*groups, CHUNK)
+            .agg(*[e.alias(n) for n, e in totals.items()])
+            .select(*groups, CHUNK, *[e.alias(n) for n, e in carry.items()])
+        )
+        before = out.columns
+        left = out.select("*", *[e.alias(n) for n, e in local.items()])
+        # A null group value must still meet its own totals.
+        on = F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}")
+        for g in groups:
+            on = on & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
+        joined = left.alias("l").join(chunk_totals.alias("r"), on, "left").select("l.*", *[f"r.{n}" for n in carry])
+        out = joined.select(*before, *[e.alias(n) for n, e in merged.items()])
+    return out.drop(CHUNK)
 
-    df = cut_lineage(hot.assign(df, order[0]))
-    spec = spec_for([*groups, CHUNK])
-    chunk_spec = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(
-        F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
-    )
-    local, totals, carry, merged = {}, {}, {}, {}
-    at = F.struct(*order)
-    for name, m in metrics.items():
-        local.update(_local(name, m, spec))
-        totals.update(_totals(name, m, at, reverse))
-        carry.update(_carry(name, m, chunk_spec, reverse))
-        merged.update(_merge(name, m))
-    chunk_totals = (
-        df.filter(F.col(CHUNK).isNotNull())
-        .groupBy(*groups, CHUNK)
-        .agg(*[e.alias(n) for n, e in totals.items()])
-        .select(*groups, CHUNK, *[e.alias(n) for n, e in carry.items()])
-    )
-    # A null group value must still meet its own totals.
-    left = df.select("*", *[e.alias(n) for n, e in local.items()])
-    on = F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}")
-    for g in groups:
-        on = on & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    joined = left.alias("l").join(chunk_totals.alias("r"), on, "left")
-    joined = joined.select("l.*", *[f"r.{n}" for n in carry])
-    keep = [c for c in df.columns if c != CHUNK]
-    return joined.select(*keep, *[e.alias(n) for n, e in merged.items()])
+
+def prefix_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    metrics: Mapping[str, Metric],
+    hot: HotKeys | None = None,
+    within: Sequence[str] = (),
+    reverse: bool = False,
+) -> DataFrame:
+    """One scan; see ``prefix_scans``."""
+    return prefix_scans(df, keys, order, [(within, metrics)], hot, reverse)
 
 
 def sliding(
@@ -257,18 +275,12 @@ def sliding(
     """
     sums, distincts = dict(sums or {}), dict(distincts or {})
     columns = df.columns
-    for name, value in distincts.items():
-        df = prefix_scan(
-            df,
-            keys,
-            [ts, tie],
-            {
-                f"_prev_{name}": Metric("lag", F.col(ts)),
-                f"_next_{name}": Metric("lead", F.col(ts)),
-            },
-            hot=hot,
-            within=[value],
-        )
+    if distincts:
+        islands = [
+            ((value,), {f"_prev_{name}": Metric("lag", F.col(ts)), f"_next_{name}": Metric("lead", F.col(ts))})
+            for name, value in distincts.items()
+        ]
+        df = prefix_scans(df, keys, [ts, tie], islands, hot)
 
     # Per event: its time, whether it is a row (0) or an exit (1), and what it changes.
     names: list[str] = []

@@ -216,3 +216,14 @@ def test_side_inputs(spark, tmp_path):
     si.append_verdicts(verdict.withColumn("ts_us", F.lit(us(END))), store)
     back = si.read_verdicts(spark, store)
     assert back.count() == 2 and back.filter(F.col("verdict_date") == "2026-03-02").count() == 1
+
+
+def test_window_filter_reaches_the_scan(spark, tmp_path):
+    folder = str(tmp_path / "data")
+    ds.write_table(dataset(spark)["transactions"], "transactions", folder)
+    stored = ds.with_event_time(spark.read.schema(TRANSACTIONS).parquet(f"{folder}/transactions.parquet"))
+    edges = graph_edges(stored, us(START), us(START) + 7_200_000_000)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp" in plan and "LessThan(timestamp" in plan
+    assert "rail" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert edges.count() == 1
