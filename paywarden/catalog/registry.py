@@ -27,7 +27,7 @@ def query(name: str, covers: str, sql: str | None = None, **ctes: str):
 
     def add(fn: Callable[[DriverTables], DataFrame]):
         assert name not in QUERIES, name
-        body = oracle_with(sql, **ctes) if sql else None
+        body = (sql if sql.startswith("WITH ") else oracle_with(sql, **ctes)) if sql else None
         QUERIES[name] = Query(name, tuple(covers.split()), fn, body)
         return fn
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.catalog.features import D, H, HIST, HIST0, _rng
-from paywarden.catalog.registry import query, r, sr
+from paywarden.catalog.registry import QUERIES, query, r, sr
 from paywarden.catalog.scoring import CTES, LEVEL, LINKS, RECENT, SIM
 from paywarden.sources.adapter import DAY_US, HOUR_US, DriverTables
+from paywarden.operators.sessions import session_windows
 from paywarden.streaming.jobs import link_sessions, retrain_trigger, score_stream, session_summary, write_by_action
 from paywarden.streaming.quota import batch_quota, stream_quota
 from paywarden.streaming.velocity import online_velocity, payee_fan_in
@@ -52,6 +53,16 @@ def _drain(t: DriverTables, stream: DataFrame) -> DataFrame:
     SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY payer_id ORDER BY ts_us) AS gap FROM payments)) GROUP BY payer_id, island""",
 )
 def _sessions(t):
+    return session_windows(t.payments, 12 * HOUR_US, "payer_id")
+
+
+@query(
+    "session_windows_builtin",
+    "I-7",
+    QUERIES["session_windows"].sql,
+)
+def _sessions_builtin(t):
+    # Spark's own session windows, as the streaming job uses them.
     return session_summary(t.payments, "12 hours", "payer_id")
 
 

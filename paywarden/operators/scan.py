@@ -29,6 +29,13 @@ MAX_HOT_KEYS_ON_DRIVER = 1_000
 CHUNK = "_chunk"
 
 
+def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which null keys meet each other; only the left copy of the keys stays."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """Chunk bounds of the keys that are too large for one task."""
@@ -42,7 +49,7 @@ class HotKeys:
         """Add the chunk number; null for rows whose key is not hot."""
         when = F.col(order or self.order)
         bounds = F.broadcast(self.bounds) if self.small else self.bounds
-        joined = df.join(bounds, list(self.keys), "left") if self.keys else df.crossJoin(bounds)
+        joined = _join_on_keys(df, bounds, self.keys, "left") if self.keys else df.crossJoin(bounds)
         chunk = F.when(
             F.col("_bounds").isNotNull(),
             F.size(F.filter("_bounds", lambda b: b <= when.cast("double"))),
@@ -80,7 +87,7 @@ def find_hot_keys(
             if small
             else counts.select(*keys)
         )
-        hot_rows = slim.join(hot, list(keys), "left_semi")
+        hot_rows = _join_on_keys(slim, hot, keys, "left_semi")
     bounds = hot_rows.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_o", probs, 10_000)).alias("_bounds")
     )

@@ -168,3 +168,35 @@ def test_percent_rank_average_ties(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 5.0)], "k string, v double")
     got = sorted((r["k"], r["v"] or -1, r["p"]) for r in percent_rank_average(df, ["k"], "v", "p").collect())
     assert got == [("a", -1, None), ("a", 1.0, 0.5), ("a", 1.0, 0.5), ("a", 2.0, 1.0), ("b", 5.0, 1.0)]
+
+
+def test_null_keys_can_be_hot(spark):
+    rows = [(f"T{i:03d}", None if i % 2 else "a", i // 3) for i in range(80)]
+    df = spark.createDataFrame(rows, "txn_id string, k string, ts_us long")
+    hot = find_hot_keys(df, ["k"], "ts_us", 10)
+    assert hot.bounds.count() == 2
+    out = prefix_scan(df, ["k"], ["ts_us", "txn_id"], {"n": Metric("sum", F.lit(1))}, hot).collect()
+    for k in (None, "a"):
+        assert sorted(r["n"] for r in out if r["k"] == k) == list(range(40))
+
+
+def test_session_windows_under_skew(spark):
+    from paywarden.operators.sessions import session_windows
+    from paywarden.streaming.jobs import session_summary
+
+    df = spark.createDataFrame(make_rows(seed=8), SCHEMA).select(
+        "txn_id", "ts_us", F.col("payer_id").alias("session_id"), (F.col("cents") / 100).cast("decimal(12,2)").alias("amount"),
+        F.lit(True).alias("call_active_during_txn"), F.lit(False).alias("screen_share_active"), F.lit(1).alias("pin_attempts"),
+    )
+    # Whole-hour times never sit exactly on this gap.
+    want = sorted(map(tuple, session_summary(df, "90 minutes").collect()))
+    for max_rows in (10**9, 20):
+        assert sorted(map(tuple, session_windows(df, 5_400_000_000, max_rows=max_rows).collect())) == want
+
+
+def test_top_rows_per_group_are_limited_before_the_shuffle(spark):
+    from paywarden.operators.sessions import recent_in_session
+
+    df = spark.createDataFrame([("s", 1, "t")], "session_id string, ts_us long, txn_id string")
+    plan = recent_in_session(df)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
