@@ -110,7 +110,7 @@ def mule_network(
     # Read backwards in time, the trailing window is the time after the payment.
     back = find_hot_keys(timeline, ["party"], "_back_us", max_rows) if hot else None
     out = sliding(out, ["party"], "_back_us", "txn_id", {"next": forward}, sums={"out": "out"}, count=None, hot=back)
-    found = out.filter((c("in") > 0) & (c("payers_w") >= payers) & (c("out_next") >= c("in_w") * share))
+    found = out.filter(c("other").isNotNull() & (c("payers_w") >= payers) & (c("out_next") >= c("in_w") * share))
     return _hits(found, "mule_network", "party", c("ts_us") - fan_in, c("payers_w"))
 
 
