@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot leaves methods above 8000 bytes of bytecode interpreted. Wide rule and
+    # feature projections run faster when Spark splits them below that.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
