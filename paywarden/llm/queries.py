@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paywarden.llm import direct_codes, exact_dedup, licenses
+from paywarden.llm import direct_codes, exact_dedup, licenses, piece_merge, quality_trees
 from paywarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,13 @@ def op8_license_scan(spark, sf_dir):
 
 
 ORACLES["op8_license_scan"] = licenses.oracle()
+
+
+@query
+def op5_piece_merge(spark, sf_dir):
+    return piece_merge.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_quality_trees(spark, sf_dir):
+    return quality_trees.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
