@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paywarden.llm import direct_codes, exact_dedup, licenses, piece_merge, quality_trees
+from paywarden.llm import direct_codes, exact_dedup, licenses, order_filters, piece_merge, quality_trees
 from paywarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op5_piece_merge(spark, sf_dir):
 @query
 def op10_quality_trees(spark, sf_dir):
     return quality_trees.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_order_filters(spark, sf_dir):
+    return order_filters.jaccard_components(table(spark, sf_dir, "documents"))
