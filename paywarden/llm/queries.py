@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paywarden.llm import direct_codes, exact_dedup, licenses, order_filters, piece_merge, quality_trees
+from paywarden.llm import direct_codes, exact_dedup, licenses, order_filters, piece_merge, quality_trees, quant_neighbours
 from paywarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op10_quality_trees(spark, sf_dir):
 @query
 def op4_order_filters(spark, sf_dir):
     return order_filters.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quant_neighbours(spark, sf_dir):
+    return quant_neighbours.neighbour_components(table(spark, sf_dir, "embeddings"))
