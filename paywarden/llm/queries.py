@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paywarden.llm import direct_codes, exact_dedup, licenses, order_filters, piece_merge, quality_trees, quant_neighbours
+from paywarden.llm import direct_codes, exact_dedup, licenses, order_filters, page_template, piece_merge, quality_trees, quant_neighbours
 from paywarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op4_order_filters(spark, sf_dir):
 @query
 def op9_quant_neighbours(spark, sf_dir):
     return quant_neighbours.neighbour_components(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_page_template(spark, sf_dir):
+    return page_template.extract_pages(table(spark, sf_dir, "pages"))
