@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paywarden.llm import direct_codes, exact_dedup, licenses, order_filters, page_template, piece_merge, quality_trees, quant_neighbours
+from paywarden.llm import (
+    direct_codes,
+    exact_dedup,
+    length_buckets,
+    licenses,
+    order_filters,
+    page_template,
+    piece_merge,
+    quality_trees,
+    quant_neighbours,
+    quotes,
+)
 from paywarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +76,13 @@ def op9_quant_neighbours(spark, sf_dir):
 @query
 def op7_page_template(spark, sf_dir):
     return page_template.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_quotation_links(spark, sf_dir):
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op3_length_buckets(spark, sf_dir):
+    return length_buckets.pack_by_length(table(spark, sf_dir, "documents"))
