@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,11 +53,24 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are over.
+
+    They stay until the driver collects its garbage, which a driver with little to
+    do may not do for the length of a job. The second collection takes what the
+    first one only released.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+    spark._jvm.System.gc()
+
+
 def blank(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def text_chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs [from, to) of whole texts of about `limit` characters, to bound the memory of a task."""
     start = size = 0
     for i, t in enumerate(texts):

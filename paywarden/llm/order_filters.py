@@ -10,6 +10,10 @@ all tokens their prefixes of n - t + l tokens share l tokens. The orders used:
 2. and 3. by frequency, then other hashes. A candidate pair must also share a token of
    both these prefixes before its sets are compared.
 
+If a pair's first common token under order 1 is at living places i and j, it shares no
+more than the lesser of what either has from there on (its room). A pair that links
+meets that bound at its first common token, so it forms only where the bound holds.
+
 Equal sets are one class. Lists never become all pairs of their documents: in a few
 rounds every document of a list is compared with one hub of it, components so far are
 found, and what is left to compare are pairs of different components only.
@@ -25,10 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywarden.llm.common import blank, components, forget, text_chunks, written
+from paywarden.llm.common import blank, components, forget, settle, text_chunks, written
 from paywarden.llm.shingles import mixed, shingle_sets
 
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 
 def needed(n):
@@ -71,30 +75,34 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["doc", "d1", "d2", "tokens"],
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(halves[:, 0].copy()),
+                 pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                ["doc", "rows", "d1", "d2", "tokens"],
             )
 
 
 def _order_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Living prefix tokens of a document under orders 1 to 3, from its living tokens and their frequencies."""
     for batch in batches:
-        rows = {k: [] for k in ("doc", "o1", "o2", "o3")}
-        for doc, n, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            df = np.array([x["df"] for x in found], np.int64)
-            token = np.array([x["token"] for x in found], np.int64)
+        sizes = batch.column(1).to_numpy(zero_copy_only=False)
+        dfs, tokens = (batch.column(k).flatten().to_numpy() for k in (2, 3))
+        ends = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+        docs, flat, places, kept = [], ([], [], []), [], []
+        for doc, n, lo, hi in zip(batch.column(0).to_pylist(), sizes.tolist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
             # Dead tokens come first in every order by frequency and take their places.
-            places = n - needed(n) + 1 - (n - len(found))
-            if places > 0:
+            p = n - needed(n) + 1 - (n - (hi - lo))
+            if p > 0:
+                df, token = dfs[lo:hi], tokens[lo:hi]
                 h = token.view(np.uint64)
-                rows["doc"].append(doc)
-                for k, tie in (("o1", h), ("o2", mixed(h, 1)), ("o3", mixed(h, 2))):
-                    rows[k].append(token[np.lexsort([tie, df])[:places]])
-        lists = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["doc"], pa.int64()), *(pa.array(rows[k], lists) for k in ("o1", "o2", "o3"))], list(rows)
-        )
+                docs.append(doc)
+                kept.append((n, hi - lo))
+                places.append(min(p, hi - lo))
+                for out, tie in zip(flat, (h, mixed(h, 1), mixed(h, 2))):
+                    out.append(token[np.lexsort([tie, df])[:p]])
+        bounds = pa.array(np.concatenate([[0], np.cumsum(places)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.empty(0, np.int64), *out]))) for out in flat]
+        size, alive = (pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), size, alive, *lists], ["doc", "n", "alive", "o1", "o2", "o3"])
 
 
 def linked(shared: Column, n: Column, m: Column) -> Column:
@@ -114,81 +122,113 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return hit.where(linked(F.size(F.array_intersect("sa", "sb")).cast("long"), *size)).select("a", "b").distinct()
 
 
+def _may_link(n: str, room: str, t_n: str, t_room: str) -> Column:
+    """What two documents have from a common token on is enough for their sizes."""
+    return 7 * F.least(room, t_room) >= 3 * (F.col(n) + F.col(t_n))
+
+
 def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between representatives whose components are all those of the Jaccard graph."""
-    pair = [F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")]
+    side = ["doc", "n", "room", "label"]
+    pair = [F.least("doc", "t_doc").alias("a"), F.greatest("doc", "t_doc").alias("b")]
     edges, label = None, None
 
     def labelled() -> DataFrame:
         if label is None:
             return lists.withColumn("label", F.col("doc"))
         return lists.join(label, lists["doc"] == label["id"], "left").select(
-            "token", "doc", F.coalesce("component", "doc").alias("label")
+            "token", "doc", "n", "room", "dead_share", F.coalesce("component", "doc").alias("label")
         )
 
     for r in range(HUB_ROUNDS):
         open_ = labelled()
-        hub = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), "doc", "label")).alias("hub"))
-        pairs = open_.join(hub.select("token", F.col("hub.doc").alias("other"), F.col("hub.label").alias("theirs")), "token")
-        links = written(verified(pairs.where("label <> theirs").select(*pair).distinct(), sets))
+        # First the document with the smallest share of dead tokens, which most others are near to; then others.
+        rank = ["dead_share"] if r == 0 else []
+        hub = open_.groupBy("token").agg(F.min(F.struct(*rank, F.xxhash64("doc", F.lit(r)).alias("h"), *side)).alias("hub"))
+        pairs = open_.join(hub.select("token", *(F.col(f"hub.{c}").alias(f"t_{c}") for c in side)), "token")
+        pairs = pairs.where("label <> t_label").where(_may_link("n", "room", "t_n", "t_room")).select(*pair).distinct()
+        links = written(verified(pairs, sets))
         edges = links if edges is None else edges.union(links)
         label = written(components(edges))
-    open_ = labelled()
-    mixed_lists = open_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_ = written(open_.join(mixed_lists.select("token"), "token"))
-    by_label = open_.select("token", "label").distinct()
-    meet = by_label.join(by_label.select("token", F.col("label").alias("theirs")), "token").where("label < theirs")
-    other = open_.select("token", F.col("label").alias("theirs"), F.col("doc").alias("other"))
-    rest = meet.join(open_, ["token", "label"]).join(other, ["token", "theirs"]).select(*pair).distinct()
-    return edges.union(written(verified(rest, sets)))
+    # Labels that still meet in a list, with the best that a document of each can have there.
+    open_ = written(labelled())
+    best = open_.groupBy("token", "label").agg(F.max("room").alias("room"), F.min("n").alias("n"))
+    several = best.groupBy("token").agg(F.count("*").alias("labels")).where("labels > 1").select("token")
+    best = written(best.join(several, "token"))
+    other = best.select("token", F.col("label").alias("t_label"), F.col("room").alias("t_room"), F.col("n").alias("t_n"))
+    could = _may_link("n", "room", "t_n", "t_room")
+    meet = best.join(other, "token").where((F.col("label") < F.col("t_label")) & could)
+    mine = meet.select("token", "label", "t_label", "t_room", "t_n").join(open_, ["token", "label"]).where(could).drop("t_room", "t_n")
+    theirs = open_.select("token", *(F.col(c).alias(f"t_{c}") for c in side))
+    rest = mine.join(theirs, ["token", "t_label"]).where(could)
+    return edges.union(written(verified(rest.select(*pair).distinct(), sets)))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: components of Jaccard >= 0.75 on five-word shingles.
 
     Null and empty texts have no set and link with nothing. Rows without doc_id are
-    left out, as nothing could refer to them; rows that share a doc_id are one
-    document that has the links of each of them (n_shingles is the largest).
+    left out, as nothing could refer to them. Rows that share a doc_id are one
+    document; if their texts differ, the one with the largest set stands for it.
     """
+    spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", blank("text").alias("text"))
     tokens = texts.mapInArrow(_prefix_rows, "token long, n int, doc long")
     # Combined before the shuffle, so a token of a third of all rows is a few rows here.
     counted = tokens.groupBy("token", "n").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     # A token of one document counts against it; a document's own row keeps its size.
-    alone = counted.where("n = 0 AND lo = hi").select(F.col("lo").alias("doc"), F.lit(0).alias("n"), F.lit(0).alias("rows"))
-    own = counted.where("n > 0").select(F.col("token").alias("doc"), "n", F.col("c").alias("rows"))
+    own = F.col("n") > 0
+    told = counted.where("n > 0 OR lo = hi").select(
+        F.when(own, F.col("token")).otherwise(F.col("lo")).alias("doc"), "n", F.when(own, F.col("c")).otherwise(0).alias("rows")
+    )
     stats = written(
-        own.union(alone).groupBy("doc").agg(
-            (F.max("n") - 1).alias("n"), F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("dead"), F.sum("rows").alias("rows"))
+        told.groupBy("doc").agg((F.max("n") - 1).alias("n"), F.count(F.when(~own, 1)).alias("dead"), F.sum("rows").alias("rows"))
     )
+    settle(spark)
     t = F.expr("(3 * n + 3) div 4")
     alive = F.least("n", F.col("n") - t + 1 + F.expr("n div 16")) - F.col("dead")
-    passing = stats.where("n > 0").where((alive >= 1 + F.floor(t / 16)) | (F.col("rows") > 1)).select("doc")
-    sets = written(
-        texts.join(passing, texts["doc_id"] == passing["doc"], "left_semi")
-        .mapInArrow(_whole_sets, "doc long, d1 long, d2 long, tokens array<long>").where("size(tokens) > 0")
+    passing = stats.where("n > 0").where((alive >= 1 + F.floor(t / 16)) | (F.col("rows") > 1)).select("doc", "rows")
+    every = written(
+        texts.join(passing, texts["doc_id"] == passing["doc"]).select("doc_id", "text", "rows")
+        .mapInArrow(_whole_sets, "doc long, rows long, d1 long, d2 long, tokens array<long>").where("size(tokens) > 0")
+    )
+    settle(spark)
+    largest = F.max(F.struct(F.size("tokens").alias("n"), "d1", "d2", "tokens")).alias("s")
+    sets = every.where("rows = 1").select("doc", "d1", "d2", "tokens").union(
+        every.where("rows > 1").groupBy("doc").agg(largest).select("doc", "s.d1", "s.d2", "s.tokens")
+    )
+    classes = sets.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
+    members = written(sets.select("doc", "d1", "d2").join(classes, ["d1", "d2"]).select("doc", "rep"))
+    reps = written(
+        sets.join(members.where("doc = rep").select("doc"), "doc", "left_semi").select("doc", F.size("tokens").alias("n"), "tokens")
+    )
+    forget(spark, every)
+    settle(spark)
+    counted = reps.select("doc", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("df"), F.min("doc").alias("lo"), F.max("doc").alias("hi")
     )
-    classes = sets.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("members"))
-    members = written(sets.select("doc", "d1", "d2").join(classes, ["d1", "d2"]).select("doc", "d1", "rep"))
-    reps = sets.join(members.where("doc = rep").select("doc", "d1").distinct(), ["doc", "d1"], "left_semi")
-    postings = reps.select("doc", "d1", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    frequent = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    living = postings.join(frequent, "token").groupBy("doc", "d1", "n").agg(F.collect_list(F.struct("df", "token")).alias("found"))
-    prefixes = written(
-        living.select("doc", "n", "found").mapInArrow(_order_prefixes, "doc long, o1 array<long>, o2 array<long>, o3 array<long>")
+    dead = counted.where("lo = hi").groupBy(F.col("lo").alias("doc")).agg(F.sum("df").alias("dead"))
+    frequent = counted.where("lo <> hi").select("token", "df")
+    open_ = reps.join(dead, "doc", "left").where(F.col("n") - F.coalesce("dead", F.lit(0)) >= t)
+    living = open_.select("doc", "n", F.explode("tokens").alias("token")).join(frequent, "token")
+    living = living.groupBy("doc", "n").agg(F.collect_list("df").alias("dfs"), F.collect_list("token").alias("found"))
+    prefixes = written(living.mapInArrow(_order_prefixes, "doc long, n long, alive long, o1 array<long>, o2 array<long>, o3 array<long>"))
+    settle(spark)
+    posted = prefixes.select("doc", "n", "alive", F.posexplode("o1").alias("at", "token")).select(
+        "token", "doc", "n", (F.col("alive") - F.col("at")).alias("room"), (1 - F.col("alive") / F.col("n")).alias("dead_share")
     )
-    posted = prefixes.select("doc", F.explode("o1").alias("token"))
     shared = posted.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("token")
-    lists = written(posted.join(shared, "token").distinct())
+    lists = written(posted.join(shared, "token"))
     listed = lists.select("doc").distinct()
-    near = written(sets.join(listed, "doc", "left_semi").select("doc", "tokens").join(prefixes.select("doc", "o2", "o3"), "doc"))
+    near = written(reps.join(listed, "doc", "left_semi").select("doc", "tokens").join(prefixes.select("doc", "o2", "o3"), "doc"))
+    forget(spark, reps, prefixes)
+    settle(spark)
     component = components(_links(lists, near))
-    forget(docs.sparkSession, sets, prefixes, lists, near)
-    copies = members.where("doc <> rep").select("doc", "rep").distinct()
+    forget(spark, lists, near)
+    copies = members.where("doc <> rep")
     placed = copies.join(component, copies["rep"] == component["id"], "left").select(
         "doc", F.coalesce("component", "rep").alias("component")
     ).union(component.select(F.col("id").alias("doc"), "component"))
-    placed = placed.groupBy("doc").agg(F.min("component").alias("component"))
     return stats.join(placed, "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component", "doc").alias("component_id"),
