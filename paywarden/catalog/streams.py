@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from paywarden.catalog.registry import QUERIES, query, r, sr
 from paywarden.catalog.scoring import CTES, LEVEL, LINKS, RECENT, SIM
 from paywarden.sources.adapter import DAY_US, HOUR_US, DriverTables
 from paywarden.operators.sessions import session_windows
+from paywarden.session import scratch_folder
 from paywarden.streaming.jobs import link_sessions, retrain_trigger, score_stream, session_summary, write_by_action
 from paywarden.streaming.quota import batch_quota, stream_quota
 from paywarden.streaming.velocity import online_velocity, payee_fan_in
@@ -31,9 +31,8 @@ def _streams(t: DriverTables) -> StreamTables:
 
 
 def _folder(t: DriverTables) -> str:
-    """A new folder for one run, in the shared checkpoint folder when the session names one."""
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="paywarden-stream-")
+    """A new folder for one run, under the folder that all executors share."""
+    return f"{scratch_folder(t.spark, 'paywarden-stream-').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _drain(t: DriverTables, stream: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ defaults follow the published signatures, and every threshold is a parameter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan, prefix_scans, sliding
+from paywarden.operators.scan import MAX_ROWS_PER_TASK, HotKeys, Metric, find_hot_keys, prefix_scan, prefix_scans, sliding
 
 MIN_US = 60_000_000
 HOUR_US = 60 * MIN_US
@@ -306,31 +307,37 @@ def device_fan_out(payments: DataFrame, width: int = 2 * HOUR_US, payers: int =
     return _hits(out.filter(F.col("payers_w") >= payers), "device_fan_out", "device_id", F.col("ts_us") - width, F.col("payers_w"))
 
 
-def balance_drain_exit(
-    payments: DataFrame, width: int = 5 * MIN_US, band: tuple[float, float] = (0.85, 0.95), max_rows: int = MAX_ROWS_PER_TASK
-) -> DataFrame:
-    """Most of the last incoming payment leaves at once to a new third party."""
+def balance_drain_exit(payments: DataFrame, width: int = 5 * MIN_US, band: tuple[float, float] = (0.85, 0.95)) -> DataFrame:
+    """Most of an incoming payment leaves within ``width`` to a third party not paid before.
+
+    Every incoming payment of the window counts, the latest one inside the band
+    giving the evidence. Incoming payments are joined on party, time bucket and
+    amount bucket (one step of the band's ratio), so only pairs near the band form
+    and a busy party is dealt out by its times and amounts.
+    """
     c = F.col
-    rows = _scan(
-        payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "cents"),
-        ["payer_id"], {"_n": Metric("sum", F.lit(1).cast("long"))}, max_rows, ["payee_id"],
+    step = math.log(band[1] / band[0])
+    moved = payments.filter((c("payer_id") != c("payee_id")) & (c("cents") > 0)).select(
+        "txn_id", "payer_id", "payee_id", "ts_us", "amount", "cents", F.log(c("cents").cast("double")).alias("_ln"),
+        F.floor(c("ts_us") / width).alias("_t"),
     )
-    sides = F.array(
-        F.struct(c("payee_id").alias("party"), c("payer_id").alias("other"), F.lit(0).alias("k"), F.lit(False).alias("fresh")),
-        F.struct(c("payer_id").alias("party"), c("payee_id").alias("other"), F.lit(1).alias("k"), (c("_n") == 0).alias("fresh")),
+    came = moved.select(
+        c("payee_id").alias("party"), c("payer_id").alias("_from"), c("ts_us").alias("_in_ts"), c("txn_id").alias("_in_txn"),
+        c("cents").alias("_in_cents"), "_t", F.floor(c("_ln") / step).alias("_a"),
     )
-    timeline = rows.filter(c("payer_id") != c("payee_id")).select(
-        "txn_id", "ts_us", "amount", "cents", F.explode(sides).alias("_s")
-    ).select("txn_id", "ts_us", "amount", "cents", "_s.*")
-    parties = payments.select("ts_us", F.explode(F.array("payer_id", "payee_id")).alias("party"))
-    hot = find_hot_keys(parties, ["party"], "ts_us", max_rows)
-    received = F.when(c("k") == 0, F.struct("ts_us", "cents", "other"))
-    out = prefix_scan(timeline, ["party"], ["ts_us", "k", "txn_id"], {"_in": Metric("last", received)}, hot)
-    share = c("cents") / c("_in.cents")
-    found = out.filter(
-        (c("k") == 1) & c("fresh") & (c("ts_us") - c("_in.ts_us") <= width) & share.between(*band) & (c("other") != c("_in.other"))
+    first = payments.groupBy("payer_id", "payee_id").agg(F.min(F.struct("ts_us", "txn_id")).alias("_first"))
+    left = moved.join(first, ["payer_id", "payee_id"]).filter(c("_first.txn_id") == c("txn_id"))
+    low, high = (F.floor((c("_ln") - math.log(x)) / step + e) for x, e in ((band[1], -1e-9), (band[0], 1e-9)))
+    left = left.withColumn("_t", F.explode(F.array(c("_t"), c("_t") - 1))).withColumn("_a", F.explode(F.sequence(low, high)))
+    share = c("cents") / c("_in_cents")
+    pairs = left.withColumnRenamed("payer_id", "party").join(came, ["party", "_t", "_a"]).filter(
+        (c("_in_ts") <= c("ts_us")) & (c("ts_us") - c("_in_ts") <= width) & share.between(*band) & (c("payee_id") != c("_from"))
     )
-    return _hits(found, "balance_drain_exit", "party", c("_in.ts_us"), F.floor(share * 100 + 1e-9))
+    found = pairs.groupBy("txn_id", "party", "ts_us", "amount", "cents").agg(
+        F.max(F.struct("_in_ts", "_in_txn", "_in_cents")).alias("_in")
+    )
+    part = c("cents") / c("_in._in_cents")
+    return _hits(found, "balance_drain_exit", "party", c("_in._in_ts"), F.floor(part * 100 + 1e-9))
 
 
 def tpap_account_switch(payments: DataFrame, width: int = 40 * MIN_US, n: int = 3, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
@@ -388,6 +395,32 @@ def prior_merchants(payments: DataFrame, merchants: DataFrame) -> DataFrame:
     return payments.select("payer_id", "payee_id").distinct().join(known, "payee_id", "left_semi")
 
 
+def _nearest_control(rows: DataFrame, keys: list[str], band: tuple[float, float], hot: HotKeys | None) -> DataFrame:
+    """Adds ``m``, the legitimate row of the key with another payee whose amount is in the band and nearest.
+
+    Rows are put in amount order and each reads the last legitimate row before and
+    after it, and the last that pays someone else than that one; of equally near
+    rows the lower one counts.
+    """
+    c = F.col
+    order = ["cents", "txn_id"]
+    legit = ~c("is_fraud")
+    me = F.struct("cents", "txn_id", "payee_id")
+    for side, reverse in (("lo", False), ("hi", True)):
+        rows = prefix_scan(rows, keys, order, {f"_{side}": Metric("last", F.when(legit, me))}, hot, reverse=reverse)
+        other = F.when(legit & (c(f"_{side}.payee_id") != c("payee_id")), c(f"_{side}"))
+        rows = prefix_scan(rows, keys, order, {f"_{side}_other": Metric("last", other)}, hot, reverse=reverse)
+
+    def inside(side: str) -> Column:
+        near = F.when(c(f"_{side}.payee_id") != c("not_payee"), c(f"_{side}")).otherwise(c(f"_{side}_other"))
+        return F.when(near["cents"].between(c("cents") * band[0], c("cents") * band[1]), near)
+
+    found = rows.filter("is_fraud").select("*", inside("lo").alias("lo"), inside("hi").alias("hi"))
+    nearer_low = c("hi").isNull() | (c("cents") - c("lo.cents") <= c("hi.cents") - c("cents"))
+    picked = F.when(c("lo").isNotNull() & nearer_low, c("lo")).otherwise(c("hi"))
+    return found.select("txn_id", "campaign_id", "rail", "channel", "mcc", "not_payee", "cents", picked.alias("m")).filter("m IS NOT NULL")
+
+
 def matched_controls(
     payments: DataFrame,
     labels: DataFrame,
@@ -395,42 +428,34 @@ def matched_controls(
     payees_per_campaign: int = 3,
     max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
-    """A legitimate look-alike for each fraud payment, at most a few payees per campaign.
+    """A legitimate look-alike for each fraud payment, from at most a few payees per campaign.
 
-    The control has the same rail, channel and trade, another payee, and the
-    nearest amount (the lower one of two equally near) inside ``band``. Fraud and
-    legitimate rows are put in amount order once, and each fraud row reads the
-    last legitimate row before and after it; no candidate pairs are formed.
+    The control has the same rail, channel and trade, another payee, an amount
+    inside ``band`` and, among those, the nearest one (the lower of two equally
+    near). A campaign keeps the payees that most of its nearest controls pay; a
+    fraud payment whose nearest control pays another one takes the nearest of the
+    kept payees, if one is inside the band. No candidate pairs are formed.
     """
     c = F.col
     rows = payments.select("txn_id", "rail", "channel", F.coalesce("mcc", F.lit(-1)).alias("mcc"), "payee_id", "cents").join(
         labels.select("txn_id", "is_fraud", "campaign_id"), "txn_id"
     )
     keys = ["rail", "channel", "mcc"]
-    hot = find_hot_keys(payments.withColumn("mcc", F.coalesce("mcc", F.lit(-1))), keys, "cents", max_rows)
-    order = ["cents", "txn_id"]
-    legit = ~c("is_fraud")
-    me = F.struct("cents", "txn_id", "payee_id")
-    for side, reverse in (("lo", False), ("hi", True)):
-        rows = prefix_scan(rows, keys, order, {f"_{side}": Metric("last", F.when(legit, me))}, hot, reverse=reverse)
-        # The last legitimate row that pays someone else than the one just before.
-        other = F.when(legit & (c(f"_{side}.payee_id") != c("payee_id")), c(f"_{side}"))
-        rows = prefix_scan(rows, keys, order, {f"_{side}_other": Metric("last", other)}, hot, reverse=reverse)
-
-    def neighbour(side: str) -> Column:
-        return F.when(c(f"_{side}.payee_id") != c("payee_id"), c(f"_{side}")).otherwise(c(f"_{side}_other"))
-
-    fraud = rows.filter(c("is_fraud") & c("campaign_id").isNotNull()).select(
-        "txn_id", "campaign_id", "cents", neighbour("lo").alias("lo"), neighbour("hi").alias("hi")
+    rows = rows.filter(~c("is_fraud") | c("campaign_id").isNotNull()).withColumn("not_payee", c("payee_id"))
+    hot = find_hot_keys(rows, keys, "cents", max_rows)
+    picked = _nearest_control(rows, keys, band, hot)
+    w = Window.partitionBy("campaign_id").orderBy(c("_n").desc(), "payee_id")
+    kept = (
+        picked.groupBy("campaign_id", c("m.payee_id").alias("payee_id")).agg(F.count("*").alias("_n"))
+        .withColumn("_i", F.row_number().over(w)).filter(c("_i") <= payees_per_campaign).select("campaign_id", "payee_id")
     )
-    nearer_low = c("hi").isNull() | (c("cents") - c("lo.cents") <= c("hi.cents") - c("cents"))
-    picked = fraud.select(
-        "txn_id", "campaign_id", "cents", F.when(c("lo").isNotNull() & nearer_low, c("lo")).otherwise(c("hi")).alias("m")
-    ).filter(c("m.cents").between(c("cents") * band[0], c("cents") * band[1]))
-    picked = picked.select(
-        "txn_id", "campaign_id", c("m.txn_id").alias("control_txn_id"), c("m.payee_id").alias("control_payee_id")
+    asked = picked.drop("m", "payee_id").join(kept, "campaign_id").filter(c("payee_id") != c("not_payee"))
+    allowed = rows.filter(~c("is_fraud")).join(kept.select("payee_id").distinct(), "payee_id", "left_semi")
+    both = allowed.unionByName(asked.withColumn("is_fraud", F.lit(True)))
+    # Inside the key of a payee every control pays that payee, so no other one is looked for.
+    hot_payee = find_hot_keys(allowed, [*keys, "payee_id"], "cents", max_rows)
+    again = _nearest_control(both, [*keys, "payee_id"], band, hot_payee)
+    best = F.min(F.struct(F.abs(c("m.cents") - c("cents")).alias("far"), (c("m.cents") > c("cents")).alias("above"), "m"))
+    return again.groupBy("txn_id", "campaign_id").agg(best.alias("_b")).select(
+        "txn_id", "campaign_id", c("_b.m.txn_id").alias("control_txn_id"), c("_b.m.payee_id").alias("control_payee_id")
     )
-    by_payee = picked.groupBy("campaign_id", "control_payee_id").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("campaign_id").orderBy(c("_n").desc(), "control_payee_id")
-    kept = by_payee.withColumn("_i", F.row_number().over(w)).filter(c("_i") <= payees_per_campaign)
-    return picked.join(kept.select("campaign_id", "control_payee_id"), ["campaign_id", "control_payee_id"], "left_semi")

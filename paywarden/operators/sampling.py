@@ -60,10 +60,11 @@ def carve_validation(df: DataFrame, hash_value: Column, fraction: float = 0.15,
 
 def ensure_evaluation_splits(df: DataFrame, hash_value: Column, fraction: float = 0.15, split: str = "split") -> DataFrame:
     """Carve validation out of train when there is none; reuse it as test when there is no test."""
-    present = {r[0] for r in df.select(split).distinct().limit(10).collect()}
-    if "validation" not in present:
+    names = ("validation", "test")
+    present = df.agg(*[F.coalesce(F.bool_or(F.col(split) == n), F.lit(False)).alias(n) for n in names]).first()
+    if not present["validation"]:
         df = carve_validation(df, hash_value, fraction, split)
-    if "test" not in present:
+    if not present["test"]:
         df = df.unionByName(df.filter(F.col(split) == "validation").withColumn(split, F.lit("test")))
     return df
 

@@ -43,12 +43,23 @@ def local_session(app: str = "paywarden", cores: str = "*", partitions: int = 8)
     return configure(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    A folder is chosen here only when the session names none (tests).
+    Only a local master may do without either; there a temporary folder is shared too.
     """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="paywarden-ckpt-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch_folder(df.sparkSession, "paywarden-ckpt-"))
     return df.checkpoint(eager=True)

@@ -92,7 +92,7 @@ AUTH = {
 }
 
 TRANSACTION = {
-    "txn_id": "'T' || lpad(cast(event_id as string), 12, '0')",
+    "txn_id": "'T' || lpad(cast(event_id as string), cast(greatest(12, length(cast(event_id as string))) as int), '0')",
     "ts_us": "ts_us",
     "rail": "rail",
     "channel": _pick(
@@ -163,13 +163,17 @@ TRANSACTION = {
 
 # Ground truth and side inputs keyed by event, kept out of the transactions.
 SIDE = {
-    "fraud": "m4 % 12 = 0",
-    "lookalike": "m4 % 12 = 1",
-    "family": _pick("cast(floor(m4 / 12e0) as bigint) % 16", ATTACK_FAMILIES),
+    # Fraud follows what a payment shows (calls, shared screens, proxies, new payees, place), with hash noise.
+    "fraud": (
+        "m4 % 48 < 2 + CASE WHEN m1 % 23 = 0 THEN 12 ELSE 0 END + CASE WHEN m2 % 11 = 0 THEN 6 ELSE 0 END"
+        " + CASE WHEN m3 % 7 = 0 THEN 3 ELSE 0 END + CASE WHEN m1 % 4 = 0 THEN 3 ELSE 0 END + CASE WHEN m3 % 19 = 0 THEN 9 ELSE 0 END"
+    ),
+    "lookalike": "m4 % 48 >= 44",
+    "family": _pick("cast(floor(m4 / 48e0) as bigint) % 16", ATTACK_FAMILIES),
 }
 
 LABEL = {
-    "txn_id": "CASE WHEN event_id % 211 = 3 THEN 'TX' ELSE 'T' END || lpad(cast(event_id as string), 12, '0')",
+    "txn_id": "CASE WHEN event_id % 211 = 3 THEN 'TX' ELSE 'T' END || lpad(cast(event_id as string), cast(greatest(12, length(cast(event_id as string))) as int), '0')",
     "is_fraud": "fraud",
     "attack_id": "CASE WHEN fraud THEN family END",
     "campaign_id": (
@@ -213,7 +217,7 @@ REQUEST = {
 
 _S = "floor((CASE WHEN fraud THEN 0.25e0 + 0.75e0 * (m3 % 1000) / 1000e0 ELSE (m3 % 1000) / 1000e0 * (m3 % 1000) / 1250e0 END) * 1000) / 1000e0"
 SCORED = {
-    "txn_id": "'T' || lpad(cast(event_id as string), 12, '0')",
+    "txn_id": "'T' || lpad(cast(event_id as string), cast(greatest(12, length(cast(event_id as string))) as int), '0')",
     "ts_us": "ts_us",
     "y": "CASE WHEN fraud THEN 1 ELSE 0 END",
     "family": "CASE WHEN fraud THEN family ELSE '__legit__' END",
@@ -226,7 +230,7 @@ SCORED = {
 
 VERDICT = {
     "transaction_id": (
-        "CASE WHEN m1 % 50 = 0 THEN 'LIVE' ELSE 'T' END || lpad(cast(event_id as string), 12, '0')"
+        "CASE WHEN m1 % 50 = 0 THEN 'LIVE' ELSE 'T' END || lpad(cast(event_id as string), cast(greatest(12, length(cast(event_id as string))) as int), '0')"
     ),
     "ts_us": "ts_us + m1 * 60000000 + rep * 7200000000",
     "analyst_verdict": "CASE (m2 + rep) % 4 WHEN 0 THEN 'LEGITIMATE' WHEN 1 THEN 'UNSURE' ELSE 'FRAUD' END",
@@ -299,7 +303,7 @@ MANDATE = {
 
 DISPUTE = {
     "dispute_id": "'X' || cast(event_id as string)",
-    "txn_id": "'T' || lpad(cast(event_id as string), 12, '0')",
+    "txn_id": "'T' || lpad(cast(event_id as string), cast(greatest(12, length(cast(event_id as string))) as int), '0')",
     "raised_at_offset_days": "cast(1 + m1 % 30 as int)",
     "reason_code": _pick("m2 % 3", ["not_received", "unauthorised", "not_as_described"]),
 }

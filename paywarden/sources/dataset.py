@@ -27,13 +27,28 @@ def load_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """
     out = {}
     for name, schema in TABLES.items():
-        try:
-            out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
-        except AnalysisException as e:
-            raise FileNotFoundError(f"missing dataset table: {folder}/{name}.parquet") from e
+        path = f"{folder}/{name}.parquet"
+        found = _read_if_there(spark, path)
+        if found is None:
+            raise FileNotFoundError(f"missing dataset table: {path}")
+        # A declared schema would read an absent column as null.
+        absent = [f.name for f in schema.fields if f.name not in found.columns]
+        if absent:
+            raise ValueError(f"{path} lacks the columns {', '.join(absent)}")
+        out[name] = spark.read.schema(schema).parquet(path)
     return out
 
 
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """None for a path that does not exist; any other trouble is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def with_event_time(transactions: DataFrame) -> DataFrame:
     """Add the integer columns the operators scan: microseconds and cents."""
     return transactions.withColumns(
@@ -91,12 +106,7 @@ def layer(
 
 def read_existing(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
     """Union of the retained-row files that exist; None when there is none."""
-    found = []
-    for path in paths:
-        try:
-            found.append(spark.read.parquet(path))
-        except AnalysisException:
-            continue
+    found = [df for path in paths if (df := _read_if_there(spark, path)) is not None]
     if not found:
         return None
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

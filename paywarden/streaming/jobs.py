@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -31,10 +30,11 @@ def link_sessions(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            state = spark.read.schema(batch.schema).parquet(f"{state_path}/version={batch_id - 1}")
-        except AnalysisException:
+        # Only the first batch of a query has no state; a state that cannot be read must not pass for an empty one.
+        if batch_id == 0:
             state = spark.createDataFrame([], batch.schema)
+        else:
+            state = spark.read.schema(batch.schema).parquet(f"{state_path}/version={batch_id - 1}")
         touched = state.join(batch.select("session_id").distinct(), "session_id", "left_semi")
         new_ids = batch.select(F.col("txn_id").alias("target_txn"))
         links = session_links(touched.unionByName(batch), threshold, RECENT)

@@ -44,10 +44,11 @@ def test_edges_of_the_micro_case(spark):
     payments = ds.with_event_time(dataset(spark)["transactions"])
     for rows in (payments, payments.orderBy(F.col("ts_us").desc())):
         edges = {(r["src_party_id"], r["dst_party_id"]): r for r in graph_edges(rows, us(START), us(END)).collect()}
-        ab = edges[("a", "b")]
-        assert (ab["edge_count"], str(ab["edge_value_total"]), ab["mean_inter_arrival_s"]) == (2, "25.00", 7200.0)
-        assert (ab["src_out_degree"], ab["dst_in_degree"], ab["is_two_hop_passthrough"]) == (2, 1, True)
-        assert not edges[("a", "c")]["is_two_hop_passthrough"] and edges[("a", "c")]["mean_inter_arrival_s"] == 0.0
+        bc = edges[("b", "c")]
+        assert (bc["edge_count"], str(bc["edge_value_total"]), bc["mean_inter_arrival_s"]) == (3, "24.00", 5400.0)
+        assert (bc["src_out_degree"], bc["dst_in_degree"], bc["is_two_hop_passthrough"]) == (1, 1, True)
+        # d waits longer than a day before it pays on.
+        assert not edges[("c", "d")]["is_two_hop_passthrough"] and edges[("d", "a")]["mean_inter_arrival_s"] == 0.0
 
 
 def test_passthrough_needs_a_later_third_party(spark):
@@ -56,13 +57,15 @@ def test_passthrough_needs_a_later_third_party(spark):
         return {(r["src_party_id"], r["dst_party_id"]): r["is_two_hop_passthrough"] for r in graph_edges(payments).collect()}
 
     h = lambda n: START + timedelta(hours=n)
-    assert flag([txn(1, "a", "b", "10", h(1)), txn(2, "b", "c", "9", h(2))])[("a", "b")]
-    assert not flag([txn(1, "a", "b", "10", h(1)), txn(2, "b", "a", "9", h(2))])[("a", "b")]
-    assert not flag([txn(1, "a", "b", "10", h(1)), txn(2, "b", "c", "9", h(1))])[("a", "b")]
-    assert flag([txn(1, "a", "b", "10", h(1)), txn(2, "b", "c", "9", h(25))])[("a", "b")]
-    assert not flag([txn(1, "a", "b", "10", h(1)), txn(2, "b", "c", "9", h(26))])[("a", "b")]
-    # The first payment back to the payer does not hide the next one to someone else.
-    assert flag([txn(1, "a", "b", "10", h(1)), txn(2, "b", "a", "9", h(2)), txn(3, "b", "a", "9", h(3)), txn(4, "b", "d", "9", h(4))])[("a", "b")]
+    into = txn(1, "d", "c", "52", h(7))
+    onward = lambda i, to, hour: txn(i, "c", to, "48", h(hour))
+    assert flag([into, onward(2, "a", 11)])[("d", "c")]
+    assert not flag([into, onward(2, "d", 11)])[("d", "c")]
+    assert not flag([into, onward(2, "a", 7)])[("d", "c")]
+    assert flag([into, onward(2, "a", 31)])[("d", "c")]
+    assert not flag([into, onward(2, "a", 32)])[("d", "c")]
+    # Payments back to the payer do not hide the next one to someone else.
+    assert flag([into, onward(2, "d", 8), onward(3, "d", 9), onward(4, "b", 12)])[("d", "c")]
 
 
 def test_split_boundaries(spark):
@@ -142,7 +145,7 @@ def test_graph_dataset_job(spark, tmp_path):
     assert checks.count() == 0
     assert ds.load_dataset(spark, target)["graph_edges"].count() == 3
     (report,) = spark.read.json(f"{target}/manifest").collect()
-    assert report["row_counts"]["transactions"] == 4 and report["dataset_version"] == "v1"
+    assert report["row_counts"]["transactions"] == 5 and report["dataset_version"] == "v1"
     assert lifecycle.split_graph_counts(
         ds.with_event_time(ds.load_dataset(spark, target)["transactions"]), us(START), us(END)
     ).collect()[0]["n_edges"] == 3
@@ -156,25 +159,25 @@ def test_training_rows_hold_all_features(spark):
     got = {r["txn_id"]: r for r in out.collect()}
     assert got["t1"]["split"] == "test" and got["t2"]["split"] == "train"
     assert got["t3"]["is_fraud"] is False
-    # History only: the second a -> b payment knows one earlier edge payment.
-    assert got["t2"]["edge_count"] == 1.0 and got["t1"]["edge_count"] == 0.0
+    # History only: the second b -> c payment knows one earlier edge payment.
+    assert got["t3"]["edge_count"] == 1.0 and got["t2"]["edge_count"] == 0.0
     assert got["t1"]["txn_burstiness"] == -1.0 and got["t1"]["time_since_prev_txn"] == 999999.0
-    assert got["t1"]["tx_hour"] == 6  # 01:00 UTC is 06:30 in Kolkata
+    assert got["t1"]["tx_hour"] == 14  # 09:00 UTC is 14:30 in Kolkata
 
 
 def test_layer_and_existing_files(spark, tmp_path):
     base = dataset(spark)
     out = ds.layer(base, {"transactions": base["transactions"].limit(1).withColumn("origin", F.lit("attack"))})
-    assert out["transactions"].count() == 5 and "origin" in out["transactions"].columns
+    assert out["transactions"].count() == 6 and "origin" in out["transactions"].columns
     assert out["parties"] is base["parties"]
     path = str(tmp_path / "gen3")
     base["labels"].write.parquet(path)
-    assert ds.read_existing(spark, [path, str(tmp_path / "gen4")]).count() == 4
+    assert ds.read_existing(spark, [path, str(tmp_path / "gen4")]).count() == 5
     assert ds.read_existing(spark, [str(tmp_path / "gen5")]) is None
 
 
 def test_zoneless_timestamps_are_read_in_their_zone(spark):
-    df = spark.sql("SELECT timestamp_ntz'2026-03-02 05:30:00' AS t")
+    df = spark.sql("SELECT timestamp_ntz'2025-09-15 05:30:00' AS t")
     assert ds.normalise_timestamps(df, "Asia/Kolkata").select(F.unix_micros("t")).first()[0] == us(START)
 
 
@@ -215,14 +218,14 @@ def test_side_inputs(spark, tmp_path):
     si.append_verdicts(verdict, store)
     si.append_verdicts(verdict.withColumn("ts_us", F.lit(us(END))), store)
     back = si.read_verdicts(spark, store)
-    assert back.count() == 2 and back.filter(F.col("verdict_date") == "2026-03-02").count() == 1
+    assert back.count() == 2 and back.filter(F.col("verdict_date") == "2025-09-15").count() == 1
 
 
 def test_window_filter_reaches_the_scan(spark, tmp_path):
     folder = str(tmp_path / "data")
     ds.write_table(dataset(spark)["transactions"], "transactions", folder)
     stored = ds.with_event_time(spark.read.schema(TRANSACTIONS).parquet(f"{folder}/transactions.parquet"))
-    edges = graph_edges(stored, us(START), us(START) + 7_200_000_000)
+    edges = graph_edges(stored, us(START), us(START) + 14_400_000_000)
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(timestamp" in plan and "LessThan(timestamp" in plan
     assert "rail" not in plan.split("ReadSchema")[1].split("\n")[0]

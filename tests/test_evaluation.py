@@ -170,7 +170,7 @@ CASES = {
     "agent": lambda t, k: d.agentic_injection(t.payments, 700 * H, 1, max_rows=k),
     "insider": lambda t, k: d.insider_abuse(t.payments, 300 * H, 2, max_rows=k),
     "fan_out": lambda t, k: d.device_fan_out(t.payments, 300 * H, 2, max_rows=k),
-    "drain": lambda t, k: d.balance_drain_exit(t.payments, 48 * H, (0.3, 0.95), max_rows=k),
+    "drain": lambda t, k: d.balance_drain_exit(t.payments, 48 * H, (0.3, 0.95)),
     "switch": lambda t, k: d.tpap_account_switch(t.payments, 48 * H, 2, max_rows=k),
     "controls": lambda t, k: d.matched_controls(t.payments, t.labels, (0.2, 3.0), max_rows=k),
 }

@@ -49,8 +49,8 @@ def test_ramps(spark):
 def test_calm_payment_is_allowed(spark):
     (r,) = assess(spark)
     assert r["risk_score"] == 0.0 and (r["risk_level"], r["action"]) == ("LOW", "ALLOW")
-    assert r["contributing_signals"] == [] and r["key_evidence"] == ["Model prediction score"]
-    assert r["top_attack"] is None and r["attack_family_interpretation"].startswith("Attack-family classification is unavailable")
+    assert r["contributing_signals"] == [] and r["key_evidence"] == ["Score of the model"]
+    assert r["top_attack"] is None and r["attack_family_interpretation"].startswith("No pattern was named")
 
 
 def test_policy_floors(spark):
@@ -70,7 +70,7 @@ def test_policy_floors(spark):
     assert scores[2] == pytest.approx(98.0)
     assert scores[3:] == pytest.approx([75.0, 55.0, 0.0, 65.0, 70.0])
     assert got[3]["action"] == "BLOCK" and got[4]["action"] == "REVIEW"
-    assert "Transaction completed with no customer authentication" in got[3]["contributing_signals"]
+    assert "Paid without any authentication" in got[3]["contributing_signals"]
 
 
 def test_no_auth_rails_can_be_exempt(spark):
@@ -84,7 +84,7 @@ def test_severity_and_confidence(spark):
     assert r["expected_severity"] == pytest.approx(0.6 * 1.0 + 0.4 * 0.5)
     assert r["model_confidence"] == pytest.approx(0.8 * 0.7 + 0.6 * 0.3)
     assert r["model_uncertainty"] == pytest.approx(1 - r["model_confidence"])
-    assert "'mule_network' with a confidence of 60.0%" in r["attack_family_interpretation"]
+    assert "'mule_network' at 60.0%" in r["attack_family_interpretation"]
     assert r["risk_score"] <= 100.0
 
 
