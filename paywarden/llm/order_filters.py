@@ -33,6 +33,7 @@ from paywarden.llm.common import blank, components, forget, settle, text_chunks,
 from paywarden.llm.shingles import mixed, shingle_sets
 
 HUB_ROUNDS = 2
+CHUNK = 250_000  # characters of text at once in a task, for bounded memory
 
 
 def needed(n):
@@ -49,7 +50,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix tokens of order 0 as rows (token, n = 0, doc), and one row (0, n + 1, doc) per document."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
-        for i, j in text_chunks(texts):
+        for i, j in text_chunks(texts, CHUNK):
             sets = shingle_sets(texts[i:j])
             n = np.array([len(s) for s in sets])
             p = np.minimum(n, n - needed(n) + slack(n))
@@ -68,7 +69,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for i, j in text_chunks(texts):
+        for i, j in text_chunks(texts, CHUNK):
             sets = shingle_sets(texts[i:j])
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)

@@ -20,7 +20,7 @@ def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word)
