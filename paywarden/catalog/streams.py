@@ -78,13 +78,20 @@ def _stream_quota(t):
     return _drain(t, stream_quota(rows, DAY_US, 2))
 
 
+# What the watermark has passed when a stream with ten minutes of grace is drained.
+PASSED = "(SELECT max(ts_us) // 1000 * 1000 - 600000000 FROM payments)"
+AVERAGE = "(sum(cents) OVER (PARTITION BY payer_id ORDER BY ts_us, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / 100e0 / count(*) OVER (PARTITION BY payer_id ORDER BY ts_us, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+
+
 @query(
     "stream_velocity",
     "I-1",
-    f"""SELECT txn_id, cast(count(*) OVER {_rng('payer_id', H)} as double) AS txn_count_last_1h, cast(count(*) OVER {_rng('payer_id', D)} as double) AS txn_count_last_24h,
+    f"""SELECT * FROM (SELECT txn_id, cast(count(*) OVER {_rng('payer_id', H)} as double) AS txn_count_last_1h, cast(count(*) OVER {_rng('payer_id', D)} as double) AS txn_count_last_24h,
     coalesce(sum(cents) OVER {_rng('payer_id', H)}, 0) / 100e0 AS amount_spent_last_1h, coalesce(sum(cents) OVER {_rng('payer_id', D)}, 0) / 100e0 AS amount_spent_last_24h,
+    {sr(f'coalesce({AVERAGE}, 0)')} AS historical_average_amount, {sr(f'coalesce(abs(cents / 100e0 - {AVERAGE}), 0)')} AS amount_deviation,
     {sr('coalesce(gap, 999999)')} AS time_since_prev_txn, CASE WHEN rn_payee = 1 THEN 1e0 ELSE 0e0 END AS new_merchant_indicator,
-    CASE WHEN rn_device = 1 THEN 1e0 ELSE 0e0 END AS new_device_indicator, CASE WHEN rn_ip = 1 THEN 1e0 ELSE 0e0 END AS new_ip_indicator FROM hist""",
+    CASE WHEN rn_device = 1 THEN 1e0 ELSE 0e0 END AS new_device_indicator, CASE WHEN rn_ip = 1 THEN 1e0 ELSE 0e0 END AS new_ip_indicator FROM hist)
+    WHERE txn_id IN (SELECT txn_id FROM payments WHERE ts_us <= {PASSED})""",
     hist0=HIST0,
     hist=HIST,
 )
@@ -92,7 +99,7 @@ def _stream_velocity(t):
     out = _drain(t, online_velocity(_streams(t).payments))
     return out.select(
         "txn_id", "txn_count_last_1h", "txn_count_last_24h", "amount_spent_last_1h", "amount_spent_last_24h",
-        r("time_since_prev_txn").alias("time_since_prev_txn"), "new_merchant_indicator", "new_device_indicator", "new_ip_indicator",
+        *[r(c).alias(c) for c in ("historical_average_amount", "amount_deviation", "time_since_prev_txn")], "new_merchant_indicator", "new_device_indicator", "new_ip_indicator",
     )
 
 

@@ -1,12 +1,14 @@
-"""Online payer features: the same numbers as the batch windows, event by event."""
+"""Online payer features: the same numbers as the batch windows, in time order behind the watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 HOUR_US = 3_600_000_000
@@ -23,46 +25,84 @@ FEATURES = (
 OUTPUT = "payer_id STRING, txn_id STRING, ts_us BIGINT, " + ", ".join(f"{c} DOUBLE" for c in FEATURES)
 
 
+PENDING = "ts_us BIGINT, txn_id STRING, cents BIGINT, payee_id STRING, device_id STRING, ip_asn STRING"
+
+
+class Trailing:
+    """Count and sum of the payments of the last ``width`` microseconds, both ends closed."""
+
+    def __init__(self, width: int, rows: Iterable[tuple[int, int]] = ()):
+        self.width, self.rows, self.total = width, deque(), 0
+        for ts, cents in rows:
+            self.add(ts, cents)
+
+    def add(self, ts: int, cents: int) -> None:
+        self.rows.append((ts, cents))
+        self.total += cents
+
+    def at(self, ts: int) -> tuple[float, float]:
+        while self.rows and self.rows[0][0] < ts - self.width:
+            self.total -= self.rows.popleft()[1]
+        return float(len(self.rows)), self.total / 100.0
+
+
 class PayerVelocity(StatefulProcessor):
-    """Per payer: the payments of the last 24 h, running totals and the values seen.
+    """Per payer: payments the watermark has not passed, those of the last 24 h, running totals, values seen.
 
-    A timer drops the 24 h list once the watermark has passed it, so an idle payer
-    keeps only totals and seen values.
+    Payments wait until the watermark passes them and are then emitted in time
+    order, so rows that arrive out of order inside the watermark get the numbers of
+    the batch windows. Values seen and totals are kept for good: a payee is new once.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
+        self._pending = handle.getListState("pending", PENDING)
         self._recent = handle.getListState("recent", "ts_us BIGINT, cents BIGINT")
         self._totals = handle.getValueState("totals", "n BIGINT, cents BIGINT, last_us BIGINT")
         self._seen = handle.getMapState("seen", "kind STRING, value STRING", "at_us BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "txn_id"], kind="stable")
-        recent = [(int(r[0]), int(r[1])) for r in self._recent.get()] if self._recent.exists() else []
+        first = None
+        for frame in rows:
+            frame = frame.astype(object).where(frame.notna(), None)
+            self._pending.appendList([(int(r.ts_us), r.txn_id, int(r.cents), r.payee_id, r.device_id, r.ip_asn) for r in frame.itertuples(index=False)])
+            low = int(frame["ts_us"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self._handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((tuple(r) for r in self._pending.get()), key=lambda r: (r[0], r[1])) if self._pending.exists() else []
+        ready = [r for r in waiting if r[0] <= passed]
+        rest = waiting[len(ready) :]
+        if rest:
+            self._pending.put(rest)
+            self._handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self._pending.clear()
+        if not ready:
+            return
+        kept = [(int(r[0]), int(r[1])) for r in self._recent.get()] if self._recent.exists() else []
+        hour, day = Trailing(HOUR_US, kept), Trailing(DAY_US, kept)
         n, total, last = self._totals.get() if self._totals.exists() else (0, 0, None)
         out = []
-        for row in batch.itertuples(index=False):
-            ts, cents = int(row.ts_us), int(row.cents)
-            recent = [x for x in recent if x[0] >= ts - DAY_US]
-            hour = [x for x in recent if x[0] >= ts - HOUR_US]
+        for ts, txn_id, cents, payee, device, ip in ready:
+            (n_hour, sum_hour), (n_day, sum_day) = hour.at(ts), day.at(ts)
             average = total / 100.0 / n if n else 0.0
             out.append(
                 (
-                    key[0], row.txn_id, ts, float(len(hour)), float(len(recent)),
-                    sum(x[1] for x in hour) / 100.0, sum(x[1] for x in recent) / 100.0,
-                    average, abs(cents / 100.0 - average) if n else 0.0,
-                    (ts - last) / 1e6 if last is not None else NEVER_S,
-                    self._first("payee", row.payee_id, ts), self._first("device", row.device_id, ts),
-                    self._first("ip", row.ip_asn, ts),
+                    key[0], txn_id, ts, n_hour, n_day, sum_hour, sum_day, average,
+                    abs(cents / 100.0 - average) if n else 0.0, (ts - last) / 1e6 if last is not None else NEVER_S,
+                    self._first("payee", payee, ts), self._first("device", device, ts), self._first("ip", ip, ts),
                 )
             )
-            recent.append((ts, cents))
+            hour.add(ts, cents)
+            day.add(ts, cents)
             n, total, last = n + 1, total + cents, ts
-        self._recent.put(recent)
+        self._recent.put(list(day.rows))
         self._totals.update((n, total, last))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer((last + DAY_US) // 1000 + 1)
         yield pd.DataFrame(out, columns=["payer_id", "txn_id", "ts_us", *FEATURES])
 
     def _first(self, kind: str, value, ts: int) -> float:
@@ -73,16 +113,20 @@ class PayerVelocity(StatefulProcessor):
             self._seen.updateValue((kind, str(value)), (ts,))
         return 0.0 if known else 1.0
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._recent.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a stream has dropped so far because the watermark had passed them."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def online_velocity(payments: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Velocity features of a payments stream; rows later than ``late`` are dropped by the watermark."""
+    """Velocity features of a payments stream, emitted once the watermark is past a payment.
+
+    Rows later than ``late`` are dropped by the watermark; ``late_rows`` counts them.
+    """
     payments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = payments.select(
         "payer_id", "txn_id", "ts_us", "cents", "payee_id", "device_id", "ip_asn", F.timestamp_micros("ts_us").alias("event_time")

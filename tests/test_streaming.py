@@ -10,7 +10,7 @@ from paywarden.operators import features as feat
 from paywarden.operators.sessions import session_links
 from paywarden.streaming.jobs import link_sessions, retrain_trigger, score_stream, session_summary, write_by_action
 from paywarden.streaming.quota import batch_quota, decide, stream_quota
-from paywarden.streaming.velocity import online_velocity, payee_fan_in
+from paywarden.streaming.velocity import late_rows, online_velocity, payee_fan_in
 
 H = 3_600_000_000
 BASE = 1_704_067_200_000_000
@@ -56,31 +56,53 @@ def run(stream, mode, name, checkpoint):
     return q
 
 
-def test_online_velocity_matches_batch(spark, payments, tmp_path):
-    df, path = payments
-    out = online_velocity(stream_of(spark, df, path))
-    run(out, "append", "velocity", str(tmp_path / "cp"))
-    got = {r["txn_id"]: r.asDict() for r in spark.table("velocity").collect()}
+def closed(df, path):
+    """One more payment of nobody, long after the others, so that the watermark passes them all."""
+    df.limit(1).withColumns({"txn_id": F.lit("END"), "payer_id": F.lit("NOBODY"), "ts_us": F.lit(BASE + 900 * H)}).coalesce(1).write.mode("append").parquet(path)
+
+
+def batch_velocity(df):
     full = df.select(
         "*", F.lit(None).cast("string").alias("merchant_id"), F.lit("imps").alias("rail"), F.lit(False).alias("is_agent_initiated"),
         F.lit(False).alias("beneficiary_first_time"), F.lit("").alias("tpap_app"), F.lit("").alias("linked_account_id"),
     )
-    want = feat.payer_history(feat.payer_velocity(full)).collect()
-    assert len(got) == len(want) == 120
-    for w in want:
-        g = got[w["txn_id"]]
+    return {r["txn_id"]: r for r in feat.payer_history(feat.payer_velocity(full)).collect()}
+
+
+def assert_velocity(got, want):
+    assert set(got) == set(want)
+    for t, g in got.items():
         for c in g:
             if isinstance(g[c], float):
-                assert g[c] == pytest.approx(w[c]), (w["txn_id"], c)
+                assert g[c] == pytest.approx(want[t][c]), (t, c)
+
+
+def test_online_velocity_matches_batch(spark, payments, tmp_path):
+    df, path = payments
+    closed(df, path)
+    run(online_velocity(stream_of(spark, df, path)), "append", "velocity", str(tmp_path / "cp"))
+    assert_velocity({r["txn_id"]: r.asDict() for r in spark.table("velocity").collect()}, batch_velocity(df))
+
+
+def test_online_velocity_of_shuffled_files(spark, payments, tmp_path):
+    """Rows out of order within and across files, but inside the watermark, get the batch numbers."""
+    df, _ = payments
+    path = str(tmp_path / "shuffled")
+    for k in range(4):
+        df.filter(F.abs(F.xxhash64("txn_id")) % 4 == k).orderBy(F.hash("txn_id")).coalesce(1).write.mode("append").parquet(path)
+    closed(df, path)
+    run(online_velocity(stream_of(spark, df, path), "100 hours"), "append", "velocity_shuffled", str(tmp_path / "cp"))
+    assert_velocity({r["txn_id"]: r.asDict() for r in spark.table("velocity_shuffled").collect()}, batch_velocity(df))
 
 
-def test_late_rows_are_dropped(spark, payments, tmp_path):
+def test_late_rows_are_dropped_and_counted(spark, payments, tmp_path):
     df, path = payments
+    closed(df, path)
     late = df.limit(1).withColumns({"txn_id": F.lit("LATE"), "ts_us": F.lit(BASE - 48 * H)})
     late.coalesce(1).write.mode("append").parquet(path)
-    run(online_velocity(stream_of(spark, df, path)), "append", "velocity_late", str(tmp_path / "cp"))
+    q = run(online_velocity(stream_of(spark, df, path)), "append", "velocity_late", str(tmp_path / "cp"))
     ids = {r["txn_id"] for r in spark.table("velocity_late").collect()}
-    assert "LATE" not in ids and len(ids) == 120
+    assert "LATE" not in ids and len(ids) == 120 and late_rows(q) >= 1
 
 
 def test_payee_fan_in_windows(spark, payments, tmp_path):
