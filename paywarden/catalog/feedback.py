@@ -55,7 +55,7 @@ def _unknown(t):
     "D-30",
     f"""SELECT count(*) AS total_feedback, count(*) FILTER (analyst_verdict = 'FRAUD') AS fraud_confirmed,
     count(*) FILTER (analyst_verdict = 'LEGITIMATE') AS legitimate_confirmed, count(*) FILTER (analyst_verdict = 'UNSURE') AS unsure,
-    {sr("avg(analyst_confidence) FILTER (analyst_verdict = 'FRAUD')")} AS fraud_confidence, max(ts_us) AS last_updated_us, true AS should_retrain,
+    {sr("avg(analyst_confidence) FILTER (analyst_verdict = 'FRAUD')")} AS fraud_confidence, max(ts_us) AS last_updated_us, count(*) >= 5 OR count(*) FILTER (analyst_verdict = 'FRAUD') >= 5 AS should_retrain,
     'Enough fraud feedback (' || count(*) FILTER (analyst_verdict = 'FRAUD') || ' confirmed)' AS reason FROM verdicts""",
 )
 def _summary(t):

@@ -144,7 +144,7 @@ def _stream_links(t):
 @query(
     "stream_retrain_trigger",
     "I-5",
-    """SELECT count(*) AS total_feedback, count(*) FILTER (analyst_verdict = 'FRAUD') AS fraud_confirmed, true AS should_retrain FROM verdicts""",
+    """SELECT count(*) AS total_feedback, count(*) FILTER (analyst_verdict = 'FRAUD') AS fraud_confirmed, count(*) >= 5 OR count(*) FILTER (analyst_verdict = 'FRAUD') >= 5 AS should_retrain FROM verdicts""",
 )
 def _stream_trigger(t):
     folder = _folder(t)

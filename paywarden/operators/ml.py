@@ -8,9 +8,12 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     OneVsRest,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paywarden.operators import metrics
+from paywarden.operators.sampling import ensure_evaluation_splits
 from paywarden.operators.scan import Metric, find_hot_keys, prefix_scan
 from paywarden.schema import (
     BEHAVIORAL_FEATURES,
@@ -88,6 +92,25 @@ class FraudModel:
     numeric: list[str]
     threshold: float = 0.5
 
+    def save(self, path: str, version: int = 1) -> None:
+        """Write the fitted stages and what ``load`` needs besides, below ``path``; an older model there is replaced."""
+        spark = SparkSession.getActiveSession()
+        self.preprocessor.write().overwrite().save(f"{path}/preprocessor")
+        self.classifier.write().overwrite().save(f"{path}/classifier")
+        about = (type(self.classifier).__name__, list(self.categorical), list(self.numeric), self.threshold, version)
+        schema = "classifier string, categorical array<string>, numeric array<string>, threshold double, version int"
+        spark.createDataFrame([about], schema).coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FraudModel:
+        (about,) = spark.read.json(f"{path}/about").collect()
+        kinds = {c.__name__: c for c in (LogisticRegressionModel, RandomForestClassificationModel, GBTClassificationModel)}
+        row = about.asDict()
+        return FraudModel(
+            PipelineModel.load(f"{path}/preprocessor"), kinds[row["classifier"]].load(f"{path}/classifier"),
+            list(row.get("categorical") or []), list(row.get("numeric") or []), row["threshold"],
+        )
+
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         """Fraud probability of each row; works on streams too."""
         ready = self.preprocessor.transform(prepare(df.select("*"), self.categorical, self.numeric))
@@ -114,10 +137,16 @@ def train_fraud_model(
 ) -> tuple[FraudModel, DataFrame, DataFrame]:
     """Fit all candidates, keep the boosted trees, tune the threshold on validation.
 
-    ``df`` has ``split`` (train / validation / test), ``y`` and ``txn_id``. Returns
-    the model, the validation comparison and the scored test rows.
+    ``df`` has ``split`` (train / validation / test), ``y`` and ``txn_id``. Without
+    validation rows 15 % of the training rows, chosen by hash, become them; without
+    test rows validation stands in. Returns the model, the validation comparison and
+    the scored test rows.
     """
+    df = ensure_evaluation_splits(df, F.pmod(F.xxhash64("txn_id"), F.lit(10_000)))
     train = df.filter("split = 'train'")
+    kinds = train.select("y").distinct().limit(2).count()
+    if kinds < 2:
+        raise ValueError("training needs rows of both classes in the split 'train'")
     keep = usable_features(train, [*categorical, *numeric], numeric) if guard else [*categorical, *numeric]
     cats, nums = [c for c in categorical if c in keep], [c for c in numeric if c in keep]
     prepared = prepare(df, cats, nums).select("txn_id", "y", "split", *cats, *nums)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paywarden.operators import detectors as d
+from paywarden.operators import ml
 from paywarden.operators.sampling import ensure_evaluation_splits
 from paywarden.operators.sessions import session_links
 from paywarden.session import scratch_folder
@@ -124,3 +125,21 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_folder(Session(), "x-")
+
+
+def test_a_saved_model_scores_alike(spark, tmp_path):
+    rows = spark.range(600).select(
+        F.concat(F.lit("t"), "id").alias("txn_id"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit("train").alias("split"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"), (F.col("id") % 7 + F.col("id") % 3).cast("double").alias("x"),
+    )
+    models = {k: v for k, v in ml.classifiers(trees=3, rounds=2, depth=2).items() if k in ("logistic_regression", "boosted_trees")}
+    model, comparison, test = ml.train_fraud_model(rows, ["kind"], ["x"], models, guard=False)
+    # No validation rows were given: a share of the training rows was carved out, and stands in for the test rows.
+    assert 30 < test.count() < 200 and comparison.filter("pr_auc IS NULL").count() == 0
+    model.save(str(tmp_path / "model"), version=2)
+    model.save(str(tmp_path / "model"), version=3)
+    again = ml.FraudModel.load(spark, str(tmp_path / "model"))
+    assert (again.threshold, again.categorical, again.numeric) == (model.threshold, model.categorical, model.numeric)
+    assert sorted(map(tuple, again.score(rows).select("txn_id", "score").collect())) == sorted(map(tuple, model.score(rows).select("txn_id", "score").collect()))
+    with pytest.raises(ValueError, match="both classes"):
+        ml.train_fraud_model(rows.filter("y = 0"), ["kind"], ["x"], models)
