@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.catalog.features import SPLIT_CASE
@@ -18,16 +21,32 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+# Tables with closed vocabularies: name, relation of the oracle, key and columns.
+CLOSED = (
+    ("payments", "payments", "txn_id", ("rail", "channel", "direction", "auth_method", "auth_result", "exemption_claimed", "decision")),
+    ("labels", "labelrows", "txn_id", ("detectable_at",)),
+    ("parties", "parties", "party_id", ("party_type", "kyc_level")),
+    ("devices", "devices", "device_id", ("device_type",)),
+    ("merchants", "merchants", "merchant_id", ("volume_growth_curve",)),
+)
+
+
 @query(
     "vocabulary_violations",
     "B-24",
     " UNION ALL ".join(
-        f"SELECT txn_id, '{c}' AS \"column\", {c} AS value FROM payments WHERE {c} NOT IN {_in(VOCABULARIES[c])}"
-        for c in ("rail", "channel", "direction", "auth_method", "auth_result", "exemption_claimed", "decision")
+        f"SELECT '{table}' AS table_name, cast({key} as varchar) AS id, '{c}' AS \"column\", {c} AS value FROM {rel} WHERE {c} NOT IN {_in(VOCABULARIES[c])}"
+        for table, rel, key, columns in CLOSED for c in columns
     ),
 )
 def _vocabulary(t):
-    return validate.vocabulary_violations(t.payments, "txn_id")
+    parts = [
+        validate.vocabulary_violations(getattr(t, table), key).select(
+            F.lit(table).alias("table_name"), F.col(key).cast("string").alias("id"), "column", "value"
+        )
+        for table, _, key, _ in CLOSED
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _RULES = {
@@ -302,11 +321,13 @@ def _campaign_rows(t):
 @query(
     "dataset_metadata",
     "A-3",
-    """SELECT 'transactions' AS table_name, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us FROM payments
+    """SELECT 'v1' AS dataset_version, * FROM (SELECT 'transactions' AS table_name, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us FROM payments
     UNION ALL SELECT 'labels', count(*), NULL, NULL FROM labelrows
     UNION ALL SELECT 'parties', count(*), NULL, NULL FROM parties
     UNION ALL SELECT 'devices', count(*), min(first_seen_us), max(first_seen_us) FROM devices
-    UNION ALL SELECT 'mandates', count(*), min(created_us), max(created_us) FROM mandates""",
+    UNION ALL SELECT 'mandates', count(*), min(created_us), max(created_us) FROM mandates
+    UNION ALL SELECT 'merchants', count(*), min(onboarded_us), max(onboarded_us) FROM merchants
+    UNION ALL SELECT 'disputes', count(*), NULL, NULL FROM disputes)""",
 )
 def _metadata(t):
     return profile.dataset_metadata(
@@ -316,7 +337,10 @@ def _metadata(t):
             "parties": (t.parties, None),
             "devices": (t.devices, "first_seen_us"),
             "mandates": (t.mandates, "created_us"),
-        }
+            "merchants": (t.merchants, "onboarded_us"),
+            "disputes": (t.disputes, None),
+        },
+        "v1",
     )
 
 

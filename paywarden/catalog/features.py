@@ -355,13 +355,11 @@ _GRAPH_COLUMNS = ["payer_out_degree", "payee_in_degree", "edge_count", "edge_val
     FROM payments p LEFT JOIN edges1 e ON p.payer_id = e.payer_id AND p.payee_id = e.payee_id
     LEFT JOIN (SELECT payer_id, max(out_degree) AS d FROM edges1 GROUP BY payer_id) o ON o.payer_id = p.payer_id
     LEFT JOIN (SELECT payee_id, max(in_degree) AS d FROM edges1 GROUP BY payee_id) i ON i.payee_id = p.payee_id""",
-    early=f"SELECT * FROM payments WHERE ts_us < {START_US + 20 * DAY_US}",
-    edges0=EDGES_SQL.format(rel="early", same="", extra=""),
+    edges0=EDGES_SQL.format(rel="payments", same="", extra=""),
     edges1=DEGREES,
 )
 def _graph_full(t):
-    # Edges of the first 20 days, looked up by all payments: later pairs may miss.
-    edges = graph_edges(t.payments, START_US, START_US + 20 * DAY_US)
+    edges = graph_edges(t.payments)
     return feat.with_graph_features(t.payments.select("txn_id", "payer_id", "payee_id"), edges).select(
         "txn_id", *_GRAPH_COLUMNS
     )

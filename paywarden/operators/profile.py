@@ -87,15 +87,15 @@ def split_sizes(rows: DataFrame) -> DataFrame:
     )
 
 
-def dataset_metadata(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
-    """Row count and time range of each table."""
+def dataset_metadata(tables: dict[str, tuple[DataFrame, str | None]], version: str) -> DataFrame:
+    """Row count and time range of each table of a data set version."""
     out = None
     for name, (df, ts) in tables.items():
         lo = F.min(ts) if ts else F.lit(None).cast("long")
         hi = F.max(ts) if ts else F.lit(None).cast("long")
         row = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), lo.alias("first_us"), hi.alias("last_us"))
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.select(F.lit(version).alias("dataset_version"), "*")
 
 
 def prevalence(labels: DataFrame) -> DataFrame:
