@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,17 +145,25 @@ def dangling_rows(
 def foreign_key_violations(
     payments: DataFrame, parties: DataFrame, merchants: DataFrame, devices: DataFrame
 ) -> DataFrame:
-    checks = [
-        ("payer_id", parties, "party_id", "invalid payer reference"),
-        ("payee_id", parties, "party_id", "invalid payee reference"),
-        ("merchant_id", merchants, "merchant_id", "invalid merchant reference"),
-        ("device_id", devices, "device_id", "invalid device reference"),
-    ]
-    out = None
-    for column, ref, ref_column, reason in checks:
-        part = dangling_rows(payments, column, ref, ref_column, reason)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Payments whose party, merchant or device is set but unknown.
+
+    The references of all columns are reduced to distinct values in one pass over the
+    payments and checked together; a second pass finds the rows of the bad ones.
+    """
+    checks = {
+        "payer_id": (parties, "party_id", "invalid payer reference"),
+        "payee_id": (parties, "party_id", "invalid payee reference"),
+        "merchant_id": (merchants, "merchant_id", "invalid merchant reference"),
+        "device_id": (devices, "device_id", "invalid device reference"),
+    }
+
+    def references(df: DataFrame, *keep: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(reason).alias("reason"), F.col(c).cast("string").alias("value")) for c, (_, _, reason) in checks.items()])
+        return df.select(*keep, F.explode(pairs).alias("_r")).select(*keep, "_r.*").filter(F.col("value").isNotNull())
+
+    known = [ref.select(F.lit(reason).alias("reason"), F.col(key).cast("string").alias("value")) for ref, key, reason in checks.values()]
+    bad = references(payments).distinct().join(reduce(DataFrame.unionByName, known), ["reason", "value"], "left_anti")
+    return references(payments, "txn_id").join(bad, ["reason", "value"], "left_semi").select("txn_id", "reason")
 
 
 def edge_endpoint_violations(edges: DataFrame, parties: DataFrame) -> DataFrame:
@@ -262,7 +271,9 @@ def device_chain_violations(devices: DataFrame) -> DataFrame:
     )
 
 
-def first_violations(violations: DataFrame, rule: str = "rule", id_column: str = "txn_id", n: int = 5) -> DataFrame:
+def first_violations(
+    violations: DataFrame, rule: str | Sequence[str] = "rule", id_column: str = "txn_id", n: int = 5
+) -> DataFrame:
     """The first ``n`` ids per rule; Spark limits each group before the shuffle."""
-    w = Window.partitionBy(rule).orderBy(id_column)
+    w = Window.partitionBy(*([rule] if isinstance(rule, str) else rule)).orderBy(id_column)
     return violations.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)

@@ -18,6 +18,7 @@ from paywarden.operators.graph import graph_edges
 from paywarden.operators.scoring import assess, narrate
 from paywarden.operators.splits import assign_split, hold_out_family, split_windows
 from paywarden.schema import CATEGORICAL_FEATURES
+from paywarden.session import cut_lineage
 from paywarden.sources.dataset import load_dataset, manifest, with_event_time, write_report, write_table
 
 HELD_OUT_FAMILY = "synthetic_identity_bustout"
@@ -91,8 +92,9 @@ def leakage_checks(
     if leaked:
         spark = payments.sparkSession
         parts.append(spark.createDataFrame([("features", "label-only fields", c) for c in leaked], "check string, rule string, id string"))
-    broken = reduce(DataFrame.unionByName, parts)
-    firsts = validate.first_violations(broken, "rule", "id", examples).groupBy("check", "rule").agg(
+    # Read twice below: the checks behind it run once.
+    broken = cut_lineage(reduce(DataFrame.unionByName, parts))
+    firsts = validate.first_violations(broken, ["check", "rule"], "id", examples).groupBy("check", "rule").agg(
         F.sort_array(F.collect_list("id")).alias("examples")
     )
     return broken.groupBy("check", "rule").agg(F.count("*").alias("n")).join(firsts, ["check", "rule"], "left")
