@@ -186,11 +186,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         told.groupBy("doc").agg((F.max("n") - 1).alias("n"), F.count(F.when(~own, 1)).alias("dead"), F.sum("rows").alias("rows"))
     )
     settle(spark)
+    # Hints below keep one plan at every size: what passes grows with the corpus, so it is never broadcast.
     t = F.expr("(3 * n + 3) div 4")
     alive = F.least("n", F.col("n") - t + 1 + F.expr("n div 16")) - F.col("dead")
     passing = stats.where("n > 0").where((alive >= 1 + F.floor(t / 16)) | (F.col("rows") > 1)).select("doc", "rows")
     every = written(
-        texts.join(passing, texts["doc_id"] == passing["doc"]).select("doc_id", "text", "rows")
+        texts.join(passing.hint("merge"), texts["doc_id"] == passing["doc"]).select("doc_id", "text", "rows")
         .mapInArrow(_whole_sets, "doc long, rows long, d1 long, d2 long, tokens array<long>").where("size(tokens) > 0")
     )
     settle(spark)
@@ -201,7 +202,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = sets.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
     members = written(sets.select("doc", "d1", "d2").join(classes, ["d1", "d2"]).select("doc", "rep"))
     reps = written(
-        sets.join(members.where("doc = rep").select("doc"), "doc", "left_semi").select("doc", F.size("tokens").alias("n"), "tokens")
+        sets.join(members.where("doc = rep").select("doc").hint("merge"), "doc", "left_semi").select("doc", F.size("tokens").alias("n"), "tokens")
     )
     forget(spark, every)
     settle(spark)
@@ -210,7 +211,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     dead = counted.where("lo = hi").groupBy(F.col("lo").alias("doc")).agg(F.sum("df").alias("dead"))
     frequent = counted.where("lo <> hi").select("token", "df")
-    open_ = reps.join(dead, "doc", "left").where(F.col("n") - F.coalesce("dead", F.lit(0)) >= t)
+    open_ = reps.join(dead.hint("merge"), "doc", "left").where(F.col("n") - F.coalesce("dead", F.lit(0)) >= t)
     living = open_.select("doc", "n", F.explode("tokens").alias("token")).join(frequent, "token")
     living = living.groupBy("doc", "n").agg(F.collect_list("df").alias("dfs"), F.collect_list("token").alias("found"))
     prefixes = written(living.mapInArrow(_order_prefixes, "doc long, n long, alive long, o1 array<long>, o2 array<long>, o3 array<long>"))
@@ -226,6 +227,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     settle(spark)
     component = components(_links(lists, near))
     forget(spark, lists, near)
+    settle(spark)
     copies = members.where("doc <> rep")
     placed = copies.join(component, copies["rep"] == component["id"], "left").select(
         "doc", F.coalesce("component", "rep").alias("component")
