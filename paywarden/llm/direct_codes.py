@@ -14,16 +14,19 @@ The last level has no bitmap or directory.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, count, filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paywarden.llm.common import blank, shared_folder, text_chunks
+from paywarden.llm.common import blank, shared_folder
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -99,58 +102,161 @@ class Codes:
         return out
 
 
+# Letters whose lower case and normal form are one code point each, and ASCII marks behind
+# them (no apostrophe, which can begin a word of its own): such a piece is one word of the
+# model, or two with the run of marks.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+[{re.escape(_MARKS)}]*")
+_BORDER = re.compile(f"([a-zß-öø-ÿ])([{re.escape(_MARKS)}])")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary spells the plain letters that are not ASCII."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    spelt = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)} | {1: spelt[1]}
+
+
 class WordCache(dict):
-    """Ids of blank-separated pieces of text, found once per worker by the tokenizer.
+    """Ids of blank-separated pieces of text, found once by the tokenizer and kept while they are in use.
 
     The tokenizer drops white space, and neither its normaliser nor its merges look
-    across a blank or line feed, so the ids of a text are those of its pieces in order.
+    across a blank or line feed, so the ids of a text are those of its pieces in
+    order. New pieces go to the tokenizer in lines of many, parted by a control
+    character whose id marks where each ends; pieces that hold that character go
+    alone. Plain words skip the normaliser and the word pattern, which would leave
+    them as they are. When the cache is full, pieces that were not used more than
+    twice since the last time leave it. Arrow splits the texts and finds the distinct
+    pieces of a chunk, so only those are looked up in Python.
     """
 
     LIMIT = 400_000
+    LINE = 256
+    BLOCK = 64 * LINE
+    PART = "\x01"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spelling = _byte_letters()
+        part = self._ids(self.tokenizer, [self.PART])[0]
+        self.part_id = part[0] if len(part) == 1 else None
+        # The short cut holds only for a model that spells and parts plain words alike both ways.
+        probe = ["Étude", "straße,", "The.", "THE!!", "of%%%", "a(&"]
+        self.plain = self.part_id is not None and self._parted(self.lean, probe)[1].tolist() == sum(self._ids(self.tokenizer, probe), [])
+        self._reset()
+
+    def _reset(self) -> None:
         self.clear()
-        self.waiting: list[str] = []
-        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
-
-    def __missing__(self, piece: str) -> int:
-        self.waiting.append(piece)
-        self[piece] = k = len(self)
-        return k
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.empty(0, np.uint32)
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes_spelt(self, line: str) -> str:
+        """A line of plain words as the vocabulary spells it: no spelling holds a letter that has one."""
+        line = _BORDER.sub(r"\1 \2", line.lower())
+        for c in {self.PART} if line.isascii() else set(line):
+            if c > "\x7f" or c == self.PART:
+                line = line.replace(c, self.spelling[ord(c)])
+        return line
+
+    def _parted(self, tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all of them."""
+        end = f" {self.PART} "
+        lines = [end.join(pieces[k : k + self.LINE]) + end for k in range(0, len(pieces), self.LINE)]
+        if tokenizer is self.lean:
+            lines = [self._bytes_spelt(x) for x in lines]
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(r, np.uint32) for r in self._ids(tokenizer, lines))])
+        ends = np.flatnonzero(ids == self.part_id)
+        return np.diff(np.concatenate([[-1], ends])) - 1, ids[ids != self.part_id]
+
+    def _learn(self, new: list[str]) -> None:
+        """Give each new piece a number and its ids: plain words first, the odd ones last."""
+        if self.part_id is None:
+            plain, usual, odd = [], [], new
+        else:
+            is_plain = _PLAIN.fullmatch if self.plain else lambda p: None
+            plain, rest = list(filter(is_plain, new)), list(filterfalse(is_plain, new))
+            usual, odd = [p for p in rest if self.PART not in p], [p for p in rest if self.PART in p]
+        self.update(zip(chain(plain, usual, odd), count(len(self))))
+        found = [self._parted(self.lean, plain[i : i + self.BLOCK]) for i in range(0, len(plain), self.BLOCK)]
+        found += [self._parted(self.tokenizer, usual[i : i + self.BLOCK]) for i in range(0, len(usual), self.BLOCK)]
+        if odd:
+            ids = self._ids(self.tokenizer, odd)
+            found.append((np.array([len(x) for x in ids]), np.array(sum(ids, []), np.uint32)))
+        lengths = np.concatenate([n for n, _ in found])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, *(x for _, x in found)])
+        self.used = np.pad(self.used, (0, len(new)))
+
+    def _shrink(self) -> None:
+        kept = [p for p, n in zip(self, self.used.tolist()) if n > 2]
+        at = np.flatnonzero(self.used > 2)
+        starts, lengths, flat = self.starts[at], self.lengths[at], self.flat
+        self._reset()
+        if len(kept) < self.LIMIT // 2:
+            self.update(zip(kept, count()))
+            self.starts, self.lengths, self.flat = np.cumsum(lengths) - lengths, lengths, flat[_spread(starts, lengths)]
+            self.used = np.zeros(len(kept), np.int64)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each."""
         if len(self) > self.LIMIT:
-            self.reset()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((k for s in split for k in map(self.__getitem__, s)), np.int64, int(sizes.sum()))
-        if self.waiting:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.waiting, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.flat, self.waiting = np.concatenate([self.flat, flat]), []
-        starts, lengths = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+            self._shrink()
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        sizes = split.value_lengths().to_numpy(zero_copy_only=False)
+        found = split.flatten().dictionary_encode()
+        pieces = found.dictionary.to_pylist()
+        codes = np.fromiter(map(self.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            missed = [pieces[i] for i in missing.tolist()]
+            self._learn(missed)
+            codes[missing] = np.fromiter(map(self.__getitem__, missed), np.int64, len(missed))
+        codes = codes[found.indices.to_numpy()]
+        self.used += np.bincount(codes, minlength=len(self))
+        lengths = self.lengths[codes]
+        ids = self.flat[_spread(self.starts[codes], lengths)]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
         return ids, np.diff(bounds)
 
 
+def _runs(sizes: np.ndarray, limit: int = 3_000_000) -> Iterator[tuple[int, int]]:
+    """Runs [from, to) of whole texts of about `limit` bytes."""
+    run = np.cumsum(sizes, dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+    return ((i, j) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at `starts`, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 _caches: dict[str, WordCache] = {}
 
+
+def _cache(tokenizer: str) -> WordCache:
+    # A module's function is sent to tasks by name, so all tasks of a worker share the module's cache.
+    if tokenizer not in _caches:
+        _caches[tokenizer] = WordCache(tokenizer)
+    return _caches[tokenizer]
+
+
 SEGMENT = "part int, segment int, before long, doc_ids array<long>, lengths array<int>, payload binary"
 
 
-def write_token_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str, segment_tokens: int = 1 << 20) -> None:
+def write_token_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str, segment_tokens: int = 1 << 18) -> None:
     """Encode texts and write their ids in ascending doc_id order.
 
     `folder`/segments holds the segments (whole documents, about `segment_tokens`
@@ -166,7 +272,7 @@ def write_token_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = _caches.get(tokenizer) or _caches.setdefault(tokenizer, WordCache(tokenizer))
+        cache = _cache(tokenizer)
         part, segment, before = TaskContext.get().partitionId(), 0, 0
         names, ids, lengths, held = [], [], [], 0
 
@@ -181,9 +287,9 @@ def write_token_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
             )
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in text_chunks(texts):
-                found, n = cache.encode(texts[i:j])
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, j in _runs(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                found, n = cache.encode(texts.slice(i, j - i))
                 ids.append(np.insert(found, np.cumsum(n), np.uint32(end_id)))
                 lengths.append((n + 1).astype(np.int32))
                 names += doc_ids[i:j]
