@@ -279,7 +279,9 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def _encoder(path: str) -> PieceEncoder:
-    return _encoders.get(path) or _encoders.setdefault(path, PieceEncoder(path))
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def _by_text(make):
