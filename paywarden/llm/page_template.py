@@ -50,7 +50,8 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
     re.I | re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# One attribute: its whole name, then its value.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^a-z0-9]+")
 

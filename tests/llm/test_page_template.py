@@ -48,3 +48,11 @@ def test_every_row_comes_back(spark):
     want = ["first text", "second", "moved", "no article", "none", "", "", "second", ("w " * 50_000).strip()]
     assert got == {k: (t, len(t)) for k, t in enumerate(want)}
     assert extract_pages(rows(spark, pages).limit(0)).count() == 0
+
+
+def test_attribute_names_are_whole():
+    for attrs in ('style="overflow:hidden"', 'aria-hidden="false"', 'data-id="ad"', 'title="id=ad hidden"', "data-x='hidden' data-role=navigation"):
+        assert main_text(f"<p>x</p><article {attrs}><p>text</p></article>", None, None, None) == "text", attrs
+        assert main_text(f"<div {attrs}><p>text</p></div>", None, None, None) == "text", attrs
+    for attrs in ("hidden", 'HIDDEN=""', 'x="1" hidden', "id = ad", 'data-id="1" id="ad"'):
+        assert main_text(f"<article><p>text</p><div {attrs}>no</div></article>", None, None, None) == "text", attrs
