@@ -1,18 +1,26 @@
 """Main text of web pages by deducing each host's template from token equivalence classes.
 
-A page is a sequence of tag tokens, told apart by the tag around them. Tokens with
-the same occurrence vector over the pages of a host form an equivalence class; the
-vector is compared by an order-free hash sum, so no host's pages ever meet in one
-task. A class is valid when its tokens come in one order; the class of tokens that
-occur once in a page is the template's frame, classes that occur more often nest in
-its slots. Slots inside the frame's article token are main text, without those of
-menus, adverts and the like; where no frame has an article, the remaining slots are.
+A page is a sequence of tag tokens, told apart by the tag around them, and of text
+tokens: the blocks of text, told apart by the tag around them and by hash. Tokens
+with the same occurrence vector over the distinct pages of a host form an equivalence
+class; the vector is compared by an order-free hash sum, so no host's pages ever meet
+in one task. The class of tokens that occur once in every page is the template's
+frame; other classes are valid when they have two tokens on half the pages.
+
+Text tokens of the frame, and those that come and go with a tag, are the template's
+own and no data. All other text fills slots. The elements of valid classes that hold
+more than half of a host's slot text lie within each other; the innermost is the main
+one. Word lists only break ties: an outer one of these that is an article, or what
+lies inside it and is a menu, an advert and the like. A host of fewer than three
+distinct pages, or a page that breaks the order of the frame, shows no template and is
+read by the word lists alone.
 
 The word lists are fixed values.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -52,6 +60,8 @@ _TOKEN = re.compile(
 )
 # One attribute: its whole name, then its value.
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# Distinct pages of a host that show a template, and pages that show text to be part of it.
+HOST_PAGES, TEXT_PAGES = 3, 5
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -130,50 +140,90 @@ def page_events(page: str) -> Iterator[tuple[str, str, bool | None]]:
     yield from end(0)
 
 
-def token_counts(page: str) -> list[tuple[str, int, int, bool | None]]:
-    """(key, occurrences, place of the first, kind) of the open tags; "#" stands for the page itself."""
-    seen: dict[str, list] = {"#": [1, 0, None]}
+def page_blocks(page: str) -> Iterator[tuple[str, str, bool | None]]:
+    """page_events with the text of each block in one piece: white space becomes one blank, blank blocks go."""
+    parts: list[str] = []
+
+    def text():
+        if parts and (whole := _SPACE.sub(" ", html.unescape("".join(parts))).strip()):
+            yield "text", whole, None
+        parts.clear()
+
+    for event in page_events(page):
+        if event[0] == "text":
+            parts.append(event[1])
+        else:
+            yield from text()
+            yield event
+    yield from text()
+
+
+def text_key(around: str, text: str) -> str:
+    """The token of a block of text within the tag around it; no tag key holds a "#" of its own first character."""
+    return f"#{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}>{around}"
+
+
+def token_counts(page: str) -> list[tuple[str, int, int, bool | None, int, list[str] | None]]:
+    """(key, occurrences, place of the first, kind, characters, elements around) of the open tags and blocks of text.
+
+    "#" stands for the page itself; only text has characters and elements around it.
+    """
+    seen: dict[str, list] = {"#": [1, 0, None, 0, None]}
     place = 0
-    for what, key, kind in page_events(page):
+    stack: list[str] = []
+    for what, key, kind in page_blocks(page):
         if what == "open":
             place += 1
-            seen.setdefault(key, [0, place, kind])[0] += 1
+            stack.append(key)
+            seen.setdefault(key, [0, place, kind, 0, None])[0] += 1
+        elif what == "close":
+            stack.pop()
+        elif what == "text":
+            place += 1
+            of_text = text_key(stack[-1] if stack else "", key)
+            if of_text not in seen:
+                seen[of_text] = [0, place, None, len(key), list(dict.fromkeys(["#", *stack]))]
+            seen[of_text][0] += 1
     return [(k, *v) for k, v in seen.items()]
 
 
-def main_text(page: str, frame: list[str] | None, main: list[str] | None, outside: list[str] | None) -> str:
+def main_text(
+    page: str, frame: list[str] | None, main: list[str] | None, outside: list[str] | None,
+    content: str | None = None, fixed: list[str] | None = None,
+) -> str:
     """The main text of a page under its host's template: frame tokens in order, and those that are main or outside.
 
-    A page that breaks the order of the frame, or lacks the main token, is read by
-    its own tags. White space of a block becomes one blank; blocks are joined by line feeds.
+    `content` is the element that holds the slots of main text, `fixed` the text tokens
+    of the template. A page that breaks the order of the frame, or lacks the main
+    token, is read by its own tags. White space of a block becomes one blank; blocks
+    are joined by line feeds.
     """
-    events = list(page_events(page))
+    events = list(page_blocks(page))
     known_outside = set(outside or ())
-    wanted = set(main or ())
     opened = [k for what, k, _ in events if what == "open"]
-    order = [k for k in opened if k in set(frame or ())]
-    if order != [k for k in frame or () if k in set(order)] or not wanted & set(opened):
+    order = [k for k in dict.fromkeys(opened) if k in set(frame or ())]
+    in_order = order == [k for k in frame or () if k in set(order)] and len(order) == sum(k in set(order) for k in opened)
+    decided = in_order and content in opened
+    wanted = {content} if decided else set(main or ())
+    template = set(fixed or ()) if decided else set()
+    if not in_order or not wanted & set(opened):
         wanted = {k for what, k, kind in events if what == "open" and kind}
-    blocks: list[list[str]] = [[]]
+    blocks: list[str] = []
     inside, barred = 0, 0
-    stack: list[tuple[bool, bool]] = []
+    stack: list[tuple[str, int, int]] = []
     for what, key, kind in events:
         if what == "text":
-            if not barred and (inside or not wanted):
-                blocks[-1].append(key)
-            continue
-        if blocks[-1]:
-            blocks.append([])
-        if what == "open":
+            if not barred and (inside or not wanted) and (not template or text_key(stack[-1][0] if stack else "", key) not in template):
+                blocks.append(key)
+        elif what == "open":
+            stack.append((key, inside, barred))
             is_main = key in wanted
-            is_out = not is_main and (kind is False or key in known_outside)
-            stack.append((is_main, is_out))
-            inside, barred = inside + is_main, barred + is_out
+            if is_main and decided:
+                barred = 0  # the classes, not what lies around the element, say that it is main
+            inside, barred = inside + is_main, barred + (not is_main and (kind is False or key in known_outside))
         elif what == "close":
-            is_main, is_out = stack.pop()
-            inside, barred = inside - is_main, barred - is_out
-    lines = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
-    return "\n".join(x for x in lines if x)
+            _, inside, barred = stack.pop()
+    return "\n".join(blocks)
 
 
 def host_of(url: Column) -> Column:
@@ -181,40 +231,62 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
+TOKENS = "host string, mark long, key string, n int, place int, kind boolean, chars long, around array<string>"
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [], [])
-        for k, (host, mark, page) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
-            for key, n, place, kind in token_counts(page):
-                for column, value in zip(rows, (host, mark, key, n, place, kind)):
+        rows: tuple[list, ...] = tuple([] for _ in types)
+        for host, mark, page in zip(*(c.to_pylist() for c in batch.columns)):
+            for token in token_counts(page):
+                for column, value in zip(rows, (host, mark, *token)):
                     column.append(value)
-        types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], ["host", "mark", "key", "n", "place", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], [f.split()[0] for f in TOKENS.split(", ")])
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """One row per host: frame, main and outside tokens of its template.
+    """One row per host: frame, main and outside tokens of its template, the content element and fixed texts.
 
     The occurrence vector of a token is summed up as the sum of a hash of (page,
     occurrences), so pages are combined before the shuffle and a host with a third
-    of all pages costs no more than its distinct tokens. The frame is the class of
-    the page itself: tokens that occur once in every page, in the order of their mean place.
-    A token of any other class belongs to the template when half the pages have it.
+    of all pages costs no more than its distinct tokens. Exact copies are one page. The
+    frame is the class of the page itself: tokens that occur once in every page, in the
+    order of their mean place. A tag of any other class belongs to the template when
+    half the pages have it.
     """
-    marked = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("mark"), blank("html").alias("html"))
-    counts = marked.mapInArrow(_count_tokens, "host string, mark long, key string, n int, place int, kind boolean")
-    vectors = counts.groupBy("host", "key").agg(
-        F.sum(F.xxhash64("mark", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"),
-        F.avg("place").alias("place"), F.max("kind").alias("kind"),
+    marked = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("mark"), blank("html").alias("html"))
+    counts = marked.mapInArrow(_count_tokens, TOKENS).dropDuplicates(["host", "mark", "key"])
+    vectors = written(
+        counts.groupBy("host", "key").agg(
+            F.sum(F.xxhash64("mark", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"),
+            F.avg("place").alias("place"), F.max("n").alias("most"), F.max("kind").alias("kind"),
+            F.sum(F.col("n") * F.col("chars")).alias("chars"), F.max("around").alias("around"),
+        )
+    )
+    is_text = F.col("around").isNotNull()
+    whole = vectors.where("key = '#'").select("host", F.col("vector").alias("whole"), F.col("pages").alias("all_pages"))
+    # Text that few pages have is in no class of the template.
+    common = vectors.where(~is_text | (F.col("pages") >= TEXT_PAGES)).join(whole, "host").where("key <> '#' AND 2 * pages >= all_pages")
+    classes = common.groupBy("host", "vector").agg(F.count("*").alias("tokens"), F.count(F.when(~is_text, 1)).alias("tags"))
+    token = written(common.join(classes, ["host", "vector"]).withColumn("in_frame", F.col("vector") == F.col("whole")))
+    fixed = token.where(is_text & (F.col("in_frame") | (F.col("tags") > 0))).select("host", "key")
+    # Characters of slot text inside each element; "#" has those of the host.
+    slots = vectors.where(is_text).join(fixed, ["host", "key"], "left_anti")
+    mass = slots.select("host", F.explode("around").alias("key"), "chars").groupBy("host", "key").agg(F.sum("chars").alias("mass"))
+    total = mass.where("key = '#'").select("host", F.col("mass").alias("total"))
+    holds = (
+        token.where(~is_text & (F.col("most") == 1) & (F.col("in_frame") | (F.col("tokens") > 1)) & (F.col("all_pages") >= HOST_PAGES))
+        .join(mass, ["host", "key"]).join(total, "host").where("2 * mass > total AND coalesce(kind, true)")
+        .groupBy("host").agg(F.coalesce(F.min_by("key", F.when(F.col("kind"), F.col("place"))), F.max_by("key", "place")).alias("content"))
     )
-    frame = vectors.where("key = '#'").select("host", F.col("vector").alias("whole"), F.col("pages").alias("all_pages"))
-    token = vectors.join(frame, "host").where("key <> '#' AND 2 * pages >= all_pages")
-    ordered = F.sort_array(F.collect_list(F.when(F.col("vector") == F.col("whole"), F.struct("place", "key"))))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("in_frame") & ~is_text, F.struct("place", "key"))))
     return token.groupBy("host").agg(
         F.transform(ordered, lambda x: x["key"]).alias("frame"),
         F.collect_list(F.when(F.col("kind"), F.col("key"))).alias("main"),
         F.collect_list(F.when(~F.col("kind"), F.col("key"))).alias("outside"),
-    )
+        F.collect_list(F.when(is_text & (F.col("in_frame") | (F.col("tags") > 0)), F.col("key"))).alias("fixed"),
+    ).join(holds, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,5 +303,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     templates = written(host_templates(pages))
     of_page = pages.select("page_id", "url", blank("html").alias("html"), host_of(F.col("url")).alias("host"))
     # Templates grow with the hosts: Spark sends them to all tasks while they are small and shuffles both sides beyond that.
-    rows = of_page.join(templates, "host", "left").select("page_id", "url", "html", "frame", "main", "outside")
+    rows = of_page.join(templates, "host", "left").select("page_id", "url", "html", "frame", "main", "outside", "content", "fixed")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -56,3 +56,17 @@ def test_attribute_names_are_whole():
         assert main_text(f"<div {attrs}><p>text</p></div>", None, None, None) == "text", attrs
     for attrs in ("hidden", 'HIDDEN=""', 'x="1" hidden', "id = ad", 'data-id="1" id="ad"'):
         assert main_text(f"<article><p>text</p><div {attrs}>no</div></article>", None, None, None) == "text", attrs
+
+
+def test_classes_decide_without_word_lists(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(30 + k)) for k in range(8)]
+    body = lambda k: f'<div class="top">Welcome</div><div class="x1"><p>hi {k}</p></div><div class="x2"><h2>T{k}</h2>{"".join(f"<p>{t}</p>" for t in (texts[k], "said again")[: 1 + k % 2])}<div>Share this</div></div><div class="x3">{k}</div>'
+    pages = [(f"https://a.example/{k}", page(body(k))) for k in range(8)]
+    # Exact copies are one page, so they make no text the template's own.
+    pages += [("https://b.example/1", page("<article><p>copied</p></article>"))] * 9
+    got = {r["page_id"]: r["text"] for r in extract_pages(rows(spark, pages)).collect()}
+    # "said again" is on half the pages and comes with no tag of its own.
+    want = [f"T{k}\n{texts[k]}" + "\nsaid again" * (k % 2) for k in range(8)]
+    assert got == {k: t for k, t in enumerate([*want, *["copied"] * 9])}
+    t = {r["host"]: r for r in host_templates(rows(spark, pages)).collect()}
+    assert t["a.example"]["content"] == "body>div.x2" and len(t["a.example"]["fixed"]) == 2 and t["b.example"]["content"] is None
