@@ -1,12 +1,16 @@
 """Licence scan by canonical digest: normalise a whole text, hash it, hash-join it to known digests.
 
-A unit of text is a whole document or one of its lines, so that a one-line notice
-at the end of a document is found by the same lookup as a document that is a
-licence file. Names and spellings below are fixed values.
+A unit of text is a whole document, one of its lines or, if asked for, one of its
+paragraphs of several lines, so that a notice at the end of a document or in a file's
+head is found by the same lookup as a document that is a licence file. Names and
+spellings below are fixed values; whole texts lie in `license_texts`.
 """
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +57,41 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 
+_FREE = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_LIBRARY = _FREE.replace("program", "library")
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+# Heads of source files, each a paragraph.
+HEADS = (
+    ("Apache-2.0", f"{_APACHE} You may obtain a copy of the License at"), ("Apache-2.0", _APACHE),
+    *[("GPL-2.0", _FREE.format(c, "General Public License", d, 2)) for c in ";:" for d in ";,"],
+    *[("GPL-3.0", _FREE.format(c, "General Public License", d, 3)) for c in ";:" for d in ";,"],
+    *[("AGPL-3.0", _FREE.format(c, "Affero General Public License", d, 3)) for c in ";:" for d in ";,"],
+    ("LGPL-2.0", _LIBRARY.format(";", "Library General Public License", ";", 2)),
+    *[(f"LGPL-{n}", t.format(";", "Lesser General Public License", ";", m)) for t in (_FREE, _LIBRARY) for n, m in (("2.1", "2.1"), ("3.0", "3"))],
+    ("MPL-2.0", _MPL), ("MPL-2.0", _MPL.split(" If ")[0]),
+)
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the shipped full texts, each with and without what follows its terms, as wrapped and with a line per paragraph.
+
+    Copyright lines go before texts are compared, and how a text is wrapped decides
+    which lines begin with that word.
+    """
+    out = []
+    for f in sorted(files("paywarden.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        if not f.name.endswith(".txt"):
+            continue
+        text = f.read_text("utf-8").replace("\f", "\n")
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        for t in [text, *([text[: end.start()], text[: end.end()]] if end else [])]:
+            flat = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", t))
+            out += [(f.name.removesuffix(".txt"), v) for v in (t, flat)]
+    return out
+
+
 # Expressions that both engines read alike.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 NOT_WORD = "[^a-z0-9\\n\\x{80}-\\x{10FFFF}]+"
@@ -71,15 +110,23 @@ def canonical_text(lines: Column) -> Column:
 
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
-    """(digest, license) of the known texts: a literal table, so a join may broadcast it."""
-    texts = spark.createDataFrame(list(known), "license string, text string")
+    """(digest, license) of the known texts: pairs, or a frame (license, text) such as a data set read by its path."""
+    texts = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
     digest = F.sha2(canonical_text(canonical_lines(F.col("text"))), 256)
     return texts.select(digest.alias("digest"), "license").distinct()
 
 
-def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", known=KNOWN) -> DataFrame:
+def paragraphs_of(lines: Column) -> Column:
+    """The paragraphs of two and more lines; blank lines part them, also those left of comment signs and copyright lines."""
+    parts = F.split(F.regexp_replace(lines, "(?m)^ +| +$", ""), "\n\n+")
+    return F.transform(F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\n|\n$", "")), lambda p: F.contains(p, F.lit("\n"))), canonical_text)
+
+
+def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", known=KNOWN, paragraphs: bool = False) -> DataFrame:
     """Per id: the licence the whole text is, the licences of its lines, and how many lines are notices.
 
+    With `paragraphs` those of several lines are looked up too and count like a line.
+
     Null and empty texts match nothing; rows that share an id are one document.
     Returns doc_id, text_license, notice_licenses (sorted names joined by commas,
     null if none), n_notices.
@@ -88,10 +135,11 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lines = docs.select(F.col(id_column).alias("doc_id"), canonical_lines(blank(text_column)).alias("t"))
     units = lines.select(
         "doc_id",
-        F.posexplode(F.concat(F.array(canonical_text(F.col("t"))), F.split("t", "\n"))).alias("unit", "u"),
+        F.posexplode(F.concat(F.array(canonical_text(F.col("t"))), F.split("t", "\n"), *([paragraphs_of(F.col("t"))] if paragraphs else []))).alias("unit", "u"),
     ).select("doc_id", "unit", F.sha2(F.trim("u"), 256).alias("digest"))
+    digests = known_digests(spark, known)
     found = (
-        units.join(F.broadcast(known_digests(spark, known)), "digest")
+        units.join(digests if isinstance(known, DataFrame) else F.broadcast(digests), "digest")
         .groupBy("doc_id")
         .agg(
             F.min(F.when(F.col("unit") == 0, F.col("license"))).alias("text_license"),

@@ -47,7 +47,9 @@ def op6_token_codes(spark, sf_dir):
 
 @query
 def op8_license_scan(spark, sf_dir):
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(
+        table(spark, sf_dir, "documents"), known=[*licenses.KNOWN, *licenses.HEADS, *licenses.whole_texts()], paragraphs=True
+    )
 
 
 ORACLES["op8_license_scan"] = licenses.oracle()
