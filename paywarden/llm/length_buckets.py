@@ -4,6 +4,9 @@ Lengths are counted into a global histogram whose size does not grow with the da
 exact up to 255, then 128 bins an octave. Dynamic programming over its bins puts the
 bucket boundaries where the padding of all documents is least. A bucket is then
 dealt into cells of bounded size, numbered cell by cell, and cut into batches.
+
+What a token is, the caller says with `length`: the registered query gives the ids
+of a tokenizer (`piece_merge.count_pieces`); without it words stand for tokens.
 """
 
 from __future__ import annotations
@@ -81,7 +84,8 @@ def pack_by_length(docs: DataFrame, buckets: int = 16, token_budget: int = 65_53
 
     A batch is a run of documents of one bucket, all padded to `bucket_length`, and
     holds at most `token_budget` tokens with the padding, or one document that alone
-    is longer. Batches are full but for the last of a bucket. A null text has no
+    is longer. `length` is the number of tokens of a row, words (`word_count`) if not
+    given. Batches are full but for the last of a bucket. A null text has no
     tokens and lies in the first bucket; repeated rows are packed each.
     """
     spark = docs.sparkSession

@@ -275,6 +275,27 @@ class PieceEncoder(dict):
         return ids, np.diff(bounds), decimal
 
 
+class PieceCounter(dict):
+    """Words to their number of ids; emptied when it grows past LIMIT."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, path: str):
+        self.model = PieceModel(path)
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text, as `PieceEncoder.encode` gives them."""
+        if len(self) > self.LIMIT:
+            self.clear()
+        find = self.model.words.findall
+        split = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = list(set().union(*split).difference(self))
+        if new:
+            self.update(zip(new, self.model.encode_words(new)[1].tolist()))
+        return [sum(map(self.__getitem__, words)) for words in split]
+
+
+_counters: dict[str, PieceCounter] = {}
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -308,6 +329,17 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     return docs.selectExpr("doc_id", "text").mapInArrow(_by_text(make), "doc_id long, ids array<int>")
 
 
+def count_pieces(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n) of every row: the number of ids of its text; the ids themselves are not made."""
+
+    def make(texts):
+        if model not in _counters:
+            _counters[model] = PieceCounter(model)
+        return {"n": pa.array(_counters[model].count(texts), pa.int64())}
+
+    return docs.selectExpr("doc_id", "text").mapInArrow(_by_text(make), "doc_id long, n long")
+
+
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give an empty text."""
 

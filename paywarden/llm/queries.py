@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paywarden.llm import (
     direct_codes,
@@ -87,4 +88,5 @@ def op1_quotation_links(spark, sf_dir):
 
 @query
 def op3_length_buckets(spark, sf_dir):
-    return length_buckets.pack_by_length(table(spark, sf_dir, "documents"))
+    counted = piece_merge.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return length_buckets.pack_by_length(counted, length=F.col("n"))

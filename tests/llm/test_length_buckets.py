@@ -58,3 +58,19 @@ def test_odd_rows(spark):
     assert pack_by_length(twice.union(twice)).count() == 2
     assert documents(spark, ["a\x0bb\xa0c"]).select(word_count()).first()[0] == 2
     assert pack_by_length(documents(spark, ["a b c"]), length=F.length("text")).first()["n_tokens"] == 5
+
+
+def test_query_counts_the_ids_of_a_tokenizer(spark, tmp_path):
+    import public_tokenizers
+
+    from paywarden.llm.piece_merge import encode_pieces
+    from paywarden.llm.queries import QUERIES
+
+    docs = documents(spark, [*ODD_TEXTS, "unsplit" * 3_000, "Vorstandsvorsitzender 漢字漢字 \u2581x", None])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["doc_id"]: len(r["ids"]) for r in encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    rows = QUERIES["op3_length_buckets"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == want and len(rows) == len(want)
+    assert want[len(ODD_TEXTS)] > 3_000  # one word, many ids
+    of_batch = Counter((r["bucket"], r["batch"], r["bucket_length"]) for r in rows)
+    assert all(n == 1 or n * length <= 65_536 for (_, _, length), n in of_batch.items())
