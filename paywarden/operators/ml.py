@@ -316,12 +316,12 @@ OVERRIDES = {
 
 
 def apply_overrides(rows: DataFrame, names: Sequence[str], id_column: str = "txn_id", seed: int = 42) -> DataFrame:
-    """Apply the named overrides in order; columns the rows lack are left alone."""
+    """Apply the named overrides in order; a column that the rows lack is an error."""
     for name in names:
         changes = {}
         for column, spec in OVERRIDES[name].items():
             if column not in rows.columns:
-                continue
+                raise ValueError(f"override {name} needs the column {column}")
             if not isinstance(spec, tuple):
                 changes[column] = F.lit(float(spec))
             elif spec[0] == "scale":
