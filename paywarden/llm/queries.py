@@ -13,6 +13,7 @@ from paywarden.llm import (
     exact_dedup,
     length_buckets,
     licenses,
+    merkle,
     order_filters,
     page_template,
     piece_merge,
@@ -20,7 +21,7 @@ from paywarden.llm import (
     quant_neighbours,
     quotes,
 )
-from paywarden.llm.common import table
+from paywarden.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,11 @@ def op1_quotation_links(spark, sf_dir):
 def op3_length_buckets(spark, sf_dir):
     counted = piece_merge.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return length_buckets.pack_by_length(counted, length=F.col("n"))
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest_proofs(table(spark, sf_dir, "documents"), shared_folder(spark))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.ORACLE
