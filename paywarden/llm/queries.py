@@ -20,6 +20,7 @@ from paywarden.llm import (
     quality_trees,
     quant_neighbours,
     quotes,
+    rotated_means,
 )
 from paywarden.llm.common import shared_folder, table
 
@@ -99,3 +100,11 @@ def op13_merkle_manifest(spark, sf_dir):
 
 
 ORACLES["op13_merkle_manifest"] = merkle.ORACLE
+
+
+@query
+def op11_rotated_means(spark, sf_dir):
+    return rotated_means.rotated_means(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_rotated_means"] = rotated_means.oracle()
