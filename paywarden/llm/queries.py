@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paywarden.llm import (
     direct_codes,
     exact_dedup,
+    language_ranks,
     length_buckets,
     licenses,
     merkle,
@@ -108,3 +109,8 @@ def op11_rotated_means(spark, sf_dir):
 
 
 ORACLES["op11_rotated_means"] = rotated_means.oracle()
+
+
+@query
+def op12_language_ranks(spark, sf_dir):
+    return language_ranks.predicted_languages(table(spark, sf_dir, "documents"))
