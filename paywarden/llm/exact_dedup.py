@@ -39,9 +39,11 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+        # Spark reads the location as a string literal.
+        place = path.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, n_points BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'"
         )
 
     def close(self) -> None:

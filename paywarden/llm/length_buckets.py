@@ -2,8 +2,8 @@
 
 Lengths are counted into a global histogram whose size does not grow with the data:
 exact up to 255, then 128 bins an octave. Dynamic programming over its bins puts the
-bucket boundaries where the padding of all documents is least. A bucket is then
-dealt into cells of bounded size, numbered cell by cell, and cut into batches.
+bucket boundaries where the padding of all documents is least. The documents of a bucket are
+then numbered in the order of a hash, range by range, and cut into batches.
 
 What a token is, the caller says with `length`: the registered query gives the ids
 of a tokenizer (`piece_merge.count_pieces`); without it words stand for tokens.
@@ -16,9 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from paywarden.llm.common import blank, written
+from paywarden.llm.common import blank, numbered, written
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -79,34 +78,29 @@ def best_buckets(bins: list[tuple[int, int, int]], buckets: int) -> Buckets:
     return Buckets(tuple(c[0] for c in cuts), tuple(c[1] for c in cuts), int(best[-1, n] - sum(b[2] for b in bins)))
 
 
-def pack_by_length(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, cell_rows: int = 50_000, length: Column | None = None) -> DataFrame:
+def pack_by_length(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, length: Column | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, batch, slot of every row of `docs`.
 
     A batch is a run of documents of one bucket, all padded to `bucket_length`, and
     holds at most `token_budget` tokens with the padding, or one document that alone
     is longer. `length` is the number of tokens of a row, words (`word_count`) if not
     given. Batches are full but for the last of a bucket. A null text has no
-    tokens and lies in the first bucket; repeated rows are packed each.
+    tokens and lies in the first bucket; repeated rows are packed each, and rows that
+    share an id and a length may fill many ranges.
     """
     spark = docs.sparkSession
     lengths = written(docs.select(F.col("doc_id"), (word_count() if length is None else length).cast("long").alias("n")))
     plan = best_buckets(histogram(lengths), buckets)
     # One row a bucket.
     table = spark.createDataFrame(
-        [(k, b, max(1, token_budget // max(b, 1)), -(-d // cell_rows)) for k, (b, d) in enumerate(zip(plan.bounds, plan.docs))],
-        "bucket int, bucket_length long, batch_rows long, cells long",
+        [(k, b, max(1, token_budget // max(b, 1))) for k, b in enumerate(plan.bounds)], "bucket int, bucket_length long, batch_rows long"
     )
     bucket = F.lit(0)
     for b in plan.bounds[:-1]:
         bucket = bucket + (F.col("n") > b).cast("int")
-    dealt = lengths.withColumn("bucket", bucket).join(F.broadcast(table), "bucket")
-    dealt = dealt.withColumn("h", F.xxhash64("doc_id", "n")).withColumn("cell", F.pmod("h", F.col("cells")))
-    inside = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("h", "doc_id", "n"))
-    sizes = dealt.groupBy("bucket", "cell").agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = dealt.withColumn("inside", inside).join(sizes.select("bucket", "cell", before.alias("before")), ["bucket", "cell"])
-    place = F.col("before") + F.col("inside") - 1
+    rows = lengths.select("doc_id", F.col("n").alias("n_tokens"), bucket.alias("bucket"), F.xxhash64("doc_id", "n").alias("h"))
+    at = numbered(rows, "bucket", "h", "doc_id", "n_tokens").join(F.broadcast(table), "bucket")
     return at.select(
-        "doc_id", F.col("n").alias("n_tokens"), "bucket", "bucket_length",
-        F.floor(place / F.col("batch_rows")).cast("long").alias("batch"), (place % F.col("batch_rows")).cast("long").alias("slot"),
+        "doc_id", "n_tokens", "bucket", "bucket_length",
+        F.floor(F.col("rank") / F.col("batch_rows")).cast("long").alias("batch"), (F.col("rank") % F.col("batch_rows")).cast("long").alias("slot"),
     )

@@ -21,9 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from paywarden.llm.common import written
+from paywarden.llm.common import numbered, written
 
 HEIGHT = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -53,25 +52,6 @@ def leaves(docs: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """`rows` with `rank` (from 0) among the rows of their key in this order, and `n`, the rows of the key.
-
-    A global order is dealt into ranges; ranks are those inside a range plus the rows
-    of the key in earlier ranges. A key may fill many ranges, and so may one value of
-    the order: rows that tie are dealt by their place in the input.
-    """
-    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(key, *order, "_row")
-    held = written(dealt.sortWithinPartitions(key, *order, "_row").drop("_row").withColumn("_at", F.monotonically_increasing_id()))
-    held = held.withColumn("_part", F.shiftright("_at", 33))
-    of_key = Window.partitionBy(key)
-    earlier = of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each range and key that meet.
-    runs = held.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    runs = runs.select(key, "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(of_key).alias("n"))
-    rank = F.col("_at") - F.col("_first") + F.col("_before")
-    return held.join(runs, [key, "_part"]).select(*rows.columns, rank.alias("rank"), "n")
-
-
 # Levels of a record from its bottom up: pairs are hashed until `up` levels lie on it; the last run may be one node.
 _LEVELS = """
 aggregate(IF(up = 0, array(), sequence(1, up)), array(kids), (done, j) -> concat(done, array(

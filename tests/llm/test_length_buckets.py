@@ -36,7 +36,7 @@ def test_bins(spark):
 
 def test_batches(spark):
     docs = documents(spark, [("w " * n).strip() for n in [*range(1, 60), *[7] * 200, 900, 5000]])
-    rows = pack_by_length(docs, buckets=4, token_budget=600, cell_rows=13).collect()
+    rows = pack_by_length(docs, buckets=4, token_budget=600).collect()
     assert len(rows) == 261 and all(r["n_tokens"] <= r["bucket_length"] for r in rows)
     by_batch = Counter((r["bucket"], r["batch"]) for r in rows)
     length = {r["bucket"]: r["bucket_length"] for r in rows}
@@ -74,3 +74,9 @@ def test_query_counts_the_ids_of_a_tokenizer(spark, tmp_path):
     assert want[len(ODD_TEXTS)] > 3_000  # one word, many ids
     of_batch = Counter((r["bucket"], r["batch"], r["bucket_length"]) for r in rows)
     assert all(n == 1 or n * length <= 65_536 for (_, _, length), n in of_batch.items())
+
+
+def test_repeated_ids_fill_batches(spark):
+    docs = spark.range(0, 5000).selectExpr("if(id % 3 = 0, null, 7L) doc_id", "'a b' text")
+    rows = pack_by_length(docs, token_budget=200).collect()
+    assert Counter(Counter(r["batch"] for r in rows).values()) == {100: 50} and len({(r["batch"], r["slot"]) for r in rows}) == 5000
