@@ -17,9 +17,11 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from paywarden.llm.common import text_chunks
@@ -66,6 +68,7 @@ class PieceModel:
         self.made = np.append(self.made, np.int32(-1))
         # Cut before a run of marks, and around line feeds, if no piece reaches across.
         inside = any(MARK in p.lstrip(MARK) or "\n" in p for p in normal if len(p) > 1)
+        self.across = inside
         self.words = re.compile(".+" if inside else f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+", re.S)
         raw = [self._surface(sp, i, p) for i, p in enumerate(pieces)]
         self.piece_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
@@ -143,7 +146,9 @@ class PieceModel:
             stay[p + 1] = False
             q = (np.cumsum(stay) - 1)[p]
             sym, word, at = sym[stay], word[stay], at[stay]
-            changed = np.unique(np.concatenate([q, q[q > 0] - 1]))
+            near = np.zeros(len(sym), bool)
+            near[q] = near[q[q > 0] - 1] = True
+            changed = np.flatnonzero(near)
             at[changed] = len(self.keys)
             changed = changed[changed + 1 < len(sym)]
             changed = changed[word[changed] == word[changed + 1]]
@@ -276,23 +281,56 @@ class PieceEncoder(dict):
 
 
 class PieceCounter(dict):
-    """Words to their number of ids; emptied when it grows past LIMIT."""
+    """Blank-separated parts of texts to their number of ids; emptied when it grows past LIMIT.
+
+    Arrow cuts the texts and finds the distinct parts of a chunk; only those are looked
+    up in Python, and only new ones are merged.
+    """
 
     LIMIT = 1_000_000
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
 
-    def count(self, texts: list[str]) -> list[int]:
+    def parts(self, texts: pa.Array) -> pa.ListArray:
+        """The parts of each text behind a first empty one: a part begins at a blank or at a run of line feeds.
+
+        Of a run of blanks the first one parts, the others are marks in front of the next
+        part. A part without a line feed in front stands for itself behind a mark.
+        """
+        if self.model.across:
+            return pc.split_pattern(pc.binary_join_element_wise("\0", texts, ""), "\0", max_splits=1)
+        cut = pc.binary_join_element_wise(" ", texts, "")
+        for old, new in (("  ", f" {MARK}"), (f"{MARK} ", MARK * 2), ("\n", " \n"), ("\n \n", "\n\n"), ("\n \n", "\n\n")):
+            cut = pc.replace_substring(cut, old, new)
+        return pc.split_pattern(cut, " ")
+
+    def _learn(self, new: list[str]) -> None:
+        find = self.model.words.findall
+        words = [find(p if p.startswith("\n") and not self.model.across else MARK + p.replace(" ", MARK)) for p in new]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n = self.model.encode_words([w for ws in words for w in ws])[1]
+        self.update(zip(new, np.add.reduceat(n, np.cumsum(sizes) - sizes).tolist()))
+
+    def count(self, texts: list[str] | pa.Array) -> np.ndarray:
         """Number of ids of each text, as `PieceEncoder.encode` gives them."""
         if len(self) > self.LIMIT:
             self.clear()
-        find = self.model.words.findall
-        split = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list(set().union(*split).difference(self))
-        if new:
-            self.update(zip(new, self.model.encode_words(new)[1].tolist()))
-        return [sum(map(self.__getitem__, words)) for words in split]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = self.parts(column)
+        sizes = split.value_lengths().to_numpy(zero_copy_only=False)
+        found = split.flatten().dictionary_encode()
+        parts = found.dictionary.to_pylist()
+        n = np.fromiter(map(self.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(n < 0)
+        if len(missing):
+            new = [parts[i] for i in missing.tolist()]
+            self._learn(new)
+            n[missing] = np.fromiter(map(self.__getitem__, new), np.int64, len(new))
+        ends = np.cumsum(sizes)
+        total = np.concatenate([[0], np.cumsum(n[found.indices.to_numpy()])])
+        # The first part is the beginning of the text, which is no part of its own.
+        return np.where(pc.binary_length(column).to_numpy(zero_copy_only=False) > 0, total[ends] - total[ends - sizes + 1], 0)
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -332,12 +370,20 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 def count_pieces(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n) of every row: the number of ids of its text; the ids themselves are not made."""
 
-    def make(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _counters:
             _counters[model] = PieceCounter(model)
-        return {"n": pa.array(_counters[model].count(texts), pa.int64())}
-
-    return docs.selectExpr("doc_id", "text").mapInArrow(_by_text(make), "doc_id long, n long")
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            # Whole texts of about four megabytes at a time.
+            run_of = np.cumsum(sizes, dtype=np.int64) // 4_000_000
+            cuts = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+            for i, j in zip(cuts, cuts[1:]):
+                n = _counters[model].count(texts.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64())], ["doc_id", "n"])
+
+    return docs.selectExpr("doc_id", "text").mapInArrow(run, "doc_id long, n long")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:

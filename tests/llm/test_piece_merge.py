@@ -53,3 +53,23 @@ def test_frames(spark):
     back = {r["doc_id"]: r["text"] for r in decode_pieces(encode_pieces(documents(spark), PATH), PATH).collect()}
     assert back == {k: LIB.decode(LIB.encode(t or "")) for k, t in enumerate(ODD_TEXTS)}
     assert round_trip_digests(empty(spark), PATH).count() == 0
+
+
+def test_counter_equals_the_encoder():
+    import random
+
+    import pyarrow as pa
+
+    from paywarden.llm.piece_merge import PieceCounter, PieceEncoder
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    r = random.Random(1)
+    bits = ["a", "the", "\n", " ", "  ", "▁", "\r", "é", ".", "\t", "\n\n", "漢"]
+    texts = ["", " ", "\n"] + ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(4000)]
+    want = PieceEncoder(path).encode(texts)[1].tolist()
+    counter = PieceCounter(path)
+    assert counter.count(texts).tolist() == want == counter.count(pa.array(texts)).tolist()
+    # A model whose pieces reach across words takes whole texts as one part.
+    counter.clear()
+    counter.model.across = True
+    assert counter.count(texts[:300]).tolist() == want[:300]
