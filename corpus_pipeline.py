@@ -6,12 +6,15 @@ and read back as the next one's docs. All but the last keep the columns of docs.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paywarden.llm.common import table, written
-from paywarden.llm.exact_dedup import exact_duplicates
+from paywarden.llm.exact_dedup import SPACE, exact_duplicates
 from paywarden.llm.length_buckets import pack_by_length
 from paywarden.llm.order_filters import jaccard_components
+from paywarden.llm.piece_merge import count_pieces
 from paywarden.llm.quality_trees import keep_quality, train_quality
 
 
@@ -26,8 +29,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: the longest as written, then the smallest id."""
-    return _without(docs, exact_duplicates(docs).where("NOT kept"))
+    """One row of each text: the longest as written, then the smallest id; of rows that share both, the greatest."""
+    kept = exact_duplicates(docs).where("kept").groupBy("text_sha256", "keep_id").agg(F.count("*").alias("_rows"))
+    kept = written(kept.select(F.col("text_sha256").alias("_kept"), F.col("keep_id").alias("_keep"), "_rows"))
+    same = (F.col("_digest") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
+    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, ""), 256)
+    stay = docs.withColumn("_digest", digest).join(kept.hint("merge"), same)
+    once = stay.where("_rows = 1").select(*docs.columns)
+    if not kept.where("_rows > 1").limit(1).count():
+        return once
+    # Rows ingested more than once under one id, or spelt with other white space under it.
+    first = F.max(F.struct(F.length("text").alias("_points"), *docs.columns)).alias("_row")
+    return once.union(stay.where("_rows > 1").groupBy("_digest").agg(first).select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +49,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every document that is left: bucket, batch and slot."""
-    return pack_by_length(docs)
+    """Place of every document that is left: bucket, batch and slot; lengths are ids of a tokenizer."""
+    return pack_by_length(count_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")), length=F.col("n"))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("ngram_jaccard", near), ("packing", packing)]
