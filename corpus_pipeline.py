@@ -32,7 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text: the longest as written, then the smallest id; of rows that share both, the greatest."""
     kept = exact_duplicates(docs).where("kept").groupBy("text_sha256", "keep_id").agg(F.count("*").alias("_rows"))
     kept = written(kept.select(F.col("text_sha256").alias("_kept"), F.col("keep_id").alias("_keep"), "_rows"))
-    same = (F.col("_digest") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
+    # Null-safe on both sides, as no filter on the digest shall compute it once more.
+    same = F.col("_digest").eqNullSafe(F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, ""), 256)
     stay = docs.withColumn("_digest", digest).join(kept.hint("merge"), same)
     once = stay.where("_rows = 1").select(*docs.columns)
