@@ -41,11 +41,15 @@ def quote_levels(text: str) -> list[tuple[int, str]]:
         heading = False
         m = _PREFIX.fullmatch(line)
         out.append((base + m[1].count(">"), m[2]) if m else (base, line))
+    # Level of the next line that is not blank or has another level, found from the end; -1 if none.
+    below = [-1] * (len(out) + 1)
+    for k in range(len(out) - 2, -1, -1):
+        level, line = out[k + 1]
+        below[k] = below[k + 1] if level == out[k][0] and not line.strip() else level
     keep = []
     for k, (level, line) in enumerate(out):
         # "On ... wrote:", in one or two lines, right above a deeper quote.
-        below = next((x for x in out[k + 1 :] if x[1].strip() or x[0] != level), None)
-        last = below is not None and below[0] > level and line.rstrip().endswith(":")
+        last = below[k] > level and line.rstrip().endswith(":")
         if last and _SAYS.fullmatch(line.strip()):
             continue
         if last and keep and keep[-1][0] == level and _SAYS.fullmatch(f"{keep[-1][1].strip()} {line.strip()}"):

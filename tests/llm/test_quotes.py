@@ -57,3 +57,14 @@ def test_mail_made_from_the_conversations(spark):
     plain = link_quotes(conv)
     assert plain.where("n_quotes > 0 OR parent_turn IS NOT NULL").count() == 0
     assert plain.groupBy("conv_id").agg(F.max("position").alias("p"), F.count("*").alias("n")).where("p <> n").count() == 0
+
+
+def test_a_million_lines_take_one_pass():
+    import time
+
+    start = time.perf_counter()
+    assert len(quote_levels("\n" * 1_000_000)) == 1_000_001
+    odd = "A wrote:\n\n\n" * 100_000 + "On Monday, A wrote:\n" + "\n" * 200_000 + "> q"
+    levels = quote_levels(odd)
+    assert levels[-1] == (1, "q") and "On Monday, A wrote:" not in {x for _, x in levels}
+    assert parse_message(odd)[2] and time.perf_counter() - start < 30
