@@ -15,6 +15,7 @@ links, never its pairs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,17 +182,65 @@ def list_count(n: int) -> int:
     return int(min(4096, max(16, round(n**0.5 / 2))))
 
 
+_LINKS = "vec_id long, links long, root long"
+
+
+def _compare_all(threshold: float, step: int = 256):
+    """Counts and a spanning forest of the links among all vectors of a group, which the caller keeps small."""
+
+    def run(group: pa.Table) -> pa.Table:
+        u, ids, weight = _unit(_matrix(group["v"])), group["vec_id"].to_numpy(), group["weight"].to_numpy()
+        links, forest = np.zeros(len(u), np.int64), _Forest(len(u))
+        for i in range(0, len(u), step):
+            r, c = np.nonzero(u[i : i + step] @ u.T >= threshold)
+            r, c = (i + r)[i + r != c], c[i + r != c]
+            links += np.bincount(r, weight[c], len(u)).astype(np.int64)
+            forest.join(r, c)
+        root = np.full(len(u), np.iinfo(np.int64).max)
+        np.minimum.at(root, forest.root, ids)
+        some = np.flatnonzero(links > 0)
+        return pa.table({"vec_id": ids[some], "links": links[some], "root": root[forest.root[some]]})
+
+    return run
+
+
+def _search(nodes: DataFrame, threshold: float, sample_rows: int, block: int) -> DataFrame:
+    """Counts and spanning forests of the links among vectors (vec_id, weight, v) of one length."""
+    sample = nodes.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    q = Quantiser.fit(np.array([r["v"] for r in sample]), list_count(nodes.count()), threshold=threshold)
+    coded = written(nodes.select("vec_id", "weight", "v").mapInArrow(_encoder(q), _ROW))
+    lists = len(q.centroids)
+    visit = F.expr(f"filter(sequence(0, {lists - 1}), k -> (shiftright(conv(hex(substring(bits, int(k div 8) + 1, 1)), 16, 10)::int, int(k % 8)) & 1) = 1)")
+    asked = coded.select("vec_id", "weight", "unit", "home", F.explode(visit).alias("list"))
+    # One row per list, so at most 4,096 rows with their sizes.
+    held = coded.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("n"))
+    wanted = asked.groupBy("list").agg(F.count("*").alias("m"))
+    blocks = F.broadcast(written(held.join(wanted, "list").select("list", F.expr(f"int(ceil(n / {block}))").alias("nb"), F.expr(f"int(ceil(m / {block}))").alias("mb"))))
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    members = coded.withColumn("list", F.col("home")).join(blocks, "list").select(
+        F.lit(0).alias("role"), "list", (salt % F.col("nb")).cast("int").alias("b"), F.explode(F.expr("sequence(0, mb - 1)")).alias("s"),
+        "vec_id", "weight", "unit", "home", "codes", "least", "bits",
+    )
+    queries = asked.join(blocks, "list").select(
+        F.lit(1).alias("role"), "list", F.explode(F.expr("sequence(0, nb - 1)")).alias("b"), (salt % F.col("mb")).cast("int").alias("s"),
+        "vec_id", "weight", "unit", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("binary").alias("bits"),
+    )
+    return members.union(queries).groupBy("list", "b", "s").applyInArrow(_compare(q), _LINKS)
+
+
 def neighbour_components(
     vectors: DataFrame, threshold: float = 0.9, sample_rows: int = 20_000, block: int = 4096, id_column: str = "vec_id", vector_column: str = "embedding"
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: links are pairs found with cosine >= threshold.
 
     A null, zero or empty vector, or one with a null or non-finite component, links
-    with nothing, and so does one whose length is not that of most vectors. Equal
-    vectors are one node with their number as weight. The quantiser is fitted on at
-    most `sample_rows` vectors, the smallest by a hash of the id. Null ids are left
-    out; rows with one id and vector count once, and of different vectors under one
-    id the smallest by hash stands for it.
+    with nothing; vectors of different lengths do not link. Each length is a search of
+    its own, but lengths of at most `block` vectors, other than the most frequent,
+    are compared exactly, a length in one group. Equal vectors are one node with their
+    number as weight. A quantiser is fitted on at most `sample_rows` vectors, the
+    smallest by a hash of the id. Null ids are left out; rows with one id and vector
+    count once, and of different vectors under one id the smallest by hash stands
+    for it.
     """
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v")).where("vec_id IS NOT NULL")
@@ -204,41 +253,27 @@ def neighbour_components(
         keyed.groupBy("vec_id").agg(F.min(F.struct((~F.col("fine")).alias("bad"), "h1", "h2", F.size("v").alias("d"))).alias("k"))
         .select("vec_id", (~F.col("k.bad")).alias("fine"), "k.h1", "k.h2", "k.d")
     )
-    # A handful of lengths at most matter; only the most frequent is asked for.
-    mode = ids.where("fine").groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    # Longer lists than this are no rarity; each is a search of its own.
+    sizes = ids.where("fine").groupBy("d").count()
+    top = sizes.orderBy(F.desc("count"), "d").first()
     unlinked = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if mode is None:
+    if top is None:
         return unlinked
-    usable = ids.where(F.col("fine") & (F.col("d") == mode["d"]))
+    searched = sorted({top["d"]} | {r["d"] for r in sizes.where(F.col("count") > block).collect()})
+    usable = ids.where("fine")
     classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     named = written(usable.join(classes, ["h1", "h2"]).select("vec_id", "rep", "weight", "h1", "h2"))
     reps = named.where("vec_id = rep").select("vec_id", "weight", "h1", "h2")
     nodes = keyed.join(reps, ["vec_id", "h1", "h2"]).groupBy("vec_id", "weight").agg(F.first("v").alias("v"))
-    nodes = written(nodes)
-    sample = nodes.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    q = Quantiser.fit(np.array([r["v"] for r in sample]), list_count(nodes.count()), threshold=threshold)
-    coded = written(nodes.select("vec_id", "weight", "v").mapInArrow(_encoder(q), _ROW))
-    lists = len(q.centroids)
-    visit = F.expr(f"filter(sequence(0, {lists - 1}), k -> (shiftright(conv(hex(substring(bits, int(k div 8) + 1, 1)), 16, 10)::int, int(k % 8)) & 1) = 1)")
-    asked = coded.select("vec_id", "weight", "unit", "home", F.explode(visit).alias("list"))
-    # One row per list, so at most 4,096 rows with their sizes.
-    held = coded.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("n"))
-    wanted = asked.groupBy("list").agg(F.count("*").alias("m"))
-    blocks = F.broadcast(written(held.join(wanted, "list").select("list", F.expr(f"int(ceil(n / {block}))").alias("nb"), F.expr(f"int(ceil(m / {block}))").alias("mb"))))
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    members = coded.withColumn("list", F.col("home")).join(blocks, "list").select(
-        F.lit(0).alias("role"), "list", (salt % F.col("nb")).cast("int").alias("b"), F.explode(F.expr("sequence(0, mb - 1)")).alias("s"),
-        "vec_id", "weight", "unit", "home", "codes", "least", "bits",
-    )
-    queries = asked.join(blocks, "list").select(
-        F.lit(1).alias("role"), "list", F.explode(F.expr("sequence(0, nb - 1)")).alias("b"), (salt % F.col("mb")).cast("int").alias("s"),
-        "vec_id", "weight", "unit", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("binary").alias("bits"),
-    )
-    found = written(members.union(queries).groupBy("list", "b", "s").applyInArrow(_compare(q), "vec_id long, links long, root long"))
+    nodes = written(nodes.withColumn("d", F.size("v")))
+    few = nodes.where(~F.col("d").isin(searched))
+    found = [_search(nodes.where(F.col("d") == d), threshold, sample_rows, block) for d in searched]
+    found.append(few.select("d", "vec_id", "weight", "v").groupBy("d").applyInArrow(_compare_all(threshold), _LINKS))
+    found = written(reduce(DataFrame.union, found))
     settle(spark)
     component = written(components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    forget(spark, coded, nodes)
+    forget(spark, nodes)
     stars = named.select("vec_id", "rep", "weight").join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left")
     stars = stars.join(component.withColumnRenamed("id", "rep"), "rep", "left").select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component")

@@ -76,3 +76,24 @@ def test_least_product_bounds_every_link():
         z /= np.linalg.norm(z, axis=1)[:, None]
         c = rng.uniform(0.9, 1, size=(len(y), 1))
         assert (((c * y + np.sqrt(1 - c**2) * z) * built).sum(axis=1) >= least - 1e-9).all()
+
+
+def test_every_length_links_with_its_own(spark):
+    rng = np.random.default_rng(8)
+    rows = clusters(5, dim=8, centres=6, each=15)
+    rows += [(1000 + k, v) for k, (_, v) in enumerate(clusters(6, dim=5, centres=4, each=10)[:90])]
+    rows += [(2000, [1.0, 0.0]), (2001, [2.0, 0.0]), (2002, [0.0, 1.0]), (2003, [3.0]), (2004, [0.5]), (2005, [-1.0]), (2006, [0.0])]
+    rows += [(3000 + k, (rng.normal(size=3) * 0.1 + 1).tolist()) for k in range(70)]
+    for block in (4096, 50):
+        got, want = run(spark, rows, block=block), {i: x for d in (1, 2, 3) for i, x in brute([(i, np.float32(v).astype(float).tolist()) for i, v in rows if i >= 2000 and len(v) == d]).items()}
+        exact = [i for i in want if i < 3000 or block == 4096]
+        assert {i: got[i] for i in exact} == {i: want[i] for i in exact}
+        whole = brute_by_length(rows)
+        assert all(got[i][0] <= whole[i] for i in whole) and sum(g[0] for g in got.values()) >= 0.98 * sum(whole.values())
+
+
+def brute_by_length(rows):
+    by = {}
+    for i, v in rows:
+        by.setdefault(len(v), []).append((i, np.float32(v).astype(float).tolist()))
+    return {i: n for part in by.values() for i, (n, _, _) in brute(part).items()}
