@@ -7,11 +7,13 @@ class; the vector is compared by an order-free hash sum, so no host's pages ever
 in one task. The class of tokens that occur once in every page is the template's
 frame; other classes are valid when they have two tokens on half the pages.
 
-Text tokens of the frame, and those that come and go with a tag, are the template's
-own and no data. All other text fills slots. The elements of valid classes that hold
-more than half of a host's slot text lie within each other; the innermost is the main
-one. Word lists only break ties: an outer one of these that is an article, or what
-lies inside it and is a menu, an advert and the like. A host of fewer than three
+The content element of a host is the outermost one that tags or word lists call an
+article, if pages have one outside menus and the like. Where there is none, classes
+decide: of the elements of valid classes the innermost one that holds more than half of
+the host's distinct text, words of links not counted. Text in it is data: what lies in
+elements that word lists call a menu, an advert and the like goes, and so does text of
+the frame, or that comes and goes with a tag, in a marked element that never holds
+anything else, as long as most of the page's content stays. A host of fewer than three
 distinct pages, or a page that breaks the order of the frame, shows no template and is
 read by the word lists alone.
 
@@ -23,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,16 +56,84 @@ MAIN_WORDS = set("article-body article-content entry-content post-content post-b
 ENDS = {"p": INLINE | {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 IN_P = set("button map object ins del".split()) | INLINE
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.I | re.S,
-)
+# Elements whose text is the author's when they carry no class.
+PLAIN = set("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption address article main body html".split())
+
+_NAME = re.compile(r"(/?)([a-z][^\s/<>]*)", re.I)
+_RAW = re.compile("(?:" + "|".join(RAW) + r")\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
+class _Ends:
+    """Where tags of a page end: the first `>` outside quotes. Marks are looked at once, however many tags stay open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.known: dict[int, int] = {}
+        self.at: dict[str, list[int]] | None = None
+
+    def _next(self, kind: str, start: int) -> int:
+        if self.at is None:
+            marks = [m.start() for m in re.finditer("[>\"']", self.page)]
+            self.at = {"any": marks} | {c: [k for k in marks if self.page[k] == c] for c in ">\"'"}
+        places = self.at[kind]
+        k = bisect_left(places, start)
+        return places[k] if k < len(places) else -1
+
+    def plain(self, start: int) -> int:
+        return self.page.find(">", start) if start <= self.last else -1
+
+    def tag(self, start: int) -> int:
+        """The end of a tag whose attributes begin at `start`, -1 if it has none."""
+        page, end = self.page, self.plain(start)
+        # Short cut for pages whose quotes are all closed inside tags that end.
+        if end < 0 or self.at is None and page.find('"', start, end) < 0 and page.find("'", start, end) < 0:
+            return end
+        trail, end = [], -1
+        while (mark := self._next("any", start)) >= 0:
+            if mark in self.known:
+                end = self.known[mark]
+                break
+            trail.append(mark)
+            if page[mark] == ">":
+                end = mark
+                break
+            close = self._next(page[mark], mark + 1)
+            if close < 0:
+                break
+            start = close + 1
+        self.known.update(dict.fromkeys(trail, end))
+        return end
+
+
+def page_tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, closing, attributes) of the tags of a page, in order; what holds no text of its own has an empty name, comments None."""
+    ends, at = None, page.find("<")
+    while at >= 0:
+        ends = ends or _Ends(page)
+        name, closing, attrs, end = None, False, "", -1
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(mark, at + len(mark) + 1)
+            end = len(page) if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = ends.plain(at) + 1
+        elif m := _NAME.match(page, at + 1):
+            stop = ends.tag(m.end())
+            if stop >= 0 and not m[1] and (raw := _RAW.match(page, at + 1)):
+                close = _RAW_END[raw[0].lower()].search(page, stop)
+                name, end = "", close.end() if close else len(page)
+            elif stop >= 0:
+                name, closing, attrs, end = m[2].lower(), bool(m[1]), page[m.end() : stop], stop + 1
+        if end > 0:
+            yield at, end, name, closing, attrs
+        at = page.find("<", end if end > 0 else at + 1)
+
+
 # One attribute: its whole name, then its value.
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-# Distinct pages of a host that show a template, and pages that show text to be part of it.
-HOST_PAGES, TEXT_PAGES = 3, 5
+# Distinct pages of a host that show a template.
+HOST_PAGES = 3
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -93,65 +165,74 @@ def _label(name: str, attrs: str) -> tuple[str, bool | None]:
 
 
 def page_events(page: str) -> Iterator[tuple[str, str, bool | None]]:
-    """("open", key, kind), ("close", key, None), ("break", "", None) and ("text", text, None) in page order.
+    """("open", key, kind), ("close", key, None), ("break", "", None) and ("text", text, linked) in page order.
 
     A key is a tag token within the tag around it. Tags that cannot lie in an open
     one end it, and a closing tag without an open one is nothing.
     """
     stack: list[tuple[str, str]] = []
-    at = 0
+    still_open: Counter[str] = Counter()
+    at, links = 0, 0
 
     def end(k: int):
         while len(stack) > k:
-            yield "close", stack.pop()[1], None
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield "text", page[at : m.start()], None
-        at = m.end()
-        name = m["name"]
+            name, key = stack.pop()
+            still_open[name] -= 1
+            yield "close", key, None
+
+    for start, stop, name, closing, attrs in page_tags(page):
+        if start > at:
+            yield "text", page[at:start], links > 0
+        at = stop
         if not name:
-            if m["raw"]:
-                yield "text", " ", None
+            if name == "":
+                yield "text", " ", False
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "br":
-                yield "text", " ", None
+                yield "text", " ", False
+            elif name == "a":
+                links = 0 if closing else 1
             continue
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    yield from end(k)
-                    break
+        if closing:
+            if still_open[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                yield from end(k)
             yield "break", "", None
             continue
         if stack and stack[-1][0] == "p" and name not in IN_P or stack and name in ENDS.get(stack[-1][0], ()):
             yield from end(len(stack) - 1)
-        label, kind = _label(name, m["attrs"])
+        label, kind = _label(name, attrs)
         key = f"{stack[-1][1].rpartition('>')[2] if stack else ''}>{label}"
         if name in VOID:
             yield "break", "", None
             continue
         stack.append((name, key))
+        still_open[name] += 1
         yield "open", key, kind
     if at < len(page):
-        yield "text", page[at:], None
+        yield "text", page[at:], links > 0
     yield from end(0)
 
 
-def page_blocks(page: str) -> Iterator[tuple[str, str, bool | None]]:
-    """page_events with the text of each block in one piece: white space becomes one blank, blank blocks go."""
-    parts: list[str] = []
+def page_blocks(page: str) -> Iterator[tuple[str, str, bool | int | None]]:
+    """page_events with the text of each block in one piece: white space becomes one blank, blank blocks go.
+
+    A block comes with the number of its characters that are not a link's.
+    """
+    parts: list[tuple[str, bool]] = []
 
     def text():
-        if parts and (whole := _SPACE.sub(" ", html.unescape("".join(parts))).strip()):
-            yield "text", whole, None
+        if parts and (whole := _SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()):
+            own = whole if not any(linked for _, linked in parts) else _SPACE.sub(" ", html.unescape("".join(p for p, linked in parts if not linked))).strip()
+            yield "text", whole, len(own)
         parts.clear()
 
     for event in page_events(page):
         if event[0] == "text":
-            parts.append(event[1])
+            parts.append((event[1], bool(event[2])))
         else:
             yield from text()
             yield event
@@ -166,23 +247,26 @@ def text_key(around: str, text: str) -> str:
 def token_counts(page: str) -> list[tuple[str, int, int, bool | None, int, list[str] | None]]:
     """(key, occurrences, place of the first, kind, characters, elements around) of the open tags and blocks of text.
 
-    "#" stands for the page itself; only text has characters and elements around it.
+    "#" stands for the page itself; only text has characters, of links none, and elements
+    around it. An element inside a menu and the like is no article, whatever it is called.
     """
     seen: dict[str, list] = {"#": [1, 0, None, 0, None]}
     place = 0
-    stack: list[str] = []
+    # Per open element: its key, the distinct keys from the page to it, and whether it lies in a menu and the like.
+    stack: list[tuple[str, dict, bool]] = [("", {"#": None}, False)]
     for what, key, kind in page_blocks(page):
         if what == "open":
             place += 1
-            stack.append(key)
-            seen.setdefault(key, [0, place, kind, 0, None])[0] += 1
+            _, around, barred = stack[-1]
+            stack.append((key, around if key in around else around | {key: None}, barred or kind is False))
+            seen.setdefault(key, [0, place, None if barred and kind else kind, 0, None])[0] += 1
         elif what == "close":
             stack.pop()
         elif what == "text":
             place += 1
-            of_text = text_key(stack[-1] if stack else "", key)
+            of_text = text_key(stack[-1][0], key)
             if of_text not in seen:
-                seen[of_text] = [0, place, None, len(key), list(dict.fromkeys(["#", *stack]))]
+                seen[of_text] = [0, place, None, kind, list(stack[-1][1])]
             seen[of_text][0] += 1
     return [(k, *v) for k, v in seen.items()]
 
@@ -193,28 +277,28 @@ def main_text(
 ) -> str:
     """The main text of a page under its host's template: frame tokens in order, and those that are main or outside.
 
-    `content` is the element that holds the slots of main text, `fixed` the text tokens
-    of the template. A page that breaks the order of the frame, or lacks the main
-    token, is read by its own tags. White space of a block becomes one blank; blocks
-    are joined by line feeds.
+    `content` is the element that holds the main text, `fixed` the text tokens of the
+    template. A page that breaks the order of the frame, or lacks the main token, is
+    read by its own tags. White space of a block becomes one blank; blocks are
+    joined by line feeds.
     """
     events = list(page_blocks(page))
     known_outside = set(outside or ())
-    opened = [k for what, k, _ in events if what == "open"]
-    order = [k for k in dict.fromkeys(opened) if k in set(frame or ())]
-    in_order = order == [k for k in frame or () if k in set(order)] and len(order) == sum(k in set(order) for k in opened)
+    opened = Counter(k for what, k, _ in events if what == "open")
+    ordered = set(frame or ()) & set(opened)
+    in_order = [k for k in opened if k in ordered] == [k for k in frame or () if k in ordered] and all(opened[k] == 1 for k in ordered)
     decided = in_order and content in opened
     wanted = {content} if decided else set(main or ())
     template = set(fixed or ()) if decided else set()
     if not in_order or not wanted & set(opened):
         wanted = {k for what, k, kind in events if what == "open" and kind}
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool]] = []
     inside, barred = 0, 0
     stack: list[tuple[str, int, int]] = []
     for what, key, kind in events:
         if what == "text":
-            if not barred and (inside or not wanted) and (not template or text_key(stack[-1][0] if stack else "", key) not in template):
-                blocks.append(key)
+            if not barred and (inside or not wanted):
+                blocks.append((key, bool(template) and text_key(stack[-1][0] if stack else "", key) in template))
         elif what == "open":
             stack.append((key, inside, barred))
             is_main = key in wanted
@@ -223,7 +307,10 @@ def main_text(
             inside, barred = inside + is_main, barred + (not is_main and (kind is False or key in known_outside))
         elif what == "close":
             _, inside, barred = stack.pop()
-    return "\n".join(blocks)
+    # The template's own words are the lesser part of a page's content, or they are no template.
+    if 2 * sum(len(t) for t, own in blocks if own) < sum(len(t) for t, _ in blocks):
+        blocks = [b for b in blocks if not b[1]]
+    return "\n".join(t for t, _ in blocks)
 
 
 def host_of(url: Column) -> Column:
@@ -261,23 +348,28 @@ def host_templates(pages: DataFrame) -> DataFrame:
         counts.groupBy("host", "key").agg(
             F.sum(F.xxhash64("mark", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"),
             F.avg("place").alias("place"), F.max("n").alias("most"), F.max("kind").alias("kind"),
-            F.sum(F.col("n") * F.col("chars")).alias("chars"), F.max("around").alias("around"),
+            F.max("chars").alias("chars"), F.max("around").alias("around"),
         )
     )
     is_text = F.col("around").isNotNull()
     whole = vectors.where("key = '#'").select("host", F.col("vector").alias("whole"), F.col("pages").alias("all_pages"))
     # Text that few pages have is in no class of the template.
-    common = vectors.where(~is_text | (F.col("pages") >= TEXT_PAGES)).join(whole, "host").where("key <> '#' AND 2 * pages >= all_pages")
+    common = vectors.where(~is_text | (F.col("pages") >= HOST_PAGES)).join(whole, "host").where("key <> '#' AND 2 * pages >= all_pages")
     classes = common.groupBy("host", "vector").agg(F.count("*").alias("tokens"), F.count(F.when(~is_text, 1)).alias("tags"))
     token = written(common.join(classes, ["host", "vector"]).withColumn("in_frame", F.col("vector") == F.col("whole")))
-    fixed = token.where(is_text & (F.col("in_frame") | (F.col("tags") > 0))).select("host", "key")
-    # Characters of slot text inside each element; "#" has those of the host.
-    slots = vectors.where(is_text).join(fixed, ["host", "key"], "left_anti")
-    mass = slots.select("host", F.explode("around").alias("key"), "chars").groupBy("host", "key").agg(F.sum("chars").alias("mass"))
+    # The template's text: in a marked element that holds no slot anywhere on the host.
+    tag = F.regexp_replace("key", "^#[0-9a-f]+>", "")
+    own = is_text & (F.col("in_frame") | (F.col("tags") > 0)) & (F.col("all_pages") >= HOST_PAGES)
+    fixed = token.where(own & ~F.element_at(F.split(tag, ">"), -1).isin(*PLAIN)).select("host", "key", tag.alias("tag"))
+    slots = vectors.where(is_text).join(token.where(own).select("host", "key"), ["host", "key"], "left_anti").select("host", tag.alias("tag")).distinct()
+    fixed = fixed.join(slots, ["host", "tag"], "left_anti").groupBy("host").agg(F.collect_list("key").alias("fixed"))
+    # Characters of distinct text inside each element; "#" has those of the host.
+    mass = vectors.where(is_text).select("host", F.explode("around").alias("key"), "chars").groupBy("host", "key").agg(F.sum("chars").alias("mass"))
     total = mass.where("key = '#'").select("host", F.col("mass").alias("total"))
+    sole = ~is_text & (F.col("most") == 1) & (F.col("all_pages") >= HOST_PAGES)
+    by_class = (F.col("in_frame") | (F.col("tokens") > 1)) & F.expr("2 * mass > total AND kind IS NULL")
     holds = (
-        token.where(~is_text & (F.col("most") == 1) & (F.col("in_frame") | (F.col("tokens") > 1)) & (F.col("all_pages") >= HOST_PAGES))
-        .join(mass, ["host", "key"]).join(total, "host").where("2 * mass > total AND coalesce(kind, true)")
+        token.where(sole & F.coalesce("kind", F.lit(True))).join(mass, ["host", "key"]).join(total, "host").where((F.col("kind") & (F.col("mass") > 0)) | by_class)
         .groupBy("host").agg(F.coalesce(F.min_by("key", F.when(F.col("kind"), F.col("place"))), F.max_by("key", "place")).alias("content"))
     )
     ordered = F.sort_array(F.collect_list(F.when(F.col("in_frame") & ~is_text, F.struct("place", "key"))))
@@ -285,8 +377,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
         F.transform(ordered, lambda x: x["key"]).alias("frame"),
         F.collect_list(F.when(F.col("kind"), F.col("key"))).alias("main"),
         F.collect_list(F.when(~F.col("kind"), F.col("key"))).alias("outside"),
-        F.collect_list(F.when(is_text & (F.col("in_frame") | (F.col("tags") > 0)), F.col("key"))).alias("fixed"),
-    ).join(holds, "host", "left")
+    ).join(holds, "host", "left").join(fixed, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
