@@ -1,11 +1,13 @@
 """Ordered scans that survive hot keys.
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. When
-one payer or payee holds a large share of the table that task never ends. Here a
-key with more than ``max_rows`` rows is cut into time chunks; each chunk is
-scanned on its own and receives the state of the earlier chunks from a small
-table of chunk totals. Keys below the limit take the plain window plan, and when
-no key is above it the chunk machinery leaves no trace in the plan.
+one payer or payee holds a large share of the table that task never ends. Here rows
+take two lanes. Keys of at most ``max_rows`` rows keep the plain window plan. The
+rows of larger keys, and only these, are dealt into ranges of (key, order columns)
+and written once; each range is scanned on its own and receives the state of the
+earlier ranges of the key from a small table of range totals. All order columns
+take part, so one value of the first of them may fill many ranges. When no key is
+large the second lane leaves no trace in the plan.
 
 ``sliding`` builds trailing-window counts, sums and distinct counts out of such a
 scan: a row adds its contribution at its own time and takes it back when it
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from paywarden.session import cut_lineage
 
 MAX_ROWS_PER_TASK = 4_000_000
-MAX_CHUNKS_PER_KEY = 512
 MAX_HOT_KEYS_ON_DRIVER = 1_000
 CHUNK = "_chunk"
 
@@ -38,23 +39,26 @@ def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Chunk bounds of the keys that are too large for one task."""
+    """The keys that are too large for one task, and into how many ranges their rows are dealt."""
 
     keys: tuple[str, ...]
-    order: str
-    bounds: DataFrame
+    table: DataFrame
     small: bool
+    ranges: int
 
-    def assign(self, df: DataFrame, order: str | None = None) -> DataFrame:
-        """Add the chunk number; null for rows whose key is not hot."""
-        when = F.col(order or self.order)
-        bounds = F.broadcast(self.bounds) if self.small else self.bounds
-        joined = _join_on_keys(df, bounds, self.keys, "left") if self.keys else df.crossJoin(bounds)
-        chunk = F.when(
-            F.col("_bounds").isNotNull(),
-            F.size(F.filter("_bounds", lambda b: b <= when.cast("double"))),
-        )
-        return joined.withColumn(CHUNK, chunk).drop("_bounds")
+    def _only(self, df: DataFrame, how: str) -> DataFrame:
+        # Spark moves these joins below the windows and unions of earlier scans of the key.
+        return _join_on_keys(df, F.broadcast(self.table) if self.small else self.table, self.keys, how)
+
+    def lanes(self, df: DataFrame, order: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
+        """Rows of the other keys (None if there are none), and those of the hot keys with their range.
+
+        The hot rows are written, so a task that runs again sees the same ranges.
+        """
+        cold = self._only(df, "left_anti") if self.keys else None
+        rows = self._only(df, "left_semi") if self.keys else df
+        dealt = rows.repartitionByRange(self.ranges, *self.keys, *order)
+        return cold, cut_lineage(dealt.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def find_hot_keys(
@@ -63,41 +67,23 @@ def find_hot_keys(
     order: str,
     max_rows: int = MAX_ROWS_PER_TASK,
 ) -> HotKeys | None:
-    """Count rows per key, and bound the large ones by quantiles of ``order``.
+    """Count rows per key; ``None`` when every key fits in one task.
 
-    Runs one aggregation over the key columns. Returns ``None`` when every key
-    fits in one task. Any bounds give right results; they only set the balance.
+    Runs one aggregation over the key columns, combined before its shuffle.
     """
     keys = tuple(keys)
-    spark = df.sparkSession
-    slim = df.select(*keys, F.col(order).cast("double").alias("_o"))
-    counts = slim.groupBy(*keys).count().filter(F.col("count") > max_rows)
+    counts = df.select(*keys).groupBy(*keys).count().filter(F.col("count") > max_rows)
     found = counts.limit(MAX_HOT_KEYS_ON_DRIVER + 1).collect()
     if not found:
         return None
     small = len(found) <= MAX_HOT_KEYS_ON_DRIVER
-    biggest = max(r["count"] for r in found) if small else counts.agg(F.max("count")).first()[0]
-    n_chunks = max(2, min(MAX_CHUNKS_PER_KEY, math.ceil(biggest / max_rows)))
-    probs = [i / n_chunks for i in range(1, n_chunks)]
-    hot_rows = slim
-    if keys:
-        schema = slim.select(*keys).schema
-        hot = (
-            F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in found], schema))
-            if small
-            else counts.select(*keys)
-        )
-        hot_rows = _join_on_keys(slim, hot, keys, "left_semi")
-    bounds = hot_rows.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_o", probs, 10_000)).alias("_bounds")
-    )
-    # percentile_approx may answer differently when it is run again, so the
-    # bounds are fixed once: as literals, or as a checkpoint when they are many.
+    total = sum(r["count"] for r in found) if small else counts.agg(F.sum("count")).first()[0]
     if small:
-        bounds = spark.createDataFrame([tuple(r) for r in bounds.collect()], bounds.schema)
+        schema = df.select(*keys).schema
+        table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema) if keys else counts
     else:
-        bounds = cut_lineage(bounds)
-    return HotKeys(keys, order, bounds, small)
+        table = cut_lineage(counts.select(*keys))
+    return HotKeys(keys, table, small, max(2, math.ceil(total / max_rows)))
 
 
 @dataclass(frozen=True)
@@ -133,13 +119,8 @@ def _local(name: str, m: Metric, spec) -> dict[str, Column]:
 def _totals(name: str, m: Metric, order: Column, reverse: bool) -> dict[str, Column]:
     c = f"_c_{name}"
     if m.op == "moments":
-        n, mean = F.count(m.value), F.avg(m.value)
-        return {
-            f"{c}_n": n,
-            f"{c}_s": F.coalesce(n * mean, F.lit(0.0)),
-            f"{c}_q": F.coalesce(n * mean * mean, F.lit(0.0)),
-            f"{c}_m2": F.coalesce(n * F.var_pop(m.value), F.lit(0.0)),
-        }
+        n = F.count(m.value)
+        return {f"{c}_n": n, f"{c}_mean": F.coalesce(F.avg(m.value), F.lit(0.0)), f"{c}_m2": F.coalesce(n * F.var_pop(m.value), F.lit(0.0))}
     if m.op == "last":
         pick = F.min_by if reverse else F.max_by
         return {c: pick(m.value, F.when(m.value.isNotNull(), order))}
@@ -151,7 +132,14 @@ def _carry(name: str, m: Metric, spec, reverse: bool) -> dict[str, Column]:
     c = f"_c_{name}"
     before = spec.rowsBetween(Window.unboundedPreceding, -1)
     if m.op == "moments":
-        return {f"{c}_{p}": F.sum(f"{c}_{p}").over(before) for p in ("n", "s", "q", "m2")}
+        # Sums are taken around the mean of the whole key, so that large values do not cancel.
+        n, mean, whole = F.col(f"{c}_n"), F.col(f"{c}_mean"), spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        middle = F.sum(n * mean).over(whole) / F.greatest(F.sum(n).over(whole), F.lit(1))
+        off = mean - middle
+        return {
+            f"{c}_n": F.sum(n).over(before), f"{c}_c": middle, f"{c}_s": F.sum(n * off).over(before),
+            f"{c}_q": F.sum(F.col(f"{c}_m2") + n * off * off).over(before),
+        }
     if m.op == "last":
         return {c: F.last(c, ignorenulls=True).over(before)}
     if m.op == "lead":
@@ -164,10 +152,9 @@ def _merge(name: str, m: Metric) -> dict[str, Column]:
     here, c = F.col(name), F.col(f"_c_{name}")
     if m.op == "moments":
         na, nb = F.coalesce(F.col(f"_c_{name}_n"), F.lit(0)), F.col(f"{name}_n")
-        ma = F.when(na > 0, F.col(f"_c_{name}_s") / na).otherwise(0.0)
-        m2a = F.when(
-            na > 0, F.col(f"_c_{name}_m2") + F.greatest(F.lit(0.0), F.col(f"_c_{name}_q") - na * ma * ma)
-        ).otherwise(0.0)
+        off = F.when(na > 0, F.col(f"_c_{name}_s") / na).otherwise(0.0)
+        ma = F.coalesce(F.col(f"_c_{name}_c"), F.lit(0.0)) + off
+        m2a = F.when(na > 0, F.greatest(F.lit(0.0), F.col(f"_c_{name}_q") - na * off * off)).otherwise(0.0)
         mb, vb = F.coalesce(F.col(f"{name}_mean"), F.lit(0.0)), F.coalesce(F.col(f"{name}_var"), F.lit(0.0))
         n = na + nb
         return {
@@ -197,9 +184,9 @@ def prefix_scans(
     """Add running values over each key in ``order``; ``reverse`` scans from the end.
 
     Each scan is ``(within, metrics)``: ``within`` names columns that cut a key
-    further (the payees of a payer), while hot chunks are still those of ``keys``.
-    The scans must not depend on each other. With hot keys the rows are written
-    once, and the chunk totals of all scans come from that copy.
+    further (the payees of a payer), while the ranges are still those of ``keys``.
+    The scans must not depend on each other. The rows of hot keys are written once,
+    and the range totals of all scans come from that copy.
     """
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
@@ -215,10 +202,9 @@ def prefix_scans(
             df = df.select("*", *[e.alias(n) for n, e in exprs.items()])
         return df
 
-    base = cut_lineage(hot.assign(df, order[0]))
-    hot_rows = base.filter(F.col(CHUNK).isNotNull())
+    cold, hot_rows = hot.lanes(df, order)
     at = F.struct(*order)
-    out = base
+    out = hot_rows
     for within, metrics in scans:
         groups = [*keys, *within]
         spec = spec_for([*groups, CHUNK])
@@ -244,7 +230,8 @@ def prefix_scans(
             on = on & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
         joined = left.alias("l").join(chunk_totals.alias("r"), on, "left").select("l.*", *[f"r.{n}" for n in carry])
         out = joined.select(*before, *[e.alias(n) for n, e in merged.items()])
-    return out.drop(CHUNK)
+    out = out.drop(CHUNK)
+    return out if cold is None else prefix_scans(cold, keys, order, scans, None, reverse).unionByName(out)
 
 
 def prefix_scan(

@@ -174,7 +174,7 @@ def test_null_keys_can_be_hot(spark):
     rows = [(f"T{i:03d}", None if i % 2 else "a", i // 3) for i in range(80)]
     df = spark.createDataFrame(rows, "txn_id string, k string, ts_us long")
     hot = find_hot_keys(df, ["k"], "ts_us", 10)
-    assert hot.bounds.count() == 2
+    assert hot.table.count() == 2
     out = prefix_scan(df, ["k"], ["ts_us", "txn_id"], {"n": Metric("sum", F.lit(1))}, hot).collect()
     for k in (None, "a"):
         assert sorted(r["n"] for r in out if r["k"] == k) == list(range(40))
@@ -200,3 +200,38 @@ def test_top_rows_per_group_are_limited_before_the_shuffle(spark):
     df = spark.createDataFrame([("s", 1, "t")], "session_id string, ts_us long, txn_id string")
     plan = recent_in_session(df)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_only_hot_rows_are_written(spark, monkeypatch):
+    from paywarden.operators import scan
+
+    written = []
+    monkeypatch.setattr(scan, "cut_lineage", lambda df: written.append(df) or df)
+    df = spark.createDataFrame(make_rows(seed=5), SCHEMA)
+    hot = find_hot_keys(df, ["payer_id"], "ts_us", 60)
+    sliding(df, ["payer_id"], "ts_us", "txn_id", {"1h": H}, distincts={"apps": "app"}, hot=hot)
+    big = {r["payer_id"] for r in hot.table.collect()}
+    assert big == {"P0"} and len(written) == 2
+    assert all({r["payer_id"] for r in w.select("payer_id").distinct().collect()} == big for w in written)
+
+
+def test_one_value_of_a_hot_key_is_split(spark):
+    rows = [(f"T{i:04d}", "a" if i % 8 else "b", 7) for i in range(800)]
+    df = spark.createDataFrame(rows, "txn_id string, k string, ts_us long")
+    hot = find_hot_keys(df, ["k"], "ts_us", 120)
+    cold, dealt = hot.lanes(df, ["ts_us", "txn_id"])
+    assert cold.count() == 100
+    sizes = [r["count"] for r in dealt.groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 700 and max(sizes) <= 240 and len(sizes) >= 4
+    out = prefix_scan(df, ["k"], ["ts_us", "txn_id"], {"n": Metric("sum", F.lit(1))}, hot).collect()
+    for k in "ab":
+        assert [r["n"] for r in sorted((r for r in out if r["k"] == k), key=lambda r: r["txn_id"])] == list(range(sum(x[1] == k for x in rows)))
+
+
+def test_moments_of_large_values_do_not_cancel(spark):
+    rows = [(i, "a", 1e9 + (i * 37 % 101) / 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    metrics = {"m": Metric("moments", F.col("v"), True)}
+    plain = {r["id"]: r["m_var"] for r in prefix_scan(df, ["k"], ["id"], metrics).collect()}
+    cut = {r["id"]: r["m_var"] for r in prefix_scan(df, ["k"], ["id"], metrics, find_hot_keys(df, ["k"], "id", 40)).collect()}
+    assert all(cut[i] == pytest.approx(plain[i], rel=1e-6, abs=1e-6) for i in plain)
