@@ -313,20 +313,19 @@ _WINDOWED = {
 }
 
 
-@query(
-    "behavioural_features",
-    "E-1 E-2 E-3 E-4 E-5 E-6 E-7 E-8 E-9 E-10 E-11 E-12 E-13 E-14 E-15 E-16 E-17 E-18 E-19 E-20 E-21 E-22 E-23 E-24",
+_FEATURE_SQL = (
     "SELECT txn_id, "
     + ", ".join(f"{sr(f'({sql})')} AS {c}" for c, sql in _WINDOWED.items())
     + ", "
     + ", ".join(f"{sr(f'({sql})', d)} AS {c}" for c, (sql, d) in _ALL43.items())
-    + " FROM hist",
-    hist0=HIST0,
-    hist=HIST,
+    + " FROM hist"
 )
-def _behavioural(t):
+_FEATURES = "E-1 E-2 E-3 E-4 E-5 E-6 E-7 E-8 E-9 E-10 E-11 E-12 E-13 E-14 E-15 E-16 E-17 E-18 E-19 E-20 E-21 E-22 E-23 E-24"
+
+
+def _all_features(t, **more):
     wanted = dict.fromkeys((*feat.HISTORY_INPUT, *feat.VELOCITY_INPUT))
-    out = feat.behavioural_features(t.payments.select(*wanted))
+    out = feat.behavioural_features(t.payments.select(*wanted), **more)
     return out.select(
         "txn_id",
         *[r(c).alias(c) for c in _WINDOWED],
@@ -334,6 +333,17 @@ def _behavioural(t):
     )
 
 
+@query("behavioural_features", _FEATURES, _FEATURE_SQL, hist0=HIST0, hist=HIST)
+def _behavioural(t):
+    return _all_features(t)
+
+
+@query("behavioural_features_in_ranges", _FEATURES + " F-1", _FEATURE_SQL, hist0=HIST0, hist=HIST)
+def _in_ranges(t):
+    """Payers and payees of more than 80 payments are cut into ranges."""
+    return _all_features(t, max_rows=80)
+
+
 @query(
     "account_age",
     "C-1",

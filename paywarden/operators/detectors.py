@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paywarden.operators.scan import MAX_ROWS_PER_TASK, HotKeys, Metric, find_hot_keys, prefix_scan, prefix_scans, sliding
+from paywarden.session import cut_lineage
 
 MIN_US = 60_000_000
 HOUR_US = 60 * MIN_US
@@ -395,24 +396,35 @@ def prior_merchants(payments: DataFrame, merchants: DataFrame) -> DataFrame:
     return payments.select("payer_id", "payee_id").distinct().join(known, "payee_id", "left_semi")
 
 
-def _nearest_control(rows: DataFrame, keys: list[str], band: tuple[float, float], hot: HotKeys | None) -> DataFrame:
+def _nearest_control(rows: DataFrame, keys: list[str], band: tuple[float, float], hot: HotKeys | None, other_payee: bool = True) -> DataFrame:
     """Adds ``m``, the legitimate row of the key with another payee whose amount is in the band and nearest.
 
     Rows are put in amount order and each reads the last legitimate row before and
     after it, and the last that pays someone else than that one; of equally near
-    rows the lower one counts.
+    rows the lower one counts. Where a key has one payee, ``other_payee`` is false and
+    nobody else is looked for. Legitimate rows that no fraud amount of their key can
+    reach are left out before the rows are ordered.
     """
     c = F.col
     order = ["cents", "txn_id"]
+    # One row a key with fraud; keys without any drop out.
+    reach = rows.filter("is_fraud").groupBy(*keys).agg(
+        (F.min("cents") * band[0]).alias("_from"), (F.max("cents") * band[1]).alias("_to")
+    )
+    rows = rows.join(reach, keys).filter(c("is_fraud") | c("cents").between(c("_from"), c("_to"))).drop("_from", "_to")
     legit = ~c("is_fraud")
     me = F.struct("cents", "txn_id", "payee_id")
     for side, reverse in (("lo", False), ("hi", True)):
         rows = prefix_scan(rows, keys, order, {f"_{side}": Metric("last", F.when(legit, me))}, hot, reverse=reverse)
-        other = F.when(legit & (c(f"_{side}.payee_id") != c("payee_id")), c(f"_{side}"))
-        rows = prefix_scan(rows, keys, order, {f"_{side}_other": Metric("last", other)}, hot, reverse=reverse)
+        if other_payee:
+            # Follows on the order of the scan before it, so nothing is exchanged or sorted again.
+            other = F.when(legit & (c(f"_{side}.payee_id") != c("payee_id")), c(f"_{side}"))
+            rows = prefix_scan(rows, keys, order, {f"_{side}_other": Metric("last", other)}, hot, reverse=reverse)
 
     def inside(side: str) -> Column:
-        near = F.when(c(f"_{side}.payee_id") != c("not_payee"), c(f"_{side}")).otherwise(c(f"_{side}_other"))
+        near = F.when(c(f"_{side}.payee_id") != c("not_payee"), c(f"_{side}"))
+        if other_payee:
+            near = near.otherwise(c(f"_{side}_other"))
         return F.when(near["cents"].between(c("cents") * band[0], c("cents") * band[1]), near)
 
     found = rows.filter("is_fraud").select("*", inside("lo").alias("lo"), inside("hi").alias("hi"))
@@ -443,7 +455,8 @@ def matched_controls(
     keys = ["rail", "channel", "mcc"]
     rows = rows.filter(~c("is_fraud") | c("campaign_id").isNotNull()).withColumn("not_payee", c("payee_id"))
     hot = find_hot_keys(rows, keys, "cents", max_rows)
-    picked = _nearest_control(rows, keys, band, hot)
+    # Read four times below, and no more than one row per fraud payment.
+    picked = cut_lineage(_nearest_control(rows, keys, band, hot))
     w = Window.partitionBy("campaign_id").orderBy(c("_n").desc(), "payee_id")
     kept = (
         picked.groupBy("campaign_id", c("m.payee_id").alias("payee_id")).agg(F.count("*").alias("_n"))
@@ -454,7 +467,7 @@ def matched_controls(
     both = allowed.unionByName(asked.withColumn("is_fraud", F.lit(True)))
     # Inside the key of a payee every control pays that payee, so no other one is looked for.
     hot_payee = find_hot_keys(allowed, [*keys, "payee_id"], "cents", max_rows)
-    again = _nearest_control(both, [*keys, "payee_id"], band, hot_payee)
+    again = _nearest_control(both, [*keys, "payee_id"], band, hot_payee, other_payee=False)
     best = F.min(F.struct(F.abs(c("m.cents") - c("cents")).alias("far"), (c("m.cents") > c("cents")).alias("above"), "m"))
     return again.groupBy("txn_id", "campaign_id").agg(best.alias("_b")).select(
         "txn_id", "campaign_id", c("_b.m.txn_id").alias("control_txn_id"), c("_b.m.payee_id").alias("control_payee_id")
