@@ -13,7 +13,8 @@ from paywarden.catalog.scoring import CTES, LEVEL, LINKS, RECENT, SIM
 from paywarden.sources.adapter import DAY_US, HOUR_US, DriverTables
 from paywarden.operators.sessions import session_windows
 from paywarden.session import scratch_folder
-from paywarden.streaming.jobs import link_sessions, retrain_trigger, score_stream, session_summary, write_by_action
+from paywarden.streaming.jobs import retrain_trigger, score_stream, session_summary, write_by_action
+from paywarden.streaming.links import link_sessions
 from paywarden.streaming.quota import batch_quota, stream_quota
 from paywarden.streaming.velocity import online_velocity, payee_fan_in
 
@@ -134,10 +135,7 @@ def _stream_fan_in(t):
     links=LINKS,
 )
 def _stream_links(t):
-    folder = _folder(t)
-    writer = link_sessions(_streams(t).payments, f"{folder}/state", f"{folder}/links")
-    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = t.spark.read.parquet(f"{folder}/links")
+    out = _drain(t, link_sessions(_streams(t).payments))
     return out.select("session_id", "source_txn", "target_txn", r("similarity").alias("similarity"))
 
 

@@ -1,4 +1,4 @@
-"""Streaming jobs: session links, verdict trigger, live scoring, session summaries."""
+"""Streaming jobs: verdict trigger, live scoring, session summaries."""
 
 from __future__ import annotations
 
@@ -8,51 +8,6 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from paywarden.operators.feedback import feedback_summary
 from paywarden.operators.scoring import assess
-from paywarden.operators.sessions import LINK_THRESHOLD, RECENT, recent_in_session, session_links
-
-SESSION_COLUMNS = (
-    "session_id", "txn_id", "ts_us", "amount", "call_active_during_txn", "screen_share_active", "ip_is_proxy",
-    "beneficiary_added_ago_s",
-)
-
-
-def link_sessions(
-    payments: DataFrame, state_path: str, output_path: str, ttl_us: int = 86_400_000_000, threshold: float = LINK_THRESHOLD
-) -> DataStreamWriter:
-    """Link each new payment to the recent ones of its session.
-
-    Every micro-batch joins the last rows of the sessions it touches, writes the
-    new links and the next version of the state under its own batch id. A batch
-    that runs again writes the same folders, so nothing is doubled. Sessions idle
-    for longer than ``ttl_us`` leave the state.
-    """
-    slim = payments.select(*SESSION_COLUMNS)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # Only the first batch of a query has no state; a state that cannot be read must not pass for an empty one.
-        if batch_id == 0:
-            state = spark.createDataFrame([], batch.schema)
-        else:
-            state = spark.read.schema(batch.schema).parquet(f"{state_path}/version={batch_id - 1}")
-        touched = state.join(batch.select("session_id").distinct(), "session_id", "left_semi")
-        new_ids = batch.select(F.col("txn_id").alias("target_txn"))
-        links = session_links(touched.unionByName(batch), threshold, RECENT)
-        links.join(new_ids, "target_txn", "left_semi").write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
-        merged = state.unionByName(batch)
-        newest = merged.agg(F.max("ts_us").alias("_newest"))
-        alive = (
-            merged.groupBy("session_id")
-            .agg(F.max("ts_us").alias("_last"))
-            .crossJoin(F.broadcast(newest))
-            .filter(F.col("_last") >= F.col("_newest") - ttl_us)
-            .select("session_id")
-        )
-        kept = recent_in_session(merged).join(alive, "session_id", "left_semi")
-        kept.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
-
-    return slim.writeStream.foreachBatch(step)
-
 
 def retrain_trigger(verdicts: DataFrame) -> DataFrame:
     """Running feedback summary with the retrain decision; use output mode ``complete`` or ``update``."""

@@ -69,33 +69,53 @@ def batch_quota(
 
 
 class ClientQuota(StatefulProcessor):
-    """Accepted times of one client; never more than the limit."""
+    """Accepted times of one client, never more than the limit; cleared when the watermark has left the window behind.
+
+    One timer a client is set to the end of the window of its newest accepted request.
+    """
 
     def __init__(self, window_us: int = WINDOW_US, limit: int = MAX_REQUESTS) -> None:
         self._window_us, self._limit = window_us, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._accepted = handle.getListState("accepted", "ts_us BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "request_id"], kind="stable")
-        accepted = deque(int(r[0]) for r in self._accepted.get()) if self._accepted.exists() else deque()
+        known = self._accepted.exists()
+        accepted = deque(int(r[0]) for r in self._accepted.get()) if known else deque()
         out = []
         for row in batch.itertuples(index=False):
             ok, wait = decide(accepted, int(row.ts_us), self._window_us, self._limit)
             out.append((key[0], row.request_id, int(row.ts_us), ok, wait))
         if accepted:
             self._accepted.put([(a,) for a in accepted])
+            if not known:
+                self._handle.registerTimer(self._over(accepted))
         frame = pd.DataFrame(out, columns=COLUMNS)
         frame["retry_after_s"] = frame["retry_after_s"].astype("Int32")
         yield frame
 
+    def _over(self, accepted) -> int:
+        return (max(accepted) + self._window_us) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        accepted = [int(r[0]) for r in self._accepted.get()] if self._accepted.exists() else []
+        if accepted and self._over(accepted) > timerValues.getCurrentWatermarkInMs():
+            self._handle.registerTimer(self._over(accepted))
+        else:
+            self._accepted.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_quota(requests: DataFrame, window_us: int = WINDOW_US, limit: int = MAX_REQUESTS) -> DataFrame:
+def stream_quota(requests: DataFrame, window_us: int = WINDOW_US, limit: int = MAX_REQUESTS, late: str = "10 minutes") -> DataFrame:
+    """Decide requests as they come; those more than ``late`` behind the newest are dropped, and ``LateRows`` counts them."""
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return requests.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=ClientQuota(window_us, limit), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+    timed = requests.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", late)
+    return timed.groupBy("client").transformWithStateInPandas(
+        statefulProcessor=ClientQuota(window_us, limit), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )

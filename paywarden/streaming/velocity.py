@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 HOUR_US = 3_600_000_000
@@ -117,15 +117,37 @@ class PayerVelocity(StatefulProcessor):
         pass
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a stream has dropped so far because the watermark had passed them."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streams drop because the watermark has passed them, over the whole life of each run.
+
+    Add it with ``spark.streams.addListener``. A query's own progress list forgets all
+    but its last entries; a listener sees every one.
+    """
+
+    def __init__(self) -> None:
+        self._dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self._dropped[run] = self._dropped.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return self._dropped.get(str(query.runId), 0)
 
 
 def online_velocity(payments: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Velocity features of a payments stream, emitted once the watermark is past a payment.
 
-    Rows later than ``late`` are dropped by the watermark; ``late_rows`` counts them.
+    Rows later than ``late`` are dropped by the watermark; ``LateRows`` counts them.
     """
     payments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = payments.select(

@@ -11,7 +11,7 @@ from paywarden.operators.sampling import ensure_evaluation_splits
 from paywarden.operators.sessions import session_links
 from paywarden.session import scratch_folder
 from paywarden.sources import dataset as ds
-from paywarden.streaming.jobs import link_sessions
+from paywarden.streaming.links import link_sessions
 from tests.helpers import START, dataset, frame, label, txn
 
 
@@ -84,8 +84,8 @@ def test_links_do_not_depend_on_the_batches(spark, tmp_path, files):
         part = payments(spark, rows[k * 120 // files : (k + 1) * 120 // files])
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(payments(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    writer = link_sessions(stream, str(tmp_path / "state"), str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    writer = link_sessions(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50 * 49 // 2 + 50 * 70
 
 

@@ -1,6 +1,7 @@
 """Streams against their batch twins and against plain loops."""
 
 import random
+import time
 from collections import deque
 
 import pytest
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from paywarden.operators import features as feat
 from paywarden.operators.sessions import session_links
-from paywarden.streaming.jobs import link_sessions, retrain_trigger, score_stream, session_summary, write_by_action
+from paywarden.streaming.jobs import retrain_trigger, score_stream, session_summary, write_by_action
+from paywarden.streaming.links import link_sessions
 from paywarden.streaming.quota import batch_quota, decide, stream_quota
-from paywarden.streaming.velocity import late_rows, online_velocity, payee_fan_in
+from paywarden.streaming.velocity import LateRows, online_velocity, payee_fan_in
 
 H = 3_600_000_000
 BASE = 1_704_067_200_000_000
@@ -99,10 +101,23 @@ def test_late_rows_are_dropped_and_counted(spark, payments, tmp_path):
     df, path = payments
     closed(df, path)
     late = df.limit(1).withColumns({"txn_id": F.lit("LATE"), "ts_us": F.lit(BASE - 48 * H)})
-    late.coalesce(1).write.mode("append").parquet(path)
-    q = run(online_velocity(stream_of(spark, df, path)), "append", "velocity_late", str(tmp_path / "cp"))
+    counter = LateRows()
+    spark.streams.addListener(counter)
+    try:
+        for k in range(3):
+            late.withColumn("txn_id", F.lit(f"LATE{k}")).coalesce(1).write.mode("append").parquet(path)
+        q = run(online_velocity(stream_of(spark, df, path)), "append", "velocity_late", str(tmp_path / "cp"))
+        other = run(online_velocity(stream_of(spark, df, path).filter("txn_id NOT LIKE 'LATE%'")), "append", "velocity_in_time", str(tmp_path / "cp2"))
+        for _ in range(100):
+            if counter.of(q) == 3:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counter)
     ids = {r["txn_id"] for r in spark.table("velocity_late").collect()}
-    assert "LATE" not in ids and len(ids) == 120 and late_rows(q) >= 1
+    assert not any(i.startswith("LATE") for i in ids) and len(ids) == 120
+    # The counts are of one run each, however many progress entries a query still holds.
+    assert counter.of(q) == 3 and counter.of(other) == 0
 
 
 def test_payee_fan_in_windows(spark, payments, tmp_path):
@@ -127,7 +142,7 @@ def brute_quota(rows, window, limit):
 
 def test_quota_batch_and_stream(spark, tmp_path):
     rnd = random.Random(1)
-    rows = [(f"c{rnd.randrange(2)}", f"r{i:04d}", rnd.randrange(0, 400) * 1_000_000) for i in range(300)]
+    rows = [(f"c{rnd.randrange(2)}", f"r{i:04d}", BASE + rnd.randrange(0, 400) * 1_000_000) for i in range(300)]
     df = spark.createDataFrame(rows, "client string, request_id string, ts_us long")
     want = brute_quota(rows, 60_000_000, 10)
     assert any(not ok for ok, _ in want.values())
@@ -135,7 +150,7 @@ def test_quota_batch_and_stream(spark, tmp_path):
         got = batch_quota(df, 60_000_000, 10, max_rows).collect()
         assert {r["request_id"]: (r["accepted"], r["retry_after_s"]) for r in got} == want
     path = str(tmp_path / "in")
-    for lo in (0, 200_000_000):
+    for lo in (BASE, BASE + 200_000_000):
         df.filter((F.col("ts_us") >= lo) & (F.col("ts_us") < lo + 200_000_000)).coalesce(1).write.mode("append").parquet(path)
     run(stream_quota(stream_of(spark, df, path), 60_000_000, 10), "append", "quota", str(tmp_path / "cp"))
     got = spark.table("quota").collect()
@@ -151,17 +166,49 @@ def test_quota_budget_slides_and_clients_are_apart():
     assert decide(deque(), 1_000_000, 60_000_000, 30) == (True, None)
 
 
-def test_session_links_stream_matches_batch(spark, payments, tmp_path):
-    df, path = payments
-    state, out = str(tmp_path / "state"), str(tmp_path / "links")
-    q = link_sessions(stream_of(spark, df, path), state, out).option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    got = {(r["source_txn"], r["target_txn"]) for r in spark.read.parquet(out).collect()}
-    want = {(r["source_txn"], r["target_txn"]) for r in session_links(df).collect()}
-    assert got == want and want
+LINK = ("session_id", "source_txn", "target_txn", "similarity", "label", "summary")
+
+
+@pytest.mark.parametrize("n, parts", [(50, 3), (4, 3), (4, 12)])
+def test_session_links_stream_matches_batch(spark, payments, tmp_path, n, parts):
+    df, _ = payments
+    # Few long sessions, cut into files by time, so that links reach over the batches.
+    df = df.withColumn("session_id", F.when(F.col("txn_id") == "T0005", None).otherwise(F.substring("session_id", 1, 2))).orderBy("ts_us", "txn_id")
+    path, out = str(tmp_path / "by_time"), f"links_{n}_{parts}"
+    times = [r[0] for r in df.select("ts_us").orderBy("ts_us", "txn_id").collect()]
+    cuts = [times[i * len(times) // parts] for i in range(parts)] + [times[-1] + 1]
+    for lo, hi in zip(cuts, cuts[1:]):
+        df.filter((F.col("ts_us") >= lo) & (F.col("ts_us") < hi)).coalesce(1).write.mode("append").parquet(path)
+    run(link_sessions(stream_of(spark, df, path), ttl_us=500 * H, n=n), "append", out, str(tmp_path / "cp"))
+    got = sorted(map(tuple, spark.table(out).select(*LINK).collect()))
+    assert got == sorted(map(tuple, session_links(df, n=n).select(*LINK).collect())) and got
+
+
+def state_rows(q) -> list[int]:
+    return [sum(op.numRowsTotal for op in p.stateOperators) for p in q.recentProgress]
+
+
+def test_idle_sessions_leave_the_state(spark, payments, tmp_path):
+    """Every file brings new sessions, a day apart from the last ones: the state holds those of about one file."""
+    df, _ = payments
+    path = str(tmp_path / "idle")
+    base = df.limit(20)
+    for k in range(6):
+        base.withColumns({
+            "ts_us": F.lit(BASE) + F.lit(k * 48) * H + F.hash("txn_id") % 1000, "txn_id": F.concat("txn_id", F.lit(f"_{k}")),
+            "session_id": F.concat("txn_id", F.lit(f"_{k}")),
+        }).coalesce(1).write.mode("append").parquet(path)
+    q = run(link_sessions(stream_of(spark, df, path), ttl_us=H, late="1 hour"), "append", "links_idle", str(tmp_path / "cp"))
+    rows = state_rows(q)
+    assert len(rows) >= 6 and max(rows[3:]) <= max(rows[:3]) + 20 and max(rows) <= 100
+    asked = df.select(F.col("txn_id").alias("client"), F.col("txn_id").alias("request_id"), "ts_us").limit(20)
+    path = str(tmp_path / "asked")
+    for k in range(6):
+        asked.withColumns({"client": F.concat("client", F.lit(f"_{k}")), "ts_us": F.lit(BASE) + F.lit(k * 48) * H}).coalesce(1).write.mode("append").parquet(path)
+    q = run(stream_quota(stream_of(spark, asked, path)), "append", "quota_idle", str(tmp_path / "cp2"))
+    rows = state_rows(q)
+    assert len(rows) >= 6 and max(rows[3:]) <= max(rows[:3]) + 20 and max(rows) <= 100
+    assert spark.table("quota_idle").count() == 120
 
 
 def test_retrain_trigger_updates(spark, tmp_path):
