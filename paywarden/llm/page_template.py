@@ -59,6 +59,8 @@ IN_P = set("button map object ins del".split()) | INLINE
 # Elements whose text is the author's when they carry no class.
 PLAIN = set("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption address article main body html".split())
 
+# A tag whose quotes hold no angle bracket: a try ends at the next bracket and never goes back, so tries are linear together.
+_USUAL = re.compile(r"<(/?)([a-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>", re.I)
 _NAME = re.compile(r"(/?)([a-z][^\s/<>]*)", re.I)
 _RAW = re.compile("(?:" + "|".join(RAW) + r")\b", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -110,6 +112,14 @@ def page_tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
     """(start, end, name, closing, attributes) of the tags of a page, in order; what holds no text of its own has an empty name, comments None."""
     ends, at = None, page.find("<")
     while at >= 0:
+        if m := _USUAL.match(page, at):
+            name, end = m[2].lower(), m.end()
+            if not m[1] and (raw := _RAW.match(name)):
+                close = _RAW_END[raw[0]].search(page, end - 1)
+                name, end = "", close.end() if close else len(page)
+            yield at, end, name, bool(m[1]), m[3]
+            at = page.find("<", end)
+            continue
         ends = ends or _Ends(page)
         name, closing, attrs, end = None, False, "", -1
         if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
@@ -220,14 +230,14 @@ def page_events(page: str) -> Iterator[tuple[str, str, bool | None]]:
 def page_blocks(page: str) -> Iterator[tuple[str, str, bool | int | None]]:
     """page_events with the text of each block in one piece: white space becomes one blank, blank blocks go.
 
-    A block comes with the number of its characters that are not a link's.
+    A block comes with about the number of its characters that are not a link's.
     """
     parts: list[tuple[str, bool]] = []
 
     def text():
         if parts and (whole := _SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()):
-            own = whole if not any(linked for _, linked in parts) else _SPACE.sub(" ", html.unescape("".join(p for p, linked in parts if not linked))).strip()
-            yield "text", whole, len(own)
+            linked = sum(len(p) for p, of_link in parts if of_link)
+            yield "text", whole, len(whole) if not linked else max(0, len(whole) - linked)
         parts.clear()
 
     for event in page_events(page):
@@ -252,13 +262,23 @@ def token_counts(page: str) -> list[tuple[str, int, int, bool | None, int, list[
     """
     seen: dict[str, list] = {"#": [1, 0, None, 0, None]}
     place = 0
-    # Per open element: its key, the distinct keys from the page to it, and whether it lies in a menu and the like.
-    stack: list[tuple[str, dict, bool]] = [("", {"#": None}, False)]
+    # Per open element: its key, the distinct keys from the page to it once a text asks, and whether it lies in a menu and the like.
+    stack: list[list] = [["", {"#": None}, False]]
+
+    def around() -> dict:
+        k = len(stack) - 1
+        while stack[k][1] is None:
+            k -= 1
+        for j in range(k + 1, len(stack)):
+            key, above = stack[j][0], stack[j - 1][1]
+            stack[j][1] = above if key in above else above | {key: None}
+        return stack[-1][1]
+
     for what, key, kind in page_blocks(page):
         if what == "open":
             place += 1
-            _, around, barred = stack[-1]
-            stack.append((key, around if key in around else around | {key: None}, barred or kind is False))
+            barred = stack[-1][2]
+            stack.append([key, None, barred or kind is False])
             seen.setdefault(key, [0, place, None if barred and kind else kind, 0, None])[0] += 1
         elif what == "close":
             stack.pop()
@@ -266,7 +286,7 @@ def token_counts(page: str) -> list[tuple[str, int, int, bool | None, int, list[
             place += 1
             of_text = text_key(stack[-1][0], key)
             if of_text not in seen:
-                seen[of_text] = [0, place, None, kind, list(stack[-1][1])]
+                seen[of_text] = [0, place, None, kind, list(around())]
             seen[of_text][0] += 1
     return [(k, *v) for k, v in seen.items()]
 
