@@ -327,7 +327,9 @@ def _campaign_rows(t):
     UNION ALL SELECT 'devices', count(*), min(first_seen_us), max(first_seen_us) FROM devices
     UNION ALL SELECT 'mandates', count(*), min(created_us), max(created_us) FROM mandates
     UNION ALL SELECT 'merchants', count(*), min(onboarded_us), max(onboarded_us) FROM merchants
-    UNION ALL SELECT 'disputes', count(*), NULL, NULL FROM disputes)""",
+    UNION ALL SELECT 'disputes', count(*), NULL, NULL FROM disputes
+    UNION ALL SELECT 'graph_edges', count(*), cast(min(window_start_us) as bigint), cast(max(window_start_us) as bigint)
+      FROM (SELECT DISTINCT payer_id, payee_id, {start} AS window_start_us FROM payments))""".format(start=START_US),
 )
 def _metadata(t):
     return profile.dataset_metadata(
@@ -339,6 +341,7 @@ def _metadata(t):
             "mandates": (t.mandates, "created_us"),
             "merchants": (t.merchants, "onboarded_us"),
             "disputes": (t.disputes, None),
+            "graph_edges": (graph_edges(t.payments, START_US, END_US), "window_start_us"),
         },
         "v1",
     )
