@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paywarden.operators.scan import MAX_ROWS_PER_TASK, HotKeys, Metric, find_hot_keys, prefix_scan, prefix_scans, sliding
+from paywarden.operators.scan import MAX_ROWS_PER_TASK, HotKeys, KeyCensus, Metric, find_hot_keys, key_census, prefix_scan, prefix_scans, sliding
 from paywarden.session import cut_lineage
 
 MIN_US = 60_000_000
@@ -37,16 +37,22 @@ def _hits(df: DataFrame, name: str, entity: str, start: Column, peak: Column) ->
     )
 
 
+def _hot(census: KeyCensus | None, df: DataFrame, keys: Sequence[str], order: str, max_rows: int) -> HotKeys | None:
+    return find_hot_keys(df, keys, order, max_rows) if census is None else census.hot(keys)
+
+
 def _trailing(
-    df: DataFrame, keys: Sequence[str], width: int, max_rows: int, counted: DataFrame | None = None, **kw
+    census: KeyCensus | None, df: DataFrame, keys: Sequence[str], width: int, max_rows: int, counted: DataFrame | None = None, **kw
 ) -> DataFrame:
     """Trailing window including the row. ``counted`` is a cheap superset to look for hot keys in."""
-    hot = find_hot_keys(df if counted is None else counted, keys, "ts_us", max_rows)
+    hot = _hot(census, df if counted is None else counted, keys, "ts_us", max_rows)
     return sliding(df, keys, "ts_us", "txn_id", {"w": width}, include_current=True, hot=hot, **kw)
 
 
-def _scan(df: DataFrame, keys: Sequence[str], metrics: dict[str, Metric], max_rows: int, within: Sequence[str] = (), reverse: bool = False) -> DataFrame:
-    hot = find_hot_keys(df, keys, "ts_us", max_rows)
+def _scan(
+    census: KeyCensus | None, df: DataFrame, keys: Sequence[str], metrics: dict[str, Metric], max_rows: int, within: Sequence[str] = (), reverse: bool = False
+) -> DataFrame:
+    hot = _hot(census, df, keys, "ts_us", max_rows)
     return prefix_scan(df, keys, ORDER, metrics, hot, within, reverse)
 
 
@@ -65,8 +71,14 @@ def alerts(hits: DataFrame) -> DataFrame:
     )
 
 
+def payment_census(payments: DataFrame, max_rows: int = MAX_ROWS_PER_TASK) -> KeyCensus:
+    """The hot keys of all detectors, from one count; each of them takes it as ``census``."""
+    sets = [["payer_id"], ["payee_id"], ["payer_id", "payee_id"], ["merchant_id"], ["device_id"]]
+    return key_census(payments, sets, max_rows, {"party": ["payer_id", "payee_id"]})
+
+
 def scam_induced_push(
-    payments: DataFrame, max_added_s: int = 240, width: int = 3 * HOUR_US, follow_ups: int = 2, max_rows: int = MAX_ROWS_PER_TASK
+    payments: DataFrame, max_added_s: int = 240, width: int = 3 * HOUR_US, follow_ups: int = 2, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None
 ) -> DataFrame:
     """A first payment to a fresh payee, then rising repeats under remote guidance."""
     first = F.min(F.struct("ts_us", "txn_id", "cents", "beneficiary_added_ago_s")).alias("_f")
@@ -89,7 +101,7 @@ def scam_induced_push(
 
 
 def mule_network(
-    payments: DataFrame, payers: int = 3, fan_in: int = HOUR_US, forward: int = DAY_US, share: float = 0.8, max_rows: int = MAX_ROWS_PER_TASK
+    payments: DataFrame, payers: int = 3, fan_in: int = HOUR_US, forward: int = DAY_US, share: float = 0.8, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None
 ) -> DataFrame:
     """A payee with many payers in a short time that passes most of it on."""
     c = F.col
@@ -104,26 +116,25 @@ def mule_network(
         .select("txn_id", "ts_us", "amount", "_s.*")
         .withColumn("_back_us", -c("ts_us"))
     )
-    hot = find_hot_keys(timeline, ["party"], "ts_us", max_rows)
+    hot = _hot(census, timeline, ["party"], "ts_us", max_rows)
     out = sliding(
         timeline, ["party"], "ts_us", "txn_id", {"w": fan_in}, sums={"in": "in"}, distincts={"payers": "other"},
         count=None, include_current=True, hot=hot,
     )
     # Read backwards in time, the trailing window is the time after the payment.
-    back = find_hot_keys(timeline, ["party"], "_back_us", max_rows) if hot else None
-    out = sliding(out, ["party"], "_back_us", "txn_id", {"next": forward}, sums={"out": "out"}, count=None, hot=back)
+    out = sliding(out, ["party"], "_back_us", "txn_id", {"next": forward}, sums={"out": "out"}, count=None, hot=hot)
     found = out.filter(c("other").isNotNull() & (c("payers_w") >= payers) & (c("out_next") >= c("in_w") * share))
     return _hits(found, "mule_network", "party", c("ts_us") - fan_in, c("payers_w"))
 
 
 def card_testing_probe(
-    payments: DataFrame, below: float = 15.0, width: int = 25 * MIN_US, n: int = 4, declined: int = 1, max_rows: int = MAX_ROWS_PER_TASK
+    payments: DataFrame, below: float = 15.0, width: int = 25 * MIN_US, n: int = 4, declined: int = 1, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None
 ) -> DataFrame:
     """Bursts of tiny card-not-present payments, some declined."""
     rows = payments.filter((F.col("rail") == "card_cnp") & (F.col("amount") < below)).select(
         "txn_id", "payer_id", "ts_us", "amount", _flag(F.col("decision") == "declined").alias("declined")
     )
-    out = _trailing(rows, ["payer_id"], width, max_rows, sums={"declined": "declined"})
+    out = _trailing(census, rows, ["payer_id"], width, max_rows, sums={"declined": "declined"})
     found = out.filter((F.col("count_w") >= n) & (F.col("declined_w") >= declined))
     return _hits(found, "card_testing_probe", "payer_id", F.col("ts_us") - width, F.col("count_w"))
 
@@ -135,11 +146,11 @@ def adversarial_evasion(
     width: int = 7 * DAY_US,
     n: int = 3,
     total: float = 20_000.0,
-    max_rows: int = MAX_ROWS_PER_TASK,
+    max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None,
 ) -> DataFrame:
     """Low and slow: spaced payments to known payees, each small, together large."""
     rows = payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "cents")
-    hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
+    hot = _hot(census, rows, ["payer_id"], "ts_us", max_rows)
     rows = prefix_scans(
         rows, ["payer_id"], ORDER,
         [(("payee_id",), {"_known": Metric("sum", F.lit(1).cast("long"))}), ((), {"_prev": Metric("lag", F.col("ts_us"))})],
@@ -155,11 +166,11 @@ def adversarial_evasion(
 
 
 def first_party_dispute(
-    payments: DataFrame, disputes: DataFrame, repeats: int = 1, prior: int = 1, max_rows: int = MAX_ROWS_PER_TASK
+    payments: DataFrame, disputes: DataFrame, repeats: int = 1, prior: int = 1, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None
 ) -> DataFrame:
     """Disputed card payments of repeat customers who have disputed before."""
     rows = payments.filter(F.col("rail") == "card_cnp").select("txn_id", "payer_id", "merchant_id", "ts_us", "amount")
-    hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
+    hot = _hot(census, rows, ["payer_id"], "ts_us", max_rows)
     rows = rows.join(disputes.select("txn_id", "dispute_id"), "txn_id", "left")
     rows = prefix_scan(rows, ["payer_id"], ORDER, {"_repeat": Metric("sum", F.lit(1).cast("long"))}, hot, ["merchant_id"])
     disputed = F.col("dispute_id").isNotNull()
@@ -170,10 +181,10 @@ def first_party_dispute(
     return _hits(found, "first_party_dispute", "payer_id", F.col("_start"), F.col("_prior"))
 
 
-def stealth_mandate(payments: DataFrame, rises: int = 2, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def stealth_mandate(payments: DataFrame, rises: int = 2, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None) -> DataFrame:
     """Mandate charges of one payer-payee pair that keep rising."""
     rows = payments.filter(F.col("rail") == "upi_mandate").select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "cents")
-    hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
+    hot = _hot(census, rows, ["payer_id"], "ts_us", max_rows)
     rows = prefix_scan(
         rows, ["payer_id"], ORDER,
         {"_prev": Metric("last", F.col("cents")), "_pos": Metric("sum", F.lit(1).cast("long"), True)},
@@ -211,7 +222,7 @@ def synthetic_merchant(
     width: int = DAY_US,
     new_payers: int = 5,
     curves: Sequence[str] = ("step", "spike"),
-    max_rows: int = MAX_ROWS_PER_TASK,
+    max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None,
 ) -> DataFrame:
     """A young, unverified merchant with a burst of first-time payers."""
     shady = merchants.filter(
@@ -219,7 +230,7 @@ def synthetic_merchant(
     ).select("merchant_id", "onboarded_us")
     rows = payments.select("txn_id", "merchant_id", "payer_id", "ts_us", "amount").join(shady, "merchant_id")
     rows = rows.filter((F.col("ts_us") >= F.col("onboarded_us")) & (F.col("ts_us") <= F.col("onboarded_us") + age))
-    hot = find_hot_keys(payments.filter(F.col("merchant_id").isNotNull()), ["merchant_id"], "ts_us", max_rows)
+    hot = _hot(census, payments.filter(F.col("merchant_id").isNotNull()), ["merchant_id"], "ts_us", max_rows)
     rows = prefix_scan(rows, ["merchant_id"], ORDER, {"_n": Metric("sum", F.lit(1).cast("long"))}, hot, ["payer_id"])
     rows = rows.withColumn("fresh", _flag(F.col("_n") == 0)).drop("_n")
     out = sliding(rows, ["merchant_id"], "ts_us", "txn_id", {"w": width}, sums={"fresh": "fresh"}, count=None, include_current=True, hot=hot)
@@ -227,7 +238,7 @@ def synthetic_merchant(
     return _hits(found, "synthetic_merchant", "merchant_id", F.col("ts_us") - width, F.col("fresh_w"))
 
 
-def transaction_laundering(payments: DataFrame, merchants: DataFrame) -> DataFrame:
+def transaction_laundering(payments: DataFrame, merchants: DataFrame, census: KeyCensus | None = None) -> DataFrame:
     """Declared and inferred trade differ, or the money goes to someone else."""
     trade = merchants.select("merchant_id", "mcc_declared", "mcc_inferred_from_basket")
     rows = payments.filter(F.col("merchant_id").isNotNull()).join(trade, "merchant_id", "left")
@@ -237,10 +248,10 @@ def transaction_laundering(payments: DataFrame, merchants: DataFrame) -> DataFra
     return _hits(found, "transaction_laundering", "merchant_id", F.col("ts_us"), _flag(other_trade) + 2 * _flag(other_payee))
 
 
-def credential_takeover(payments: DataFrame, width: int = 6 * HOUR_US, repeats: int = 1, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def credential_takeover(payments: DataFrame, width: int = 6 * HOUR_US, repeats: int = 1, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None) -> DataFrame:
     """A changed device far from home pays a new payee, then again."""
     rows = payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "device_id", "geo_matches_payer_home")
-    hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
+    hot = _hot(census, rows, ["payer_id"], "ts_us", max_rows)
     rows = prefix_scans(
         rows, ["payer_id"], ORDER,
         [((), {"_device": Metric("last", F.col("device_id"))}), (("payee_id",), {"_n": Metric("sum", F.lit(1).cast("long"))})],
@@ -254,11 +265,11 @@ def credential_takeover(payments: DataFrame, width: int = 6 * HOUR_US, repeats:
 
 
 def synthetic_identity_bustout(
-    payments: DataFrame, quiet: int = 3, factor: float = 5.0, within: int = 30 * DAY_US, max_rows: int = MAX_ROWS_PER_TASK
+    payments: DataFrame, quiet: int = 3, factor: float = 5.0, within: int = 30 * DAY_US, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None
 ) -> DataFrame:
     """After a few small payments the average jumps."""
     rows = payments.select("txn_id", "payer_id", "ts_us", "amount", "cents")
-    hot = find_hot_keys(rows, ["payer_id"], "ts_us", max_rows)
+    hot = _hot(census, rows, ["payer_id"], "ts_us", max_rows)
     rows = prefix_scan(
         rows, ["payer_id"], ORDER,
         {"_n": Metric("sum", F.lit(1).cast("long"), True), "_start": Metric("min", F.col("ts_us"), True),
@@ -275,40 +286,40 @@ def synthetic_identity_bustout(
 
 
 def subthreshold_fragmentation(
-    payments: DataFrame, below: float = 100.0, width: int = 3 * HOUR_US, n: int = 4, max_rows: int = MAX_ROWS_PER_TASK
+    payments: DataFrame, below: float = 100.0, width: int = 3 * HOUR_US, n: int = 4, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None
 ) -> DataFrame:
     """Many small payments to one payee in a few hours."""
     rows = payments.filter(F.col("amount") < below).select("txn_id", "payer_id", "payee_id", "ts_us", "amount")
-    out = _trailing(rows, ["payer_id", "payee_id"], width, max_rows)
+    out = _trailing(census, rows, ["payer_id", "payee_id"], width, max_rows)
     return _hits(out.filter(F.col("count_w") >= n), "subthreshold_fragmentation", "payer_id", F.col("ts_us") - width, F.col("count_w"))
 
 
-def agentic_injection(payments: DataFrame, width: int = HOUR_US, n: int = 2, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def agentic_injection(payments: DataFrame, width: int = HOUR_US, n: int = 2, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None) -> DataFrame:
     """Agent payments in a burst to a payee the payer has only just met."""
     rows = payments.select("txn_id", "payer_id", "payee_id", "ts_us", "amount", "is_agent_initiated")
-    rows = _scan(rows, ["payer_id"], {"_met": Metric("min", F.col("ts_us"), True)}, max_rows, ["payee_id"])
+    rows = _scan(census, rows, ["payer_id"], {"_met": Metric("min", F.col("ts_us"), True)}, max_rows, ["payee_id"])
     agent = rows.filter(F.col("is_agent_initiated") & (F.col("ts_us") <= F.col("_met") + width))
-    out = _trailing(agent, ["payer_id", "payee_id"], width, max_rows, payments.filter("is_agent_initiated"))
+    out = _trailing(census, agent, ["payer_id", "payee_id"], width, max_rows, payments.filter("is_agent_initiated"))
     return _hits(out.filter(F.col("count_w") >= n), "agentic_injection", "payer_id", F.col("_met"), F.col("count_w"))
 
 
-def insider_abuse(payments: DataFrame, width: int = 5 * DAY_US, n: int = 2, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def insider_abuse(payments: DataFrame, width: int = 5 * DAY_US, n: int = 2, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None) -> DataFrame:
     """Repeated payments pushed through without customer authentication."""
     rows = payments.filter(
         (F.col("auth_method") == "none") & ((F.col("rail") == "neft") | (F.col("channel") == "web"))
     ).select("txn_id", "payer_id", "ts_us", "amount")
-    out = _trailing(rows, ["payer_id"], width, max_rows)
+    out = _trailing(census, rows, ["payer_id"], width, max_rows)
     return _hits(out.filter(F.col("count_w") >= n), "insider_abuse", "payer_id", F.col("ts_us") - width, F.col("count_w"))
 
 
-def device_fan_out(payments: DataFrame, width: int = 2 * HOUR_US, payers: int = 4, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def device_fan_out(payments: DataFrame, width: int = 2 * HOUR_US, payers: int = 4, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None) -> DataFrame:
     """One device pays for many payers in a short time."""
     rows = payments.select("txn_id", "device_id", "payer_id", "ts_us", "amount")
-    out = _trailing(rows, ["device_id"], width, max_rows, distincts={"payers": "payer_id"}, count=None)
+    out = _trailing(census, rows, ["device_id"], width, max_rows, distincts={"payers": "payer_id"}, count=None)
     return _hits(out.filter(F.col("payers_w") >= payers), "device_fan_out", "device_id", F.col("ts_us") - width, F.col("payers_w"))
 
 
-def balance_drain_exit(payments: DataFrame, width: int = 5 * MIN_US, band: tuple[float, float] = (0.85, 0.95)) -> DataFrame:
+def balance_drain_exit(payments: DataFrame, width: int = 5 * MIN_US, band: tuple[float, float] = (0.85, 0.95), census: KeyCensus | None = None) -> DataFrame:
     """Most of an incoming payment leaves within ``width`` to a third party not paid before.
 
     Every incoming payment of the window counts, the latest one inside the band
@@ -341,13 +352,13 @@ def balance_drain_exit(payments: DataFrame, width: int = 5 * MIN_US, band: tuple
     return _hits(found, "balance_drain_exit", "party", c("_in._in_ts"), F.floor(part * 100 + 1e-9))
 
 
-def tpap_account_switch(payments: DataFrame, width: int = 40 * MIN_US, n: int = 3, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
+def tpap_account_switch(payments: DataFrame, width: int = 40 * MIN_US, n: int = 3, max_rows: int = MAX_ROWS_PER_TASK, census: KeyCensus | None = None) -> DataFrame:
     """A payer hops across apps and linked accounts."""
     handle = F.when(
         (F.col("tpap_app") != "") & (F.col("linked_account_id") != ""), F.concat_ws("/", "tpap_app", "linked_account_id")
     )
     rows = payments.select("txn_id", "payer_id", "ts_us", "amount", handle.alias("handle"))
-    out = _trailing(rows, ["payer_id"], width, max_rows, distincts={"handles": "handle"}, count=None)
+    out = _trailing(census, rows, ["payer_id"], width, max_rows, distincts={"handles": "handle"}, count=None)
     return _hits(out.filter(F.col("handles_w") >= n), "tpap_account_switch", "payer_id", F.col("ts_us") - width, F.col("handles_w"))
 
 

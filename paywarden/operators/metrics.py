@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywarden.operators.quantiles import exact_quantiles
+from paywarden.operators.quantiles import bracketed_quantiles
 from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan
 
 # Sweep thresholds 0.10 .. 0.90, evasion targets per generation.
@@ -302,11 +302,6 @@ def checkpoint_battery(scored: DataFrame, target_fpr: float = 0.01, score: str =
     )
 
 
-def _long(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    doubled = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in features])
-    return doubled.unpivot(list(ids), list(features), "feature", "value")
-
-
 def missingness_guard(df: DataFrame, features: Sequence[str], label: str = "y", limit: float = 0.90) -> DataFrame:
     """Features whose absence alone tells fraud from legitimate rows."""
     fraud = F.col(label) == 1
@@ -329,7 +324,7 @@ def disjoint_range_guard(
     df: DataFrame, features: Sequence[str], label: str = "y", min_rows: int = 10, max_rows: int = MAX_ROWS_PER_TASK
 ) -> DataFrame:
     """Features whose 5-95 % ranges in the two classes do not meet."""
-    q = exact_quantiles(_long(df, [label], features), ["feature", label], "value", {"lo": 0.05, "hi": 0.95}, "linear", max_rows)
+    q = bracketed_quantiles(df, [label], features, {"lo": 0.05, "hi": 0.95}, max_rows=max_rows)
     c = F.col
     per = q.groupBy("feature").agg(
         *[F.max(F.when(c(label) == cls, c(x))).alias(f"{name}_{x}") for cls, name in ((1, "fraud"), (0, "legit")) for x in ("lo", "hi", "n_values")]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan
+from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, _join_on_keys, find_hot_keys, prefix_scan
+from paywarden.session import cut_lineage
+
+MAX_BROADCAST_KEYS = 1_000
 
 
 def value_counts(
@@ -67,3 +70,73 @@ def percent_rank_average(
         *keys, value, ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(out)
     )
     return df.join(ranked, [*keys, value], "left")
+
+
+def bracketed_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    probs: Mapping[str, float],
+    accuracy: int = 2_000,
+    max_rows: int = MAX_ROWS_PER_TASK,
+) -> DataFrame:
+    """Exact interpolated quantiles of many columns per key: ``(*keys, feature, n_values, *probs)``.
+
+    A mergeable sketch brackets every quantile in one pass, with a rank error of at most
+    one part in ``accuracy``. The rows below a bracket are then counted, and only values
+    inside it, about ``4 / accuracy`` of the rows, become rows of their own. A column with
+    at most ``10 * accuracy`` values in a key is bracketed by everything. Columns without
+    any value in a key give no row.
+    """
+    keys, c = list(keys), F.col
+    rows = df.select(*keys, *[c(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    margin = 2.0 / accuracy
+    edges = [e for p in probs.values() for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    brackets = cut_lineage(rows.groupBy(*keys).agg(
+        *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(values))],
+        *[F.percentile_approx(f"_v{i}", edges, accuracy).alias(f"_e{i}") for i in range(len(values))],
+    ))
+    few = brackets.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    beside = F.broadcast(brackets) if few else brackets
+    met = _join_on_keys(rows, beside, keys, "inner") if keys else rows.crossJoin(beside)
+
+    def low(i: int, j: int):
+        return F.when(c(f"_n{i}") > 10 * accuracy, c(f"_e{i}")[2 * j]).otherwise(float("-inf"))
+
+    def high(i: int, j: int):  # NaN is the largest double
+        return F.when(c(f"_n{i}") > 10 * accuracy, c(f"_e{i}")[2 * j + 1]).otherwise(float("nan"))
+
+    cells = [(i, j) for i in range(len(values)) for j in range(len(probs))]
+    below = met.groupBy(*keys).agg(
+        *[F.count_if(c(f"_v{i}") < low(i, j)).alias(f"_u{i}_{j}") for i, j in cells],
+        *[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(values))],
+    )
+    starts = below.select(
+        *keys,
+        F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_f"), F.lit(j).alias("_p"), c(f"_u{i}_{j}").alias("_under"), c(f"_n{i}").alias("n_values"))
+            for i, j in cells
+        ])).alias("_s"),
+    ).select(*keys, "_s.*")
+    found = F.array(*[
+        F.when(c(f"_v{i}").between(low(i, j), high(i, j)), F.struct(F.lit(i).alias("_f"), F.lit(j).alias("_p"), c(f"_v{i}").alias("_v")))
+        for i, j in cells
+    ])
+    inside = met.select(*keys, F.explode(F.array_compact(found)).alias("_s")).select(*keys, "_s.*")
+    cell = [*keys, "_f", "_p"]
+    counts = cut_lineage(inside.groupBy(*cell, "_v").agg(F.count("*").alias("_n")))
+    ranked = prefix_scan(counts, cell, ["_v"], {"_below": Metric("sum", c("_n"))}, find_hot_keys(counts, cell, "_v", max_rows))
+    h = (c("n_values") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), c("_p") + 1)
+    first = c("_below") + c("_under")
+
+    def at(position):
+        return F.max(F.when((first <= position) & (position < first + c("_n")), c("_v")))
+
+    lo, hi = at(F.floor(h)), at(F.ceil(h))
+    exact = _join_on_keys(ranked, starts, cell, "inner").groupBy(*cell).agg(
+        F.max("n_values").alias("n_values"), (lo + F.max(h - F.floor(h)) * (hi - lo)).alias("_q")
+    )
+    name = F.element_at(F.array(*[F.lit(v) for v in values]), c("_f") + 1).alias("feature")
+    return exact.groupBy(*keys, name).agg(
+        F.max("n_values").alias("n_values"), *[F.max(F.when(c("_p") == j, c("_q"))).alias(p) for j, p in enumerate(probs)]
+    )

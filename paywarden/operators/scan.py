@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +87,66 @@ def find_hot_keys(
     return HotKeys(keys, table, small, max(2, math.ceil(total / max_rows)))
 
 
+@dataclass(frozen=True)
+class KeyCensus:
+    """Hot keys of several key sets of one table, found by a single count; for detectors that share the table.
+
+    Parts of the table have no hot keys but these. A key that is hot in the table and
+    small in a part takes the lane of the hot keys there, which costs time and nothing else.
+    """
+
+    found: Mapping[tuple[str, ...], HotKeys | None]
+
+    def hot(self, keys: Sequence[str]) -> HotKeys | None:
+        return self.found[tuple(keys)]
+
+
+def key_census(
+    df: DataFrame,
+    key_sets: Sequence[Sequence[str]],
+    max_rows: int = MAX_ROWS_PER_TASK,
+    either: Mapping[str, Sequence[str]] | None = None,
+) -> KeyCensus:
+    """Count the rows of every key set in one aggregation over grouping sets.
+
+    ``either`` names a key that stands in several columns, such as a party that pays and
+    is paid: it is hot when one of its columns holds more than ``max_rows / len(columns)``
+    rows of it. Those columns must be key sets of their own.
+    """
+    either = dict(either or {})
+    sets = [tuple(keys) for keys in key_sets]
+    columns = list(dict.fromkeys(k for keys in sets for k in keys))
+    share = max((len(cs) for cs in either.values()), default=1)
+    c = F.col
+    # A bit of the grouping id is set for each column that is not of the set.
+    ids = {keys: sum(1 << (len(columns) - 1 - i) for i, k in enumerate(columns) if k not in keys) for keys in sets}
+    counts = (
+        df.select(*columns).groupingSets([[c(k) for k in keys] for keys in sets], *[c(k) for k in columns])
+        .agg(F.count("*").alias("_rows"), F.grouping_id().alias("_set"))
+        .filter(c("_rows") > max_rows // share)
+    )
+    found = counts.limit(MAX_HOT_KEYS_ON_DRIVER + 1).collect()
+    names = [*sets, *[(name,) for name in either]]
+    if not found:
+        return KeyCensus(dict.fromkeys(names))
+    small = len(found) <= MAX_HOT_KEYS_ON_DRIVER
+    counts = df.sparkSession.createDataFrame(found, counts.schema) if small else cut_lineage(counts)
+
+    def table(keys: tuple[str, ...], rows: DataFrame) -> HotKeys | None:
+        total = rows.agg(F.sum("_rows")).first()[0]
+        if total is None:
+            return None
+        return HotKeys(keys, rows.select(*keys).distinct(), small, max(2, math.ceil(total / max_rows)))
+
+    out = {keys: table(keys, counts.filter((c("_set") == ids[keys]) & (c("_rows") > max_rows))) for keys in sets}
+    for name, cs in either.items():
+        parts = [
+            counts.filter((c("_set") == ids[(k,)]) & (c("_rows") > max_rows // len(cs))).select(c(k).alias(name), "_rows") for k in cs
+        ]
+        out[(name,)] = table((name,), reduce(DataFrame.unionByName, parts))
+    return KeyCensus(out)
+
+
 @dataclass(frozen=True)
 class Metric:
     """One scanned value. ``op``: sum, max, min, bit_or, last, lag, lead, moments."""

@@ -5,10 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paywarden.catalog import detectors as cards
+from paywarden.operators import detectors, scan
 from paywarden.operators import features as feat
 from paywarden.operators.graph import graph_edges
-from paywarden.operators.quantiles import exact_quantiles, percent_rank_average
+from paywarden.operators.quantiles import bracketed_quantiles, exact_quantiles, percent_rank_average
 from paywarden.operators.scan import Metric, find_hot_keys, prefix_scan, sliding
+from paywarden.sources.adapter import DriverTables
 
 H = 3_600_000_000
 SCHEMA = "txn_id string, payer_id string, payee_id string, ts_us long, cents long, app string"
@@ -164,6 +167,26 @@ def test_quantiles_match_sorted_lists(spark, max_rows):
                 assert r[name] == pytest.approx(want)
 
 
+def test_bracketed_quantiles_are_exact(spark):
+    rng = random.Random(1)
+    rows = [
+        (k, rng.gauss(0, 1), None if i % 3 else float(rng.randrange(4)), 5.0 if i % 2 else rng.random(), None)
+        for k, n in (("a", 6000), ("b", 700), (None, 11)) for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "k string, x double, ties double, half double, none double")
+    probs = {"lo": 0.05, "mid": 0.5, "hi": 0.95, "min": 0.0, "max": 1.0}
+    names = ["x", "ties", "half", "none"]
+    out = bracketed_quantiles(df.repartition(7), ["k"], names, probs, accuracy=100, max_rows=40).collect()
+    assert len(out) == 9
+    for r in out:
+        vals = sorted(v for row in rows if row[0] == r["k"] and (v := row[1 + names.index(r["feature"])]) is not None)
+        assert r["n_values"] == len(vals)
+        for name, p in probs.items():
+            h = (len(vals) - 1) * p
+            lo, hi = vals[int(h)], vals[min(int(h) + 1, len(vals) - 1)]
+            assert r[name] == pytest.approx(lo + (h - int(h)) * (hi - lo))
+
+
 def test_percent_rank_average_ties(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 5.0)], "k string, v double")
     got = sorted((r["k"], r["v"] or -1, r["p"]) for r in percent_rank_average(df, ["k"], "v", "p").collect())
@@ -235,3 +258,39 @@ def test_moments_of_large_values_do_not_cancel(spark):
     plain = {r["id"]: r["m_var"] for r in prefix_scan(df, ["k"], ["id"], metrics).collect()}
     cut = {r["id"]: r["m_var"] for r in prefix_scan(df, ["k"], ["id"], metrics, find_hot_keys(df, ["k"], "id", 40)).collect()}
     assert all(cut[i] == pytest.approx(plain[i], rel=1e-6, abs=1e-6) for i in plain)
+
+
+def test_census_finds_the_keys_of_every_set_in_one_count(spark):
+    rows = [("a", "x")] * 9 + [("b", "a")] * 3 + [("b", "y")] * 3 + [(None, "y")] * 6
+    df = spark.createDataFrame(rows, "payer string, payee string")
+    census = scan.key_census(df, [["payer"], ["payee"], ["payer", "payee"]], 5, {"party": ["payer", "payee"]})
+    got = {k: {tuple(r) for r in h.table.collect()} if h else None for k, h in census.found.items()}
+    assert got[("payer", "payee")] == {(None, "y"), ("a", "x")}
+    assert got[("payer",)] == {("a",), ("b",), (None,)} and got[("payee",)] == {("x",), ("y",)}
+    assert got[("party",)] == {("a",), ("b",), (None,), ("x",), ("y",)}
+    assert all(h is None for h in scan.key_census(df, [["payer"], ["payee"]], 9).found.values())
+
+
+def test_scorecard_counts_hot_keys_once(spark, monkeypatch):
+    t = DriverTables(spark, "/root/testdata/sf0.001")
+
+    def never(*args, **kw):
+        raise AssertionError("a detector counted its keys itself")
+
+    some = ["mule_network", "adversarial_evasion", "agentic_injection", "device_fan_out"]
+    runs = [cards.DETECTORS[name][1] for name in some]
+    plain = [sorted(map(tuple, run(t).collect())) for run in runs]
+    monkeypatch.setattr(detectors, "find_hot_keys", never)
+    sc = spark.sparkContext
+    cards._card(t)  # reads the tables' schemas, once
+    sc.setJobGroup("census", "one count")
+    cards._card(t)
+    counted = len(sc.statusTracker().getJobIdsForGroup("census"))
+    sc.setJobGroup("alone", "the count alone")
+    detectors.payment_census(t.payments)
+    alone = len(sc.statusTracker().getJobIdsForGroup("alone"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert counted == alone
+    census = detectors.payment_census(t.payments, 8)
+    assert all(census.found.values())
+    assert plain == [sorted(map(tuple, run(t, census=census).collect())) for run in runs]
