@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paywarden.operators import metrics
+from paywarden.operators.quantiles import value_counts
 from paywarden.operators.sampling import ensure_evaluation_splits
-from paywarden.operators.scan import Metric, find_hot_keys, prefix_scan
+from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan
 from paywarden.schema import (
+    ALL_FEATURES,
     BEHAVIORAL_FEATURES,
     BOOLEAN_FEATURES,
     CATEGORICAL_FEATURES,
@@ -270,35 +272,67 @@ def uniform(id_column: str, name: str, lo: float = 0.0, hi: float = 1.0, seed: i
     return lo + (hi - lo) * u
 
 
-def mask_features(
-    fraud: DataFrame, legit: DataFrame, features: Sequence[str], id_column: str = "txn_id", seed: int = 42
+def draw_from(
+    rows: DataFrame,
+    pool: DataFrame,
+    features: Sequence[str],
+    id_column: str = "txn_id",
+    seed: int = 42,
+    unit: Callable[[str], Column] | None = None,
+    max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
-    """Replace features of fraud rows by values drawn from the legitimate column.
+    """Add ``_drawn_<feature>``, a value of the pool's column at a random place of its order.
 
-    Legitimate rows are numbered in hash order, each fraud row picks a number, and
-    a join brings the value: every legitimate value can be drawn.
+    The distinct values of a column are counted once and put in order; a row picks a
+    place in [0, n) and reads the value that covers it from a scan over values and
+    picks, so neither the pool is ordered nor are pairs formed. ``unit`` gives the draw
+    in [0, 1) for a feature. A feature without values in the pool draws null.
     """
-    out = fraud
+    c = F.col
+    unit = unit or (lambda f: uniform(id_column, f"pick {f}", seed=seed))
+    sizes = pool.agg(*[F.count(f).alias(f) for f in features]).first() if features else None
     for f in features:
-        pool = legit.filter(F.col(f).isNotNull()).select(
-            F.col(f).alias("_value"), F.xxhash64(F.lit(seed), F.lit(f), id_column).alias("_h"), F.col(id_column).alias("_id")
-        )
-        hot = find_hot_keys(pool, [], "_h")
-        pool = prefix_scan(pool, [], ["_h", "_id"], {"_i": Metric("sum", F.lit(1).cast("long"))}, hot)
-        n = pool.agg(F.max("_i")).first()[0]
-        if n is None:
+        n, kind = sizes[f], pool.schema[f].dataType
+        if not n:
+            rows = rows.withColumn(f"_drawn_{f}", F.lit(None).cast(kind))
             continue
-        pick = F.floor(uniform(id_column, f"pick {f}", seed=seed) * (n + 1)).cast("long")
-        out = out.withColumn("_i", pick).join(pool.select("_i", "_value"), "_i", "left")
-        out = out.withColumn(f, F.coalesce("_value", f)).drop("_i", "_value")
-    return out
+        values = value_counts(pool, [], f, max_rows).select(
+            c("_below").alias("_at"), F.lit(0).alias("_kind"), F.lit("").alias("_id"), c(f).alias("_value")
+        )
+        picks = rows.select(
+            F.floor(unit(f) * F.lit(n)).cast("long").alias("_at"), F.lit(1).alias("_kind"), c(id_column).cast("string").alias("_id"),
+            F.lit(None).cast(kind).alias("_value"), F.struct(*[c(x) for x in rows.columns]).alias("_row"),
+        )
+        events = picks.unionByName(values, allowMissingColumns=True)
+        # Both parts are counted, as either may be too large for one task.
+        hot = find_hot_keys(events, [], "_at", max_rows)
+        found = prefix_scan(events, [], ["_at", "_kind", "_id"], {"_last": Metric("last", c("_value"))}, hot)
+        rows = found.filter("_kind = 1").select("_row.*", c("_last").alias(f"_drawn_{f}"))
+    return rows
+
+
+def with_drawn(drawn: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Put the drawn values of these features in place and drop all draws; null draws change nothing."""
+    out = drawn.withColumns({f: F.coalesce(f"_drawn_{f}", f) for f in features})
+    return out.drop(*[x for x in drawn.columns if x.startswith("_drawn_")])
+
+
+def mask_features(
+    fraud: DataFrame, legit: DataFrame, features: Sequence[str], id_column: str = "txn_id", seed: int = 42
+) -> DataFrame:
+    """Replace features of fraud rows by values drawn from the legitimate column."""
+    return with_drawn(draw_from(fraud, legit, features, id_column, seed), features)
 
 
 # How many of the top features each stress level hides.
 MASK_LEVELS = {"level_1_easy": 1, "level_2_medium": 2, "level_3_hard": 3, "level_4_extreme": 5}
 
 # Column overrides of the stress matrix. A number sets the column, a
-# pair draws between the two ends, and ("scale", lo, hi) multiplies the column.
+# pair draws between the two ends, ("scale", lo, hi) multiplies the column, ("one of", ...)
+# draws a member, ("days", lo, hi) draws
+# whole days in seconds, ("times", column, k) takes a multiple of another column, and PARAMETER is
+# the value given with the name, at most the number beside it.
+PARAMETER = "parameter"
 OVERRIDES = {
     "use_single_top_counterparty": {"edge_count": 2, "payer_out_degree": 2, "is_two_hop_passthrough": 0},
     "increase_velocity": {"txn_count_last_1h": 5, "txn_count_last_24h": 12},
@@ -312,29 +346,81 @@ OVERRIDES = {
     "concentrate_in_largest_transaction": {"amount": ("scale", 3.0, 3.0)},
     "slow_transaction_rate": {"txn_count_last_1h": 1, "txn_count_last_24h": 2},
     "high_friction_indicators": {"time_on_confirm_screen_s": (30, 120), "pin_attempts": (2, 4)},
+    # Those of attacks that mix families.
+    "rapid_txn_sequence": {"txn_count_last_1h": 4, "txn_count_last_24h": 8},
+    "small_amounts": {"amount": (0.99, 9.99), "amount_spent_last_1h": ("times", "amount", 3.0)},
+    "use_old_created_account": {"new_account_age_s": 5_184_000},
+    "feature_spoofing_enabled": {"address_change_recent": 0},
+    "gradual_velocity_increase": {"txn_count_last_7d": (15, 25), "txn_count_last_24h": (5, 10)},
+    "final_large_txn": {"amount": ("scale", 5.0, 5.0)},
+    "ip_change_subtle": {"new_ip_indicator": 1, "ip_is_proxy": 0},
+    "establish_mule_chain": {"payer_out_degree": (4, 8), "edge_count": (3, 7)},
+    "timing_mimics_user": {"time_since_prev_txn": (120, 1200), "tx_hour": ("one of", 9, 10, 14, 15, 20, 21)},
+    "use_multiple_mules": {"unique_beneficiaries_last_7d": (6, 12)},
+    "initial_probe_phase": {"txn_count_last_1h": 5},
+    "transition_to_large": {"amount": (100.0, 500.0)},
+    "spoof_multiple_features": {"beneficiary_added_ago_s": ("days", 30, 365)},
+    "add_friction_indicators": {"pin_attempts": (2, 4), "time_on_confirm_screen_s": (30, 120)},
+    "obscure_final_destination": {"unique_beneficiaries_last_7d": (8, 15)},
+    "amount_range": {"amount": (PARAMETER,)},
+    "probe_count": {"txn_count_last_24h": (PARAMETER,)},
+    "final_amount_multiplier": {"amount": (PARAMETER, "scale")},
+    "num_mule_hops": {"edge_count": (PARAMETER, 10)},
 }
 
 
-def apply_overrides(rows: DataFrame, names: Sequence[str], id_column: str = "txn_id", seed: int = 42) -> DataFrame:
-    """Apply the named overrides in order; a column that the rows lack is an error."""
-    for name in names:
-        changes = {}
+def apply_overrides(
+    rows: DataFrame, names: Sequence[str | tuple[str, object]], id_column: str = "txn_id", seed: int = 42
+) -> DataFrame:
+    """Apply the named overrides in order; a feature that the rows lack is an error.
+
+    Columns that are no features of the models, such as ``txn_count_last_7d``, are added. A name that needs a value comes as ``(name, value)``; ``amount_range`` takes a pair.
+    Later columns of an override read the earlier ones as already changed.
+    """
+    for entry in names:
+        name, value = entry if isinstance(entry, tuple) else (entry, None)
         for column, spec in OVERRIDES[name].items():
-            if column not in rows.columns:
+            if column not in rows.columns and column in ALL_FEATURES:
                 raise ValueError(f"override {name} needs the column {column}")
+            if isinstance(spec, tuple) and spec[0] == PARAMETER:
+                if value is None:
+                    raise ValueError(f"override {name} needs a value")
+                if spec[1:] == ("scale",):
+                    spec = ("scale", float(value), float(value))
+                elif isinstance(value, (tuple, list)):
+                    spec = (float(value[0]), float(value[1]))
+                else:
+                    spec = min(value, *spec[1:]) if spec[1:] else value
             if not isinstance(spec, tuple):
-                changes[column] = F.lit(float(spec))
+                change = F.lit(float(spec))
             elif spec[0] == "scale":
-                changes[column] = F.col(column).cast("double") * uniform(id_column, f"{name} {column}", spec[1], spec[2], seed)
+                change = F.col(column).cast("double") * uniform(id_column, f"{name} {column}", spec[1], spec[2], seed)
+            elif spec[0] == "times":
+                change = F.col(spec[1]).cast("double") * spec[2]
+            elif spec[0] == "days":
+                change = F.floor(uniform(id_column, f"{name} {column}", spec[1], spec[2], seed)).cast("double") * 86_400
+            elif spec[0] == "one of":
+                place = F.floor(uniform(id_column, f"{name} {column}", 0, len(spec) - 1, seed)).cast("int")
+                change = F.array(*[F.lit(float(x)) for x in spec[1:]])[place]
             else:
                 draw = uniform(id_column, f"{name} {column}", spec[0], spec[1], seed)
                 whole = isinstance(spec[0], int) and isinstance(spec[1], int)
-                changes[column] = F.floor(draw).cast("double") if whole else draw
-        if changes:
-            rows = rows.withColumns(changes)
+                change = F.floor(draw).cast("double") if whole else draw
+            rows = rows.withColumn(column, change)
     return rows
 
 
+def vary_features(
+    rows: DataFrame, features: Sequence[str], share: float = 0.08, band: tuple[float, float] = (0.85, 1.15), id_column: str = "txn_id", seed: int = 42
+) -> DataFrame:
+    """Scale a share of the floating-point values of each row, chosen and drawn by hash."""
+    floats = [f for f in features if rows.schema[f].dataType.typeName() in ("double", "float")]
+    return rows.withColumns({
+        f: F.when(uniform(id_column, f"vary {f}", seed=seed) < share, F.col(f) * uniform(id_column, f"by {f}", *band, seed)).otherwise(F.col(f))
+        for f in floats
+    })
+
+
 def stress_matrix(model: FraudModel, variants: Mapping[str, DataFrame], threshold: float = metrics.EVASION_THRESHOLD) -> DataFrame:
     """Evasion of each variant of the fraud rows."""
     scored = [model.score(df).select("score", F.lit(name).alias("generation")) for name, df in variants.items()]
