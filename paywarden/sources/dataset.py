@@ -39,10 +39,10 @@ def load_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def _read_if_there(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame | None:
     """None for a path that does not exist; any other trouble is an error."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.format(form).load(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ TEXT_FEATURES = ("channel", "auth_method", "rail", "direction")
 
 VERDICT_SCHEMA = (
     "transaction_id STRING, ts_us BIGINT, analyst_verdict STRING, analyst_confidence DOUBLE,"
-    " analyst_reasoning STRING, key_signals ARRAY<STRING>, patterns ARRAY<STRING>, verdict_date DATE"
+    " analyst_reasoning STRING, key_signals ARRAY<STRING>, patterns ARRAY<STRING>, batch_id STRING, verdict_date DATE"
 )
 
 
@@ -85,15 +87,25 @@ def read_battery_report(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return by_family, by_intensity
 
 
-def append_channel_events(events: DataFrame, path: str, channel: str = "PAYPAL") -> None:
-    """Append the events of one channel as JSON lines."""
-    events.filter(F.col("channel") == channel).write.mode("append").json(path)
+def _append(df: DataFrame, path: str, batch: str | None, by: tuple[str, ...], form: str) -> None:
+    """Write a batch into folders of its own, in place of what an earlier try of it left there."""
+    named = df.withColumn("batch_id", F.lit(batch or uuid.uuid4().hex))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *by).format(form).save(path)
+
+
+def append_channel_events(events: DataFrame, path: str, channel: str = "PAYPAL", batch: str | None = None) -> None:
+    """Append the events of one channel as JSON lines.
+
+    ``batch`` names the input: the same batch written again replaces itself, so a job
+    that is run twice adds its rows once. Without a name every call adds.
+    """
+    _append(events.filter(F.col("channel") == channel), path, batch, (), "json")
 
 
-def append_verdicts(verdicts: DataFrame, path: str) -> None:
-    """Add verdicts to the store, one folder per day; earlier files stay untouched."""
+def append_verdicts(verdicts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add verdicts to the store, a folder per batch and day; other batches stay untouched. ``batch`` as above."""
     dated = verdicts.withColumn("verdict_date", F.to_date(F.timestamp_micros("ts_us")))
-    dated.write.mode("append").partitionBy("verdict_date").parquet(path)
+    _append(dated, path, batch, ("verdict_date",), "parquet")
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:

@@ -209,6 +209,9 @@ def test_side_inputs(spark, tmp_path):
     for _ in range(2):
         si.append_channel_events(events, str(tmp_path / "events"))
     assert spark.read.json(str(tmp_path / "events")).count() == 2
+    for batch in ("b1", "b1", "b2"):
+        si.append_channel_events(events, str(tmp_path / "events"), batch=batch)
+    assert spark.read.json(str(tmp_path / "events")).count() == 4
 
     store = str(tmp_path / "verdicts")
     verdict = spark.createDataFrame(
@@ -217,6 +220,10 @@ def test_side_inputs(spark, tmp_path):
     )
     si.append_verdicts(verdict, store)
     si.append_verdicts(verdict.withColumn("ts_us", F.lit(us(END))), store)
+    both = verdict.unionByName(verdict.withColumn("ts_us", F.lit(us(END))))
+    for _ in range(2):
+        si.append_verdicts(both, f"{store}_named", "morning")
+    assert si.read_verdicts(spark, f"{store}_named").groupBy("batch_id").count().collect() == [("morning", 2)]
     back = si.read_verdicts(spark, store)
     assert back.count() == 2 and back.filter(F.col("verdict_date") == "2025-09-15").count() == 1
 

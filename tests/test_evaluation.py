@@ -10,6 +10,7 @@ from paywarden.operators import detectors as d
 from paywarden.operators import feedback as fb
 from paywarden.operators import metrics as m
 from paywarden.operators import ml, sampling
+from paywarden.plans.promotion import ModelStore
 from paywarden.sources.adapter import DriverTables
 
 SF = "/root/testdata/sf0.001"
@@ -203,6 +204,42 @@ def test_model_job_end_to_end(spark):
     assert again.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_promotion_is_a_commit(spark, tmp_path, monkeypatch):
+    rows = spark.range(200).select(
+        F.concat(F.lit("t"), "id").alias("txn_id"), (F.col("id") % 2).cast("int").alias("y"),
+        (F.col("id") % 2 * 3 + F.col("id") % 5).cast("double").alias("x"), F.lit("train").alias("split"),
+    )
+    models = {"boosted_trees": ml.classifiers(rounds=2, depth=2)["boosted_trees"]}
+    model, _, test = ml.train_fraud_model(rows, [], ["x"], models, guard=False)
+    schema = "transaction_id string, analyst_verdict string, ts_us long"
+    first = spark.createDataFrame([("t1", "FRAUD", 1), ("t2", "UNSURE", None)], schema)
+    store = ModelStore(str(tmp_path / "store"))
+    assert store.live(spark) is None and store.deployed(spark) is None and store.pending(first).count() == 2
+    areas = m.area_metrics(test)
+    assert store.promote(model, m.promotion_gate(areas, store.deployed(spark)), first, "x") == 1
+    assert store.live(spark)["version"] == 1 and store.live(spark)["held_out"] == "x" and store.pending(first).count() == 0
+    more = first.unionByName(spark.createDataFrame([("t1", "LEGITIMATE", 9)], schema))
+    assert [r["ts_us"] for r in store.pending(more).collect()] == [9]
+
+    # A rejected model changes nothing.
+    worse = spark.createDataFrame([(store.live(spark)["pr_auc"] - 0.5,)], "pr_auc double")
+    assert store.promote(model, m.promotion_gate(worse, store.deployed(spark)), store.pending(more)) is None
+    assert store.live(spark)["version"] == 1 and store.pending(more).count() == 1
+
+    # A run that ends between the writes and the commit leaves the old model live.
+    same = m.promotion_gate(areas, store.deployed(spark))
+    with monkeypatch.context() as patch:
+        patch.setattr(ModelStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost driver")))
+        with pytest.raises(OSError, match="lost driver"):
+            store.promote(model, same, store.pending(more))
+    assert store.live(spark)["version"] == 1 and store.pending(more).count() == 1
+    assert store.promote(model, same, store.pending(more)) == 2 and store.pending(more).count() == 0
+    assert store.load(spark).score(rows).count() == 200
+    store.roll_back(spark, 1)
+    assert store.live(spark)["version"] == 1 and store.history(spark).count() == 3 and store.pending(more).count() == 0
+    assert store.promote(model, same, more) == 3
+
+
 def test_masked_values_come_from_legit_rows(spark):
     fraud = spark.range(50).select(F.concat(F.lit("f"), "id").alias("txn_id"), F.lit(-1.0).alias("x"))
     legit = spark.range(10).select(F.concat(F.lit("l"), "id").alias("txn_id"), F.col("id").cast("double").alias("x"))
