@@ -322,6 +322,32 @@ def _diversity(t):
     return rounded(m.family_diversity(rows, FID, "family"), ["n_families"], ["avg_intra", "avg_inter", "separation_ratio"])
 
 
+_NUMBER = "(cast(substr(txn_id, 2) as bigint) * 2654435761 % 1048573)"
+_PAIR = "SELECT least(a.family, b.family) AS fa, greatest(a.family, b.family) AS fb, sqrt(" + _DIV + ") AS far"
+_MEANS = ", ".join(
+    f"avg(m) FILTER ({w}) AS avg_{n}, sqrt(sum(v) FILTER ({w})) / count(*) FILTER ({w}) AS {n}_error" for n, w in (("intra", "fa = fb"), ("inter", "fa < fb"))
+)
+
+
+@query(
+    "mean_pair_distance",
+    "D-28",
+    f"""SELECT n_families, {', '.join(sr(x) + ' AS ' + x for x in ('avg_intra', 'intra_error', 'avg_inter', 'inter_error'))}, {sr('avg_inter / avg_intra')} AS separation_ratio FROM (
+    SELECT count(*) FILTER (fa = fb) AS n_families, {_MEANS} FROM (SELECT fa, fb, avg(far) AS m, coalesce(var_samp(far) / count(*), 0) AS v FROM (
+    {_PAIR} FROM asked a JOIN asked b ON a.family = b.family AND b.s = 1 AND a.s < a.n AND b.i = (a.i + a.s) % a.n, scales
+    UNION ALL {_PAIR} FROM asked a JOIN asked b ON b.s = 1 AND b.k = (a.k + 1 + (a.i + a.s) % (a.f - 1)) % a.f AND b.i = (a.i + a.s) % b.n, scales) GROUP BY fa, fb))""",
+    guarded=GUARD_ROWS,
+    fraud="SELECT * FROM guarded WHERE y = 1",
+    placed=f"SELECT *, row_number() OVER (PARTITION BY family ORDER BY {_NUMBER}, txn_id) - 1 AS i, count(*) OVER (PARTITION BY family) AS n FROM fraud",
+    asked="SELECT *, dense_rank() OVER (ORDER BY family) - 1 AS k, (SELECT count(DISTINCT family) FROM placed WHERE n > 1) AS f, unnest(range(1, 9)) AS s FROM placed WHERE n > 1",
+    scales="SELECT " + ", ".join(f"coalesce(nullif(stddev_pop(coalesce({f}, 0)), 0), 1) AS s_{f}" for f in FID) + " FROM fraud",
+)
+def _pair_distance(t):
+    rows = _guard_rows(t).filter("y = 1")
+    out = m.mean_pair_distance(rows, FID, "family", order=F.expr(_NUMBER))
+    return rounded(out, ["n_families"], ["avg_intra", "intra_error", "avg_inter", "inter_error", "separation_ratio"])
+
+
 @query(
     "class_weights",
     "D-33",

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paywarden.operators.quantiles import bracketed_quantiles
 from paywarden.operators.scan import MAX_ROWS_PER_TASK, Metric, find_hot_keys, prefix_scan
+from paywarden.session import cut_lineage
 
 # Sweep thresholds 0.10 .. 0.90, evasion targets per generation.
 SWEEP = tuple(0.1 + 0.05 * i for i in range(17))
@@ -488,3 +489,66 @@ def promotion_gate(candidate: DataFrame, deployed: DataFrame | None, tolerance:
         .otherwise("passed")
     )
     return out.select("new_pr_auc", "old_pr_auc", drop.alias("regression"), decision.alias("decision"))
+
+
+def mean_pair_distance(
+    df: DataFrame,
+    features: Sequence[str],
+    family: str = "attack_id",
+    id_column: str = "txn_id",
+    partners: int = 8,
+    order: Column | None = None,
+    max_rows: int = MAX_ROWS_PER_TASK,
+) -> DataFrame:
+    """Mean distance of pairs inside a family and between families, with standard errors.
+
+    Rows are numbered per family in hash order. A row meets the ``partners`` rows that
+    follow it in its family, going round at the end, and as many rows of other families,
+    which it takes in turn. Under a random order each such pair is a fair draw of all pairs,
+    so the means are unbiased, whatever the sizes; inside a family of at most
+    ``partners + 1`` rows they are exact. The work is ``2 * partners`` distances a row.
+    Families of one row are left out; nulls count as 0; every family weighs the same.
+    """
+    c = F.col
+    h = F.xxhash64(F.lit(42), c(id_column)) if order is None else order
+    filled = df.filter(c(family).isNotNull()).select(
+        c(family).alias("family"), c(id_column).alias("_id"), h.alias("_h"),
+        *[F.coalesce(c(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
+    )
+    scale = filled.agg(*[F.stddev_pop(f).alias(f"s_{f}") for f in features])  # one row
+    vector = F.array(*[c(f) / F.when(c(f"s_{f}") > 0, c(f"s_{f}")).otherwise(1.0) for f in features])
+    rows = filled.crossJoin(F.broadcast(scale)).select("family", "_id", "_h", vector.alias("_v"))
+    hot = find_hot_keys(rows, ["family"], "_h", max_rows)
+    # Read three times below.
+    rows = cut_lineage(prefix_scan(rows, ["family"], ["_h", "_id"], {"_i": Metric("sum", F.lit(1).cast("long"))}, hot))
+    sizes = rows.groupBy("family").agg(F.count("*").alias("_n")).filter(c("_n") >= 2)
+    # One row per family from here to the next join.
+    sizes = sizes.withColumn("_k", F.row_number().over(Window.orderBy("family")) - 1)
+    sizes = cut_lineage(sizes.withColumn("_families", F.count("*").over(Window.partitionBy())))
+    asked = rows.join(sizes, "family").withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(partners))))
+    inside = asked.filter(c("_s") < c("_n")).select(
+        "family", c("family").alias("other"), "_v", F.pmod(c("_i") + c("_s"), c("_n")).alias("_i")
+    )
+    step = F.pmod(c("_i") + c("_s"), F.greatest(c("_families") - 1, F.lit(1)))
+    across = asked.filter(c("_families") > 1).select(
+        "family", "_v", (c("_i") + c("_s")).alias("_at"), F.pmod(c("_k") + 1 + step, c("_families")).alias("_k")
+    )
+    across = across.join(sizes.select(c("family").alias("other"), c("_n").alias("_m"), "_k"), "_k").select(
+        "family", "other", "_v", F.pmod(c("_at"), c("_m")).alias("_i")
+    )
+    met = inside.unionByName(across).join(
+        rows.select(c("family").alias("other"), "_i", c("_v").alias("_w")), ["other", "_i"]
+    )
+    far = F.sqrt(F.aggregate(F.zip_with("_v", "_w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d))
+    pairs = met.groupBy(F.least("family", "other").alias("_a"), F.greatest("family", "other").alias("_b")).agg(
+        F.avg(far).alias("_mean"), (F.var_samp(far) / F.count("*")).alias("_var")
+    )
+    same = c("_a") == c("_b")
+
+    def summary(name: str, which: Column) -> list[Column]:
+        n = F.count_if(which)
+        error = F.sqrt(F.sum(F.when(which, F.coalesce("_var", F.lit(0.0))))) / F.when(n > 0, n)
+        return [F.avg(F.when(which, c("_mean"))).alias(f"avg_{name}"), error.alias(f"{name}_error")]
+
+    out = pairs.agg(F.count_if(same).alias("n_families"), *summary("intra", same), *summary("inter", ~same))
+    return out.withColumn("separation_ratio", _div(c("avg_inter"), c("avg_intra")))

@@ -113,6 +113,36 @@ def test_family_diversity_matches_pairs(spark):
     assert got["avg_intra"] == pytest.approx(intra) and got["avg_inter"] == pytest.approx(inter)
 
 
+@pytest.mark.parametrize("max_rows", [30, 10**9])
+def test_mean_pair_distance_is_near_all_pairs(spark, max_rows):
+    rng = np.random.default_rng(4)
+    sizes = {"a": 90, "b": 40, "c": 7, "d": 1}
+    rows = [(f"{f}{j}", f, *map(float, rng.normal(i, 1 + i, 3))) for i, (f, n) in enumerate(sizes.items()) for j in range(n)]
+    rows += [("n1", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "txn_id string, attack_id string, x double, y double, z double")
+    got = m.mean_pair_distance(df, ["x", "y", "z"], max_rows=max_rows).first()
+    kept = [r for r in rows if r[1]]
+    v = np.array([r[2:] for r in kept])
+    v = v / v.std(axis=0)
+    groups = {f: v[[r[1] == f for r in kept]] for f in "abc"}
+
+    def mean(a, b):
+        far = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        return far[far > 0].mean()
+
+    intra = np.mean([mean(g, g) for g in groups.values()])
+    inter = np.mean([mean(groups[a], groups[b]) for a, b in ("ab", "ac", "bc")])
+    assert got["n_families"] == 3
+    assert 0 < got["intra_error"] < 0.1 * intra and abs(got["avg_intra"] - intra) < 3 * got["intra_error"]
+    assert 0 < got["inter_error"] < 0.1 * inter and abs(got["avg_inter"] - inter) < 3 * got["inter_error"]
+    # A family no larger than its partners is counted whole.
+    one = m.mean_pair_distance(df.filter("attack_id = 'c'"), ["x", "y", "z"]).first()
+    w = np.array([r[2:] for r in kept if r[1] == "c"])
+    w = w / w.std(axis=0)
+    assert one["avg_intra"] == pytest.approx(mean(w, w)) and one["avg_inter"] is None
+    assert m.mean_pair_distance(df.limit(0), ["x"]).first()["n_families"] == 0
+
+
 def test_verdicts_latest_wins_and_moves_to_train(spark):
     rows = spark.createDataFrame([("t1", 0, "test"), ("t2", 1, "validation")], "txn_id string, y int, split string")
     verdicts = spark.createDataFrame(
