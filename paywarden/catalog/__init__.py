@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "checks", "scoring", "metrics", "feedback", "detectors", "models", "streams")
+MODULES = ("features", "checks", "scoring", "metrics", "feedback", "detectors", "models", "sources", "streams")
 
 
 def load():
